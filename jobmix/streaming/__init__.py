@@ -1,0 +1,7 @@
+"""Intentionally empty.
+
+The dashboard's queries are batch queries over daily-refreshed telemetry
+tables: there is no watermark, event-time window, state or late-data rule to
+reproduce.  Freshness is handled by re-running the reports on a schedule,
+which is the job of an outside scheduler, not of this library.
+"""
