@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmix.functions.exprs import flag, multi_select, week_start
-from jobmix.operators.joins import dimension_join
+from jobmix.operators.joins import dimension_join, fits_broadcast
 from jobmix.params import UNMAPPED, Params, TimeRange
 
 SERVERLESS = "SERVERLESS_COMPUTE"
@@ -113,26 +113,30 @@ def cluster_kinds(clusters: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("cl_rows")))
 
 
-def bucket_runs(entries: DataFrame, clusters: DataFrame) -> DataFrame:
+def bucket_runs(entries: DataFrame, clusters: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """Add ``bucket`` (SRV / AP / JC / OTHER) and ``weight`` to each entry.
 
     Classic entries look up their cluster: an interactive source makes them
     AP, any other source (or no cluster row at all) JC.  ``weight`` is the
     number of rows a plain join against the cluster history would have
     produced for this (entry, bucket); it matters only for averages.
+
+    ``broadcast`` (default: decided from the size estimate of the collapsed
+    cluster table) picks the join.  Broadcast: entries stream through a hash
+    lookup, no shuffle.  Shuffle join: see :func:`_lookup_key`.
     """
     kinds = cluster_kinds(clusters)
+    if broadcast is None:
+        broadcast = cluster_lookup_broadcasts(clusters)
     classic = F.col("compute_type") == F.lit(CLASSIC)
-    # Only classic entries need the lookup.  The others get a key that cannot
-    # match (the residual `classic` condition guarantees it) and is spread by
-    # a hash of the row, instead of a NULL key that would send every
-    # serverless entry of a workspace to one shuffle partition.
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in entries.columns]).cast("string"))
-    e = entries.withColumn("_cluster_key", F.when(classic, F.col("cluster_id")).otherwise(spread))
+    key = F.col("cluster_id") if broadcast else _lookup_key(entries)
+    e = entries.withColumn("_cluster_key", key)
     k = kinds.select(F.col("workspace_id").alias("_k_ws"), F.col("cluster_id").alias("_k_cluster"),
                      "cl_bucket", "cl_rows")
+    if broadcast:
+        k = F.broadcast(k)
     cond = (e["workspace_id"] == k["_k_ws"]) & (e["_cluster_key"] == k["_k_cluster"]) & classic
-    joined = dimension_join(e, k, cond, "left")
+    joined = e.join(k, cond, "left")
     bucket = (F.when(F.col("compute_type") == F.lit(SERVERLESS), F.lit(SRV))
               .when(classic & (F.col("cl_bucket") == F.lit(AP)), F.lit(AP))
               .when(classic, F.lit(JC))
@@ -141,18 +145,45 @@ def bucket_runs(entries: DataFrame, clusters: DataFrame) -> DataFrame:
                          F.coalesce("cl_rows", F.lit(1)).cast("bigint").alias("weight"))
 
 
+def cluster_lookup_broadcasts(clusters: DataFrame) -> bool:
+    """Whether the collapsed cluster table is small enough to broadcast."""
+    return fits_broadcast(cluster_kinds(clusters))
+
+
+def _lookup_key(entries: DataFrame):
+    """Join key for a shuffle join against the cluster table.
+
+    Only classic entries need the lookup.  The others get a key that cannot
+    match (the residual ``classic`` condition guarantees it) and is spread
+    by a hash of the row, instead of a NULL key that would send every
+    serverless entry of a workspace to one shuffle partition.  A single hot
+    cluster is left to AQE's skew-join split of the streamed side.
+    """
+    classic = F.col("compute_type") == F.lit(CLASSIC)
+    spread = F.concat(F.lit("~"), F.xxhash64(*[F.col(c) for c in entries.columns]).cast("string"))
+    return F.when(classic, F.col("cluster_id")).otherwise(spread)
+
+
 def _distinct_compute(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What classification needs from each entry, de-duplicated.
 
-    Many runs of a job reuse the same cluster (and serverless entries carry
-    no cluster), so the distinct (keys, type, cluster) set is far smaller
-    than the entries; the partial aggregate runs before the shuffle.
+    Used before a *shuffle* join with the cluster table: many runs of a job
+    reuse the same cluster and serverless entries carry no cluster, so the
+    distinct (keys, type, cluster) set is far smaller than the entries, and
+    its partial aggregate runs map-side before anything is shuffled.
     """
     cluster = F.when(F.col("compute_type") == F.lit(CLASSIC), F.col("cluster_id"))
     cols = list(dict.fromkeys([*keys, "workspace_id"]))
     return tagged.select(*cols, "compute_type", cluster.alias("cluster_id")).distinct()
 
 
+def _for_classification(tagged: DataFrame, clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    broadcast = cluster_lookup_broadcasts(clusters)
+    if not broadcast:
+        tagged = _distinct_compute(tagged, keys)
+    return bucket_runs(tagged, clusters, broadcast=broadcast)
+
+
 def classify_jobs(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Worst bucket per job: AP if any entry was AP, else JC if any was JC, else SRV.
 
@@ -176,7 +207,7 @@ def classified_jobs(runs: DataFrame, clusters: DataFrame, ws: DataFrame, params:
     """Runs in range -> one row per job with its ``primary_bucket``."""
     entries = keep_job_compute(explode_runs(runs, params.time_range, ("workspace_id", "job_id")))
     tagged = tag_runs(entries, ws, params)
-    return classify_jobs(bucket_runs(_distinct_compute(tagged, keys), clusters), keys)
+    return classify_jobs(_for_classification(tagged, clusters, keys), keys)
 
 
 def classified_jobs_weekly(runs: DataFrame, clusters: DataFrame, ws: DataFrame, params: Params,
@@ -190,4 +221,4 @@ def classified_jobs_weekly(runs: DataFrame, clusters: DataFrame, ws: DataFrame,
     entries = keep_job_compute(explode_runs(runs, params.time_range, ("workspace_id", "job_id"),
                                             week=True))
     tagged = tag_runs(entries, ws, params, use_env=use_env, drop_unmapped_bu=drop_unmapped_bu)
-    return classify_jobs(bucket_runs(_distinct_compute(tagged, keys), clusters), keys)
+    return classify_jobs(_for_classification(tagged, clusters, keys), keys)

@@ -193,6 +193,12 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     Serverless entries of a mixed job are not counted.  The average runtime
     weighs each entry by the number of cluster and job-name rows it matches,
     exactly as a fan-out join would, without materialising the fan-out.
+
+    Two levels: the entries (the big input) first collapse with a numeric
+    hash aggregate per (group, workspace, run, day) -- timeline slices and
+    tasks of one run on one day become one row, partially aggregated before
+    the shuffle.  Job names, the two distinct counts (an Expand) and the
+    string maximum then work on that reduced set only.
     """
     t = inp.tables
     entries = R.keep_job_compute(
@@ -202,21 +208,27 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
         types=(R.CLASSIC,))
     tagged = R.tag_runs(entries, inp.ws(), p)
     bucketed = R.bucket_runs(tagged, t.clusters)
+    group = ["workspace_name", "bu", "env", "job_id"]
+    w, dur = F.col("weight"), F.col("execution_duration_seconds")
+    per_run_day = (bucketed
+                   .groupBy(*group, "workspace_id", "job_run_id",
+                            F.to_date("period_start_time").alias("day"))
+                   .agg(F.sum(dur * w).alias("dur_w"),
+                        F.sum(F.when(dur.isNotNull(), w)).alias("w_known"),
+                        flag(F.col("bucket") == F.lit(R.AP)).alias("used_ap")))
     names = S.job_names(t.jobs)
-    joined = bucketed.join(names, ["workspace_id", "job_id"], "left")
-    w = F.col("weight") * F.coalesce(F.col("name_rows"), F.lit(1))
-    dur = F.col("execution_duration_seconds")
-    day = F.to_date("period_start_time")
-    avg_seconds = (F.sum(dur * w).cast("double")
-                   / F.sum(F.when(dur.isNotNull(), w)).cast("double"))
-    agg = joined.groupBy("workspace_name", "bu", "env", "job_id").agg(
+    named = dimension_join(per_run_day, names, ["workspace_id", "job_id"], "left")
+    n = F.coalesce(F.col("name_rows"), F.lit(1))
+    avg_seconds = (F.sum(F.col("dur_w") * n).cast("double")
+                   / F.sum(F.col("w_known") * n).cast("double"))
+    agg = named.groupBy(*group).agg(
         F.max("job_name").alias("job_name"),
-        F.when(flag(F.col("bucket") == F.lit(R.AP)) == 1, F.lit("JOBS_ON_ALL_PURPOSE"))
+        F.when(F.max("used_ap") == 1, F.lit("JOBS_ON_ALL_PURPOSE"))
         .otherwise(F.lit("JOBS_ON_CLASSIC")).alias("compute_bucket"),
         F.count_distinct("job_run_id").alias("run_count"),
-        F.count_distinct(day).alias("active_days"),
+        F.count_distinct("day").alias("active_days"),
         F.round(avg_seconds / F.lit(60.0), 1).alias("avg_runtime_min"),
-        F.max(day).alias("last_run_date"))
+        F.max("day").alias("last_run_date"))
     return (agg.select("workspace_name", "bu", "env", "job_id", "job_name", "compute_bucket",
                        "run_count", "active_days", "avg_runtime_min", "last_run_date")
             .orderBy(F.desc("run_count"), F.asc_nulls_first("workspace_name"),
