@@ -47,6 +47,13 @@ class Inputs:
         """One row per (workspace_id, bu, env, job_id) with ``primary_bucket``."""
         return R.classified_jobs(self.tables.runs, self.tables.clusters, self.ws(), params)
 
+    def weekly(self, params: Params, keys: Sequence[str] = ("week", "job_id"),
+               use_env: bool = True, drop_unmapped_bu: bool = False) -> DataFrame:
+        """One row per (week, ..., job_id) with ``primary_bucket``."""
+        return R.classified_jobs_weekly(self.tables.runs, self.tables.clusters, self.ws(), params,
+                                        keys=keys, use_env=use_env,
+                                        drop_unmapped_bu=drop_unmapped_bu)
+
 
 # --------------------------------------------------------------------------
 # Job classification family
@@ -141,17 +148,14 @@ def bu_opportunities(inp: Inputs, p: Params) -> DataFrame:
 
 def bu_trend(inp: Inputs, p: Params) -> DataFrame:
     """Weekly serverless share per BU.  BU filter only; Unmapped excluded."""
-    w = R.classified_jobs_weekly(inp.tables.runs, inp.tables.clusters, inp.ws(), p,
-                                 keys=("week", "bu", "job_id"), use_env=False,
-                                 drop_unmapped_bu=True)
+    w = inp.weekly(p, keys=("week", "bu", "job_id"), use_env=False, drop_unmapped_bu=True)
     return (w.groupBy("week", "bu")
             .agg(pct(cond_count(is_bucket(R.SRV)), F.count(F.lit(1))).alias("pct_serverless"))
             .orderBy("week", "bu"))
 
 
 def _weekly(inp: Inputs, p: Params) -> DataFrame:
-    return R.classified_jobs_weekly(inp.tables.runs, inp.tables.clusters, inp.ws(), p,
-                                    keys=("week", "job_id"))
+    return inp.weekly(p, keys=("week", "job_id"))
 
 
 def time_series_counts(inp: Inputs, p: Params) -> DataFrame:
