@@ -222,3 +222,40 @@ def classified_jobs_weekly(runs: DataFrame, clusters: DataFrame, ws: DataFrame,
                                             week=True))
     tagged = tag_runs(entries, ws, params, use_env=use_env, drop_unmapped_bu=drop_unmapped_bu)
     return classify_jobs(_for_classification(tagged, clusters, keys), keys)
+
+
+FLAG_KEYS = ("week", "workspace_id", "bu", "env", "job_id")
+
+
+def job_week_flags(runs: DataFrame, clusters: DataFrame, ws: DataFrame,
+                   time_range: TimeRange) -> DataFrame:
+    """Per (week, workspace, bu, env, job): did the job use AP / JC compute.
+
+    Unfiltered by BU / env (those are columns, filtered by the consumer), so
+    one such table answers every per-job and per-week classification of a
+    date range.  Its size is bounded by jobs x weeks, not by runs.
+    """
+    entries = keep_job_compute(explode_runs(runs, time_range, ("workspace_id", "job_id"), week=True))
+    tagged = tag_runs(entries, ws)
+    b = F.col("bucket")
+    return (_for_classification(tagged, clusters, FLAG_KEYS)
+            .where(b != F.lit(OTHER))
+            .groupBy(*FLAG_KEYS)
+            .agg(flag(b == F.lit(AP)).alias("used_ap"), flag(b == F.lit(JC)).alias("used_jc")))
+
+
+def classify_flags(flags: DataFrame, keys: Sequence[str], params: Params | None = None,
+                   use_env: bool = True, drop_unmapped_bu: bool = False) -> DataFrame:
+    """:func:`classify_jobs` over :func:`job_week_flags` rows (same filters, same result)."""
+    f = flags
+    if drop_unmapped_bu:
+        f = f.where(F.col("bu") != UNMAPPED)
+    if params is not None:
+        f = f.where(multi_select("bu", params.bu))
+        if use_env:
+            f = f.where(multi_select("env", params.env))
+    per_job = f.groupBy(*keys).agg(F.max("used_ap").alias("used_ap"), F.max("used_jc").alias("used_jc"))
+    primary = (F.when(F.col("used_ap") == 1, F.lit(AP))
+               .when(F.col("used_jc") == 1, F.lit(JC))
+               .otherwise(F.lit(SRV)))
+    return per_job.select(*keys, primary.alias("primary_bucket"))

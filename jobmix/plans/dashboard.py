@@ -1,11 +1,12 @@
 """All 16 result tables of one dashboard refresh, sharing intermediates.
 
-Eight tables start from the same per-job classification and three from
-weekly classifications.  Those intermediates are one row per job (or per
-job and week), bounded by the number of jobs, not by the number of runs, so
-they are persisted (memory, spilling to disk) for the refresh and released
-afterwards.  A lost executor only costs recomputing its cached blocks from
-lineage; nothing is checkpointed locally.
+Eleven tables classify jobs (eight per job over the range, three per week).
+All of them are answered from one table of per-(week, workspace, job) usage
+flags, built with a single pass over the run timeline and persisted
+(memory, spilling to disk) for the refresh.  It holds one row per job and
+week -- bounded by the number of jobs, not of runs -- and BU / env filters
+apply to it as columns.  A lost executor only costs recomputing its cached
+blocks from lineage; nothing is checkpointed locally.
 """
 
 from __future__ import annotations
@@ -16,25 +17,24 @@ from typing import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from jobmix.operators import runs as R
 from jobmix.params import Params
 from jobmix.plans import reports as D
 
 
 @dataclass(frozen=True)
 class _SharedInputs(D.Inputs):
-    """``Inputs`` whose classifications come from the dashboard's cache."""
+    """``Inputs`` whose classifications come from the dashboard's flag table."""
 
     dashboard: "Dashboard | None" = None
 
     def classified(self, params: Params) -> DataFrame:
-        return self.dashboard._shared(("classified", params),
-                                      lambda: D.Inputs.classified(self, params))
+        return R.classify_flags(self.dashboard.flags(params), R.JOB_KEYS, params)
 
     def weekly(self, params: Params, keys: Sequence[str] = ("week", "job_id"),
                use_env: bool = True, drop_unmapped_bu: bool = False) -> DataFrame:
-        key = ("weekly", params, tuple(keys), use_env, drop_unmapped_bu)
-        return self.dashboard._shared(key, lambda: D.Inputs.weekly(
-            self, params, keys=keys, use_env=use_env, drop_unmapped_bu=drop_unmapped_bu))
+        return R.classify_flags(self.dashboard.flags(params), keys, params, use_env=use_env,
+                                drop_unmapped_bu=drop_unmapped_bu)
 
 
 class Dashboard:
@@ -43,11 +43,15 @@ class Dashboard:
     def __init__(self, inputs: D.Inputs, params: Params):
         self.params = params
         self._cache: dict = {}
+        self._base = inputs
         self.inputs = _SharedInputs(inputs.tables, inputs.bu_rules, inputs.env_rules, self)
 
-    def _shared(self, key, build) -> DataFrame:
+    def flags(self, params: Params) -> DataFrame:
+        key = ("flags", params.time_range)
         if key not in self._cache:
-            self._cache[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            t = self._base.tables
+            df = R.job_week_flags(t.runs, t.clusters, self._base.ws(), params.time_range)
+            self._cache[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
         return self._cache[key]
 
     def table(self, name: str) -> DataFrame:

@@ -85,29 +85,33 @@ def runs(lineitem: DataFrame) -> DataFrame:
 
 
 def clusters(lineitem: DataFrame) -> DataFrame:
-    c = F.col("l_partkey") % CLUSTER_MOD
+    """Distinct (workspace, cluster, source).  The distinct runs on the integer
+    keys; the id strings are built for the distinct rows only."""
+    keys = (lineitem
+            .select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % CLUSTER_MOD).alias("c"))
+            .where(F.col("c") != CLUSTER_WITHOUT_ROW)
+            .distinct())
+    c = F.col("c")
     source = (F.when(c % 10 == 0, "UI").when(c % 10 == 1, "API")
               .when(c % 10 == 2, "PIPELINE").otherwise("JOB"))
-    return (lineitem.where(c != CLUSTER_WITHOUT_ROW)
-            .select(F.col("l_suppkey").cast("string").alias("workspace_id"),
-                    _cluster_id().alias("cluster_id"),
-                    source.alias("cluster_source"))
-            .distinct())
+    return keys.select(F.col("s").cast("string").alias("workspace_id"),
+                       F.concat(F.lit("c"), c.cast("string")).alias("cluster_id"),
+                       source.alias("cluster_source"))
 
 
 def jobs(lineitem: DataFrame) -> DataFrame:
-    job = F.col("l_partkey") % JOB_MOD
-    named = lineitem.where(job != NAMELESS_JOB).select(
-        F.col("l_suppkey").cast("string").alias("workspace_id"),
-        job.cast("string").alias("job_id"),
-        F.concat(F.lit("job_"), (F.col("l_suppkey") % 7).cast("string"), F.lit("_"),
-                 job.cast("string")).alias("name"),
-        F.when(job < SECOND_NAME_BELOW, F.concat(F.lit("a_old_"), job.cast("string"))).alias("old_name"),
-    )
-    # One generator pass emits the regular name and, for low job ids, an old one.
-    both = named.select("workspace_id", "job_id",
-                        F.explode(F.array_compact(F.array("name", "old_name"))).alias("name"))
-    return both.distinct()
+    """Distinct (workspace, job, name): the regular name for every job but the
+    nameless one, plus an old name for low job ids.  The distinct runs on the
+    integer keys, names are built for the distinct rows only; the two name
+    kinds never coincide, so their union stays distinct."""
+    keys = lineitem.select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % JOB_MOD).alias("j")).distinct()
+    ws, job = F.col("s").cast("string").alias("workspace_id"), F.col("j").cast("string").alias("job_id")
+    regular = keys.where(F.col("j") != NAMELESS_JOB).select(
+        ws, job, F.concat(F.lit("job_"), (F.col("s") % 7).cast("string"), F.lit("_"),
+                          F.col("j").cast("string")).alias("name"))
+    old = keys.where(F.col("j") < SECOND_NAME_BELOW).select(
+        ws, job, F.concat(F.lit("a_old_"), F.col("j").cast("string")).alias("name"))
+    return regular.unionByName(old)
 
 
 def usage(lineitem: DataFrame) -> DataFrame:

@@ -133,3 +133,14 @@ def test_input_order_does_not_matter(spark):
         a = D.DATASETS[name](inp, registry.DEFAULT).collect()
         b = D.DATASETS[name](shuffled, registry.DEFAULT).collect()
         assert sorted(map(tuple, a)) == sorted(map(tuple, b)), name
+
+
+def test_dashboard_filtered_equals_independent_queries(spark):
+    inp = registry.inputs(spark, SF_SMALL)
+    p = Params(registry.FULL_RANGE, bu=("Risk", "Market", "Unmapped"), env=("PROD", "DEV"))
+    with Dashboard(inp, p) as dash:
+        for name in ("kpi_headline", "breakdown_by_env", "bu_scorecard", "bu_trend",
+                     "time_series_counts", "bu_opportunities"):
+            a = sorted(map(tuple, dash.table(name).collect()))
+            b = sorted(map(tuple, D.DATASETS[name](inp, p).collect()))
+            assert a == b, name
