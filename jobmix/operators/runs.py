@@ -32,6 +32,8 @@ SRV, AP, JC, OTHER = "SRV", "AP", "JC", "OTHER"
 INTERACTIVE_SOURCES = ("UI", "API")
 
 RUN_COLUMNS = ("workspace_id", "job_id", "job_run_id", "period_start_time")
+# Day partition column of a date-partitioned timeline (see jobmix.sources.layout).
+RUN_DAY = "period_start_date"
 
 
 def run_window(timeline: DataFrame, time_range: TimeRange) -> DataFrame:
@@ -44,7 +46,11 @@ def run_window(timeline: DataFrame, time_range: TimeRange) -> DataFrame:
     ts = F.col("period_start_time")
     lo = F.lit(time_range.min).cast("timestamp")
     hi = F.lit(time_range.end_exclusive).cast("timestamp")
-    return timeline.where((ts >= lo) & (ts < hi))
+    out = timeline.where((ts >= lo) & (ts < hi))
+    if RUN_DAY in timeline.columns:
+        # Stored partitioned by day: the equivalent day predicate prunes directories.
+        out = out.where(F.col(RUN_DAY).between(F.lit(time_range.min), F.lit(time_range.max)))
+    return out
 
 
 def explode_runs(timeline: DataFrame, time_range: TimeRange,
