@@ -198,11 +198,12 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     weighs each entry by the number of cluster and job-name rows it matches,
     exactly as a fan-out join would, without materialising the fan-out.
 
-    Two levels: the entries (the big input) first collapse with a numeric
-    hash aggregate per (group, workspace, run, day) -- timeline slices and
-    tasks of one run on one day become one row, partially aggregated before
-    the shuffle.  Job names, the two distinct counts (an Expand) and the
-    string maximum then work on that reduced set only.
+    Plan: the entries (the big input: one row per task and time slice)
+    first collapse with a numeric hash aggregate per (group, workspace, run,
+    day, cluster), partially aggregated before the shuffle.  Only that
+    reduced set meets the cluster table (whose match count multiplies the
+    sums), the job names, the two distinct counts (an Expand) and the string
+    maximum (a sort aggregate in Spark).
     """
     t = inp.tables
     entries = R.keep_job_compute(
@@ -211,23 +212,22 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
                         "execution_duration_seconds")),
         types=(R.CLASSIC,))
     tagged = R.tag_runs(entries, inp.ws(), p)
-    bucketed = R.bucket_runs(tagged, t.clusters)
     group = ["workspace_name", "bu", "env", "job_id"]
-    w, dur = F.col("weight"), F.col("execution_duration_seconds")
-    per_run_day = (bucketed
+    dur = F.col("execution_duration_seconds")
+    per_run_day = (tagged
                    .groupBy(*group, "workspace_id", "job_run_id",
-                            F.to_date("period_start_time").alias("day"))
-                   .agg(F.sum(dur * w).alias("dur_w"),
-                        F.sum(F.when(dur.isNotNull(), w)).alias("w_known"),
-                        flag(F.col("bucket") == F.lit(R.AP)).alias("used_ap")))
+                            F.to_date("period_start_time").alias("day"), "compute_type", "cluster_id")
+                   .agg(F.sum(dur).alias("dur_sum"),
+                        F.count(dur).alias("dur_known")))
+    bucketed = R.bucket_runs(per_run_day, t.clusters)
     names = S.job_names(t.jobs)
-    named = dimension_join(per_run_day, names, ["workspace_id", "job_id"], "left")
-    n = F.coalesce(F.col("name_rows"), F.lit(1))
-    avg_seconds = (F.sum(F.col("dur_w") * n).cast("double")
-                   / F.sum(F.col("w_known") * n).cast("double"))
+    named = dimension_join(bucketed, names, ["workspace_id", "job_id"], "left")
+    w = F.col("weight") * F.coalesce(F.col("name_rows"), F.lit(1))
+    avg_seconds = (F.sum(F.col("dur_sum") * w).cast("double")
+                   / F.sum(F.col("dur_known") * w).cast("double"))
     agg = named.groupBy(*group).agg(
         F.max("job_name").alias("job_name"),
-        F.when(F.max("used_ap") == 1, F.lit("JOBS_ON_ALL_PURPOSE"))
+        F.when(flag(F.col("bucket") == F.lit(R.AP)) == 1, F.lit("JOBS_ON_ALL_PURPOSE"))
         .otherwise(F.lit("JOBS_ON_CLASSIC")).alias("compute_bucket"),
         F.count_distinct("job_run_id").alias("run_count"),
         F.count_distinct("day").alias("active_days"),
