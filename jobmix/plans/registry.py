@@ -9,7 +9,6 @@ column names and types.
 from __future__ import annotations
 
 import datetime as dt
-from decimal import Decimal
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +95,18 @@ def op_classify_jobs_weekly(spark, sf_dir):
     return R.classified_jobs_weekly(inp.tables.runs, inp.tables.clusters, inp.ws(), DEFAULT)
 
 
+def op_job_week_flags(spark, sf_dir):
+    inp = inputs(spark, sf_dir)
+    return R.job_week_flags(inp.tables.runs, inp.tables.clusters, inp.ws(), DEFAULT.time_range)
+
+
+def op_classify_flags_filtered(spark, sf_dir):
+    """Per-job classification as a dashboard refresh computes it (from the flags)."""
+    inp = inputs(spark, sf_dir)
+    flags = R.job_week_flags(inp.tables.runs, inp.tables.clusters, inp.ws(), FILTERED.time_range)
+    return R.classify_flags(flags, R.JOB_KEYS, FILTERED)
+
+
 def op_price_usage(spark, sf_dir):
     t = inputs(spark, sf_dir).tables
     priced = S.price_usage(t.usage, t.prices, DEFAULT.time_range)
@@ -143,6 +154,8 @@ def _entries():
         "op_tag_runs_all": (_op_tag_runs(DEFAULT), O.op_tag_runs(DEFAULT)),
         "op_classify_jobs": (op_classify_jobs, O.op_classify_jobs(DEFAULT)),
         "op_classify_jobs_weekly": (op_classify_jobs_weekly, O.op_classify_jobs_weekly(DEFAULT)),
+        "op_job_week_flags": (op_job_week_flags, O.op_job_week_flags(DEFAULT)),
+        "op_classify_flags_filtered": (op_classify_flags_filtered, O.op_classify_jobs(FILTERED)),
         "op_price_usage": (op_price_usage, O.op_price_usage(DEFAULT)),
         "op_price_usage_rate": (op_price_usage_rate, O.op_price_usage_rate(DEFAULT, EFFECTIVE_RATE)),
         "op_spend_by_bu": (op_spend_by_bu, O.op_spend_by_bu(DEFAULT)),
