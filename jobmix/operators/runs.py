@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmix.functions.exprs import flag, multi_select, week_start
-from jobmix.operators.joins import dimension_join, fits_broadcast
+from jobmix.operators.joins import fits_broadcast
+from jobmix.operators.labels import attach_labels
 from jobmix.params import UNMAPPED, Params, TimeRange
 
 SERVERLESS = "SERVERLESS_COMPUTE"
@@ -78,29 +79,8 @@ def keep_job_compute(entries: DataFrame, types: Sequence[str] = (SERVERLESS, CLA
 
 def tag_runs(entries: DataFrame, ws: DataFrame, params: Params | None = None,
              use_env: bool = True, drop_unmapped_bu: bool = False) -> DataFrame:
-    """Attach ``bu``, ``env``, ``workspace_name`` and filter on the choices.
-
-    Workspaces missing from the dimension are labelled Unmapped and named by
-    their id.  ``ws`` is the small workspace dimension; it is broadcast when
-    its size estimate fits.
-    """
-    dim = ws.select(F.col("workspace_id").alias("_ws_id"),
-                    F.col("workspace_name").alias("_ws_name"),
-                    F.col("bu").alias("_ws_bu"), F.col("env").alias("_ws_env"))
-    joined = dimension_join(entries, dim, entries["workspace_id"] == dim["_ws_id"], "left")
-    out = joined.select(
-        *[c for c in entries.columns if c not in ("bu", "env", "workspace_name")],
-        F.coalesce("_ws_bu", F.lit(UNMAPPED)).alias("bu"),
-        F.coalesce("_ws_env", F.lit(UNMAPPED)).alias("env"),
-        F.coalesce("_ws_name", entries["workspace_id"]).alias("workspace_name"),
-    )
-    if drop_unmapped_bu:
-        out = out.where(F.col("bu") != UNMAPPED)
-    if params is not None:
-        out = out.where(multi_select("bu", params.bu))
-        if use_env:
-            out = out.where(multi_select("env", params.env))
-    return out
+    """Attach ``bu``, ``env``, ``workspace_name`` to run entries and filter on the choices."""
+    return attach_labels(entries, ws, params, use_env=use_env, drop_unmapped_bu=drop_unmapped_bu)
 
 
 def cluster_kinds(clusters: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmix.functions.exprs import multi_select
 from jobmix.operators.joins import dimension_join
-from jobmix.params import UNMAPPED, Params, TimeRange
+from jobmix.operators.labels import attach_labels
+from jobmix.params import Params, TimeRange
 
 JOBS_PRODUCT = "JOBS"
 ALL_PURPOSE_PRODUCT = "ALL_PURPOSE"
@@ -69,16 +69,8 @@ def price_usage(usage: DataFrame, prices: DataFrame, time_range: TimeRange,
 
 
 def tag_spend(priced: DataFrame, ws: DataFrame, params: Params | None = None) -> DataFrame:
-    """Attach ``bu`` / ``env`` of the workspace and apply the filter choices."""
-    dim = ws.select(F.col("workspace_id").alias("_ws_id"), F.col("bu").alias("_ws_bu"),
-                    F.col("env").alias("_ws_env"))
-    joined = dimension_join(priced, dim, priced["workspace_id"] == dim["_ws_id"], "left")
-    out = joined.select(*priced.columns,
-                        F.coalesce("_ws_bu", F.lit(UNMAPPED)).alias("bu"),
-                        F.coalesce("_ws_env", F.lit(UNMAPPED)).alias("env"))
-    if params is not None:
-        out = out.where(multi_select("bu", params.bu) & multi_select("env", params.env))
-    return out
+    """Attach ``bu`` / ``env`` of the workspace to priced usage and apply the choices."""
+    return attach_labels(priced, ws, params, with_name=False)
 
 
 def serverless_usage(usage: DataFrame, time_range: TimeRange) -> DataFrame:

@@ -14,12 +14,12 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobmix.functions.exprs import cond_count, flag, money, multi_select, pct
+from jobmix.functions.exprs import cond_count, flag, money, pct
 from jobmix.functions.rules import ENV_RULES, FIXTURE_BU_RULES, Rule
 from jobmix.operators import runs as R
 from jobmix.operators import spend as S
 from jobmix.operators.joins import dimension_join
-from jobmix.operators.labels import workspace_labels
+from jobmix.operators.labels import attach_labels, workspace_labels
 from jobmix.operators.summary import adoption_summary, bucket_label, is_bucket
 from jobmix.params import ALL, UNMAPPED, Params
 from jobmix.sources.tables import Tables
@@ -244,15 +244,9 @@ def serverless_job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFram
     """Jobs already on serverless, by DBUs used in range."""
     t = inp.tables
     srv = S.serverless_usage(t.usage, p.time_range)
-    ws = inp.ws().select(F.col("workspace_id").alias("_ws_id"), F.col("workspace_name").alias("_ws_name"),
-                         F.col("bu").alias("_ws_bu"), F.col("env").alias("_ws_env"))
-    labelled = dimension_join(srv, ws, srv["workspace_id"] == ws["_ws_id"], "left").select(
-        "workspace_id", "job_id", "serverless_dbus", "first_usage", "last_usage",
-        F.coalesce("_ws_bu", F.lit(UNMAPPED)).alias("bu"),
-        F.coalesce("_ws_env", F.lit(UNMAPPED)).alias("env"),
-        F.coalesce("_ws_name", F.col("workspace_id")).alias("workspace_name"))
-    labelled = labelled.where(multi_select("bu", p.bu) & multi_select("env", p.env))
-    named = labelled.join(S.job_names(t.jobs).drop("name_rows"), ["workspace_id", "job_id"], "left")
+    labelled = attach_labels(srv, inp.ws(), p)
+    names = S.job_names(t.jobs).drop("name_rows")
+    named = dimension_join(labelled, names, ["workspace_id", "job_id"], "left")
     # Rows equal on every grouped column (workspaces sharing a name) collapse.
     grouped = named.groupBy("bu", "env", "workspace_name", "job_id", "serverless_dbus",
                             "first_usage", "last_usage").agg(F.max("job_name").alias("job_name"))
