@@ -5,7 +5,9 @@ All of them are answered from one table of per-(week, workspace, job) usage
 flags, built with a single pass over the run timeline and persisted
 (memory, spilling to disk) for the refresh.  It holds one row per job and
 week -- bounded by the number of jobs, not of runs -- and BU / env filters
-apply to it as columns.  A lost executor only costs recomputing its cached
+apply to it as columns.  The per-job and per-week classifications derived
+from it (one row per job, or per job and week) are persisted as well, so the
+eight per-job tables aggregate only the per-job rows.  A lost executor only costs recomputing its cached
 blocks from lineage; nothing is checkpointed locally.
 """
 
@@ -29,12 +31,16 @@ class _SharedInputs(D.Inputs):
     dashboard: "Dashboard | None" = None
 
     def classified(self, params: Params) -> DataFrame:
-        return R.classify_flags(self.dashboard.flags(params), R.JOB_KEYS, params)
+        return self.dashboard.shared(
+            ("classified", params),
+            lambda: R.classify_flags(self.dashboard.flags(params), R.JOB_KEYS, params))
 
     def weekly(self, params: Params, keys: Sequence[str] = ("week", "job_id"),
                use_env: bool = True, drop_unmapped_bu: bool = False) -> DataFrame:
-        return R.classify_flags(self.dashboard.flags(params), keys, params, use_env=use_env,
-                                drop_unmapped_bu=drop_unmapped_bu)
+        return self.dashboard.shared(
+            ("weekly", params, tuple(keys), use_env, drop_unmapped_bu),
+            lambda: R.classify_flags(self.dashboard.flags(params), keys, params, use_env=use_env,
+                                     drop_unmapped_bu=drop_unmapped_bu))
 
 
 class Dashboard:
@@ -46,14 +52,17 @@ class Dashboard:
         self._base = inputs
         self.inputs = _SharedInputs(inputs.tables, inputs.bu_rules, inputs.env_rules, self)
 
-    def flags(self, params: Params) -> DataFrame:
-        key = ("flags", params.time_range)
+    def shared(self, key, build) -> DataFrame:
+        """Build once per refresh and persist (memory, spilling to disk)."""
         if key not in self._cache:
-            t = self._base.tables
-            df = R.job_week_flags(t.runs, t.clusters, self._base.ws(), params.time_range)
-            self._cache[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._cache[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
         return self._cache[key]
 
+    def flags(self, params: Params) -> DataFrame:
+        t = self._base.tables
+        return self.shared(("flags", params.time_range), lambda: R.job_week_flags(
+            t.runs, t.clusters, self._base.ws(), params.time_range))
+
     def table(self, name: str) -> DataFrame:
         return D.DATASETS[name](self.inputs, self.params)
 

@@ -27,15 +27,23 @@ def with_run_day(runs: DataFrame) -> DataFrame:
     return runs.withColumn(RUN_DAY, F.to_date("period_start_time"))
 
 
-def write_tables(tables: Tables, root: str, mode: str = "errorifexists",
-                 max_records_per_file: int = 5_000_000) -> None:
-    """Write the six inputs under ``root/<name>`` (a shared filesystem path)."""
+def write_tables(tables: Tables, root: str, mode: str = "errorifexists", by_day: bool = True,
+                 files: int | None = None, max_records_per_file: int = 5_000_000) -> None:
+    """Write the six inputs under ``root/<name>`` (a shared filesystem path).
+
+    ``by_day`` partitions the timeline and usage by day (the layout for large
+    histories).  Without it, ``files`` spreads each of the two large tables
+    over that many files (round-robin), for small data where daily
+    directories would only make tiny files.
+    """
     for name in ("workspaces", "runs", "clusters", "jobs", "usage", "prices"):
         df = getattr(tables, name)
-        if name == "runs":
+        if name == "runs" and by_day:
             df = with_run_day(df)
+        if name in PARTITION_COLUMNS and not by_day and files:
+            df = df.repartition(files)
         writer = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
-        part = PARTITION_COLUMNS.get(name)
+        part = PARTITION_COLUMNS.get(name) if by_day else None
         if part:
             writer = writer.partitionBy(part)
         writer.parquet(f"{root}/{name}")
