@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmix.operators.joins import dimension_join
@@ -97,3 +97,17 @@ def job_names(jobs: DataFrame) -> DataFrame:
     """
     return jobs.groupBy("workspace_id", "job_id").agg(
         F.max("name").alias("job_name"), F.count(F.lit(1)).alias("name_rows"))
+
+
+def rank_job_names(names: DataFrame) -> DataFrame:
+    """Add ``name_rank``: dense rank of ``job_name`` among the names of the same job id.
+
+    Order-preserving within a job id, so the greatest name of any set of
+    workspaces for one job is the name of the greatest rank -- which a hash
+    aggregate can take (a string maximum would force a sort aggregate).
+    The window partitions the name dimension by job id; a partition holds
+    one row per workspace using that id.  NULL names get no rank.
+    """
+    by_job = Window.partitionBy("job_id").orderBy("job_name")
+    return names.withColumn("name_rank",
+                            F.when(F.col("job_name").isNotNull(), F.dense_rank().over(by_job)))

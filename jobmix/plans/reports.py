@@ -202,8 +202,10 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     first collapse with a numeric hash aggregate per (group, workspace, run,
     day, cluster), partially aggregated before the shuffle.  Only that
     reduced set meets the cluster table (whose match count multiplies the
-    sums), the job names, the two distinct counts (an Expand) and the string
-    maximum (a sort aggregate in Spark).
+    sums) and the group aggregate (two distinct counts, an Expand).  That
+    aggregate stays a hash aggregate: instead of the greatest job name it
+    takes the greatest name *rank* (see ``rank_job_names``), mapped back to
+    the name per group afterwards.
     """
     t = inp.tables
     entries = R.keep_job_compute(
@@ -219,20 +221,24 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
                             F.to_date("period_start_time").alias("day"), "compute_type", "cluster_id")
                    .agg(F.sum(dur).alias("dur_sum"),
                         F.count(dur).alias("dur_known")))
-    bucketed = R.bucket_runs(per_run_day, t.clusters)
-    names = S.job_names(t.jobs)
-    named = dimension_join(bucketed, names, ["workspace_id", "job_id"], "left")
+    names = S.rank_job_names(S.job_names(t.jobs))
+    weighted = dimension_join(R.bucket_runs(per_run_day, t.clusters),
+                              names.select("workspace_id", "job_id", "name_rows", "name_rank"),
+                              ["workspace_id", "job_id"], "left")
     w = F.col("weight") * F.coalesce(F.col("name_rows"), F.lit(1))
     avg_seconds = (F.sum(F.col("dur_sum") * w).cast("double")
                    / F.sum(F.col("dur_known") * w).cast("double"))
-    agg = named.groupBy(*group).agg(
-        F.max("job_name").alias("job_name"),
+    stats = weighted.groupBy(*group).agg(
+        F.max("name_rank").alias("name_rank"),
         F.when(flag(F.col("bucket") == F.lit(R.AP)) == 1, F.lit("JOBS_ON_ALL_PURPOSE"))
         .otherwise(F.lit("JOBS_ON_CLASSIC")).alias("compute_bucket"),
         F.count_distinct("job_run_id").alias("run_count"),
         F.count_distinct("day").alias("active_days"),
         F.round(avg_seconds / F.lit(60.0), 1).alias("avg_runtime_min"),
         F.max("day").alias("last_run_date"))
+    rank_to_name = (names.where(F.col("name_rank").isNotNull())
+                    .select("job_id", "name_rank", "job_name").distinct())
+    agg = dimension_join(stats, rank_to_name, ["job_id", "name_rank"], "left")
     return (agg.select("workspace_name", "bu", "env", "job_id", "job_name", "compute_bucket",
                        "run_count", "active_days", "avg_runtime_min", "last_run_date")
             .orderBy(F.desc("run_count"), F.asc_nulls_first("workspace_name"),

@@ -75,3 +75,12 @@ def test_no_python_udfs(inp):
     for name, fn in D.DATASETS.items():
         p = plan(fn(inp, registry.DEFAULT))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_backlog_distinct_counts_use_hash_aggregation(inp):
+    text = formatted(D.job_table(inp, registry.DEFAULT))
+    tree = text.split("\n\n")[0]
+    consumer = re.search(r"\+- (\w+) \(\d+\)\n[ :|]*\+- Expand", tree)
+    assert consumer and consumer.group(1) == "HashAggregate"
+    # one scan of the run timeline (lineitem with l_shipdate) feeds the backlog
+    assert len(re.findall(r"Scan parquet.*?ReadSchema: struct<[^>]*l_shipdate", text, re.S)) == 1
