@@ -111,3 +111,9 @@ def rank_job_names(names: DataFrame) -> DataFrame:
     by_job = Window.partitionBy("job_id").orderBy("job_name")
     return names.withColumn("name_rank",
                             F.when(F.col("job_name").isNotNull(), F.dense_rank().over(by_job)))
+
+
+def names_by_rank(ranked: DataFrame) -> DataFrame:
+    """(job_id, name_rank) -> job_name, to map a greatest rank back to its name."""
+    return (ranked.where(F.col("name_rank").isNotNull())
+            .select("job_id", "name_rank", "job_name").distinct())

@@ -236,9 +236,7 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
         F.count_distinct("day").alias("active_days"),
         F.round(avg_seconds / F.lit(60.0), 1).alias("avg_runtime_min"),
         F.max("day").alias("last_run_date"))
-    rank_to_name = (names.where(F.col("name_rank").isNotNull())
-                    .select("job_id", "name_rank", "job_name").distinct())
-    agg = dimension_join(stats, rank_to_name, ["job_id", "name_rank"], "left")
+    agg = dimension_join(stats, S.names_by_rank(names), ["job_id", "name_rank"], "left")
     return (agg.select("workspace_name", "bu", "env", "job_id", "job_name", "compute_bucket",
                        "run_count", "active_days", "avg_runtime_min", "last_run_date")
             .orderBy(F.desc("run_count"), F.asc_nulls_first("workspace_name"),
@@ -251,11 +249,14 @@ def serverless_job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFram
     t = inp.tables
     srv = S.serverless_usage(t.usage, p.time_range)
     labelled = attach_labels(srv, inp.ws(), p)
-    names = S.job_names(t.jobs).drop("name_rows")
-    named = dimension_join(labelled, names, ["workspace_id", "job_id"], "left")
-    # Rows equal on every grouped column (workspaces sharing a name) collapse.
+    names = S.rank_job_names(S.job_names(t.jobs))
+    named = dimension_join(labelled, names.select("workspace_id", "job_id", "name_rank"),
+                           ["workspace_id", "job_id"], "left")
+    # Rows equal on every grouped column (workspaces sharing a name) collapse;
+    # the greatest name is taken as the greatest rank (a hash aggregate).
     grouped = named.groupBy("bu", "env", "workspace_name", "job_id", "serverless_dbus",
-                            "first_usage", "last_usage").agg(F.max("job_name").alias("job_name"))
+                            "first_usage", "last_usage").agg(F.max("name_rank").alias("name_rank"))
+    grouped = dimension_join(grouped, S.names_by_rank(names), ["job_id", "name_rank"], "left")
     out = grouped.select("bu", "env", "workspace_name", "job_id", "job_name",
                          money("serverless_dbus").alias("serverless_dbus"),
                          "first_usage", "last_usage")
