@@ -144,3 +144,26 @@ def test_dashboard_filtered_equals_independent_queries(spark):
             a = sorted(map(tuple, dash.table(name).collect()))
             b = sorted(map(tuple, D.DATASETS[name](inp, p).collect()))
             assert a == b, name
+
+
+def test_largest_ap_fleet_named_even_with_no_ap_jobs(make_tables):
+    t = make_tables(workspaces=WS, clusters=CLUSTERS, runs=[
+        run("w2", "c", "r1", "2024-01-02 00:00:00", [srv()]),
+        run("w1", "a", "r2", "2024-01-02 00:00:00", [srv()]),
+    ])
+    row = D.bu_opportunities(D.Inputs(t), P).collect()[0]
+    assert (row.bus_above_50pct, row.bus_below_5pct, row.largest_ap_fleet) == (2, 0, "Market")
+
+
+def test_tables_from_catalog(spark):
+    from jobmix.sources import Tables
+    derived = registry.inputs(spark, SF_SMALL).tables
+    names = {}
+    for k in ("workspaces", "runs", "clusters", "jobs", "usage", "prices"):
+        getattr(derived, k).createOrReplaceTempView(f"jm_{k}")
+        names[k] = f"jm_{k}"
+    inp = D.Inputs(Tables.from_catalog(spark, names))
+    assert inp.tables.check() == {}
+    a = D.kpi_headline(inp, registry.DEFAULT).collect()
+    b = D.kpi_headline(D.Inputs(derived), registry.DEFAULT).collect()
+    assert a == b
