@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Default bound for an explicit broadcast; override per session with
-# ``spark.conf.set("jobmix.broadcast.maxBytes", ...)``.
-DEFAULT_BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# ``spark.conf.set("jobmix.broadcast.maxBytes", ...)``.  For files the
+# estimate counts compressed bytes, so the in-memory side can be a few times
+# larger: keep the bound well below what an executor can hold.
+DEFAULT_BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

@@ -19,13 +19,30 @@ BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024,
+               max_partitions: int = 100_000) -> dict[str, str]:
+    """Shuffle and scan sizing for an input of ``input_bytes``.
+
+    The initial shuffle partition count gives every reducer about
+    ``partition_bytes`` of the largest shuffle (never more than the input),
+    AQE then coalesces small partitions toward the same advisory size and
+    splits skewed ones; scans read splits of the same size.
+    """
+    partitions = max(1, min(max_partitions, -(-input_bytes // partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "jobmix", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with :data:`BASE_CONF`.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; the
-    shuffle partition count should then be sized to the input (roughly input
-    bytes / 128 MB), AQE coalesces the rest.
+    On a cluster pass ``master=None`` and let spark-submit decide, and size
+    shuffles to the input with ``extra=scale_conf(input_bytes)``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:

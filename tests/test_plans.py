@@ -84,3 +84,12 @@ def test_backlog_distinct_counts_use_hash_aggregation(inp):
     assert consumer and consumer.group(1) == "HashAggregate"
     # one scan of the run timeline (lineitem with l_shipdate) feeds the backlog
     assert len(re.findall(r"Scan parquet.*?ReadSchema: struct<[^>]*l_shipdate", text, re.S)) == 1
+
+
+def test_scale_conf_sizes_partitions_to_input():
+    from jobmix.session import scale_conf
+    conf = scale_conf(100 * 1024 ** 4)          # 100 TB
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100_000
+    conf = scale_conf(10 * 1024 ** 3)           # 10 GB
+    assert int(conf["spark.sql.shuffle.partitions"]) == 40
+    assert conf["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 * 1024)
