@@ -216,11 +216,13 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     tagged = R.tag_runs(entries, inp.ws(), p)
     group = ["workspace_name", "bu", "env", "job_id"]
     dur = F.col("execution_duration_seconds")
+    # Only classic entries are left, so the compute type is not shuffled.
     per_run_day = (tagged
                    .groupBy(*group, "workspace_id", "job_run_id",
-                            F.to_date("period_start_time").alias("day"), "compute_type", "cluster_id")
+                            F.to_date("period_start_time").alias("day"), "cluster_id")
                    .agg(F.sum(dur).alias("dur_sum"),
-                        F.count(dur).alias("dur_known")))
+                        F.count(dur).alias("dur_known"))
+                   .withColumn("compute_type", F.lit(R.CLASSIC)))
     names = S.rank_job_names(S.job_names(t.jobs))
     weighted = dimension_join(R.bucket_runs(per_run_day, t.clusters),
                               names.select("workspace_id", "job_id", "name_rows", "name_rank"),
