@@ -167,3 +167,16 @@ def test_tables_from_catalog(spark):
     a = D.kpi_headline(inp, registry.DEFAULT).collect()
     b = D.kpi_headline(D.Inputs(derived), registry.DEFAULT).collect()
     assert a == b
+
+
+def test_all_tables_run_on_empty_inputs(make_tables):
+    t = make_tables()
+    inp = D.Inputs(t)
+    out = {name: fn(inp, P).collect() for name, fn in D.DATASETS.items()}
+    assert out["kpi_headline"][0].total_jobs == 0
+    assert list(out["spend_kpi"][0]) == [None, None, None]
+    assert list(out["bu_opportunities"][0]) == [0, 0, None]
+    assert [r.bu for r in out["param_bu"]] == ["All"]
+    assert [r.env for r in out["param_env"]] == ["All"]
+    for name in ("breakdown_by_bu", "bu_trend", "job_table", "serverless_job_table", "env_kpi"):
+        assert out[name] == [], name
