@@ -12,8 +12,10 @@ Layout:
 * ``jobmix.sources``    -- loading the inputs (catalog, parquet, test fixtures)
 * ``jobmix.functions``  -- column expressions and label rule sets
 * ``jobmix.operators``  -- reusable DataFrame -> DataFrame steps
-* ``jobmix.plans``      -- the 16 result tables, the query registry and oracle SQL
+* ``jobmix.plans``      -- the 16 result tables, a shared-intermediate refresh
+                           (``Dashboard``), the query registry and oracle SQL
 * ``jobmix.streaming``  -- placeholder; the workload is batch only
+* ``jobmix.cli``        -- ``python -m jobmix refresh``: write all result tables
 """
 
 from jobmix.params import Params, TimeRange
