@@ -2,9 +2,10 @@
 
 The fixture data cannot produce several hazards (several history rows per
 cluster with mixed sources, NULL sources / names / flags, shared workspace
-names with different aggregates, overlapping and open-ended prices, runs on
-the range bounds), so small random tables are generated with them and both
-engines compute all 16 tables from the same rows.
+names with different aggregates, a workspace listed twice in the dimension,
+overlapping and open-ended prices, runs on the range bounds), so small
+random tables are generated with them and both engines compute all 16
+tables from the same rows.
 """
 
 from __future__ import annotations
@@ -59,6 +60,9 @@ def generate(seed: int) -> dict[str, list[tuple]]:
         bu = r.choice(BUS)
         name = f"w-{bu}-{r.choice(ENVS)}-r1" if i % 5 else "w-legacy-qat-r1"  # shared name
         ws.append((f"w{i}", name if r.random() > 0.05 else None))
+    # a workspace listed twice (the dimension fans out its rows), once with another name
+    ws.append(("w1", f"w-{r.choice(BUS)}-{r.choice(ENVS)}-r1"))
+    ws.append(("w2", ws[1][1] if len(ws) > 1 else "w-risk-dev-r1"))
     clusters = []
     for i in range(n_ws):
         for c in range(6):
