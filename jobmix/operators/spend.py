@@ -114,6 +114,11 @@ def rank_job_names(names: DataFrame) -> DataFrame:
 
 
 def names_by_rank(ranked: DataFrame) -> DataFrame:
-    """(job_id, name_rank) -> job_name, to map a greatest rank back to its name."""
-    return (ranked.where(F.col("name_rank").isNotNull())
+    """(job_id, name_rank) -> job_name, to map a greatest rank back to its name.
+
+    ``name_rows >= 1`` always holds; referencing it keeps the name dimension
+    below the window identical to its other use (which needs the row count),
+    so the query computes it once and reuses the exchange.
+    """
+    return (ranked.where(F.col("name_rank").isNotNull() & (F.col("name_rows") >= 1))
             .select("job_id", "name_rank", "job_name").distinct())
