@@ -113,12 +113,17 @@ def rank_job_names(names: DataFrame) -> DataFrame:
                             F.when(F.col("job_name").isNotNull(), F.dense_rank().over(by_job)))
 
 
-def names_by_rank(ranked: DataFrame) -> DataFrame:
-    """(job_id, name_rank) -> job_name, to map a greatest rank back to its name.
+def ranked_job_names(jobs: DataFrame) -> DataFrame:
+    """:func:`job_names` with :func:`rank_job_names`, for the two lookups of a query.
 
-    ``name_rows >= 1`` always holds; referencing it keeps the name dimension
-    below the window identical to its other use (which needs the row count),
-    so the query computes it once and reuses the exchange.
+    ``name_rows >= 1`` always holds; referencing it keeps the row count in
+    every use, so the name dimension below the window is the same plan in
+    both lookups and the query builds it once (the exchange is reused).
     """
-    return (ranked.where(F.col("name_rank").isNotNull() & (F.col("name_rows") >= 1))
+    return rank_job_names(job_names(jobs)).where(F.col("name_rows") >= 1)
+
+
+def names_by_rank(ranked: DataFrame) -> DataFrame:
+    """(job_id, name_rank) -> job_name, to map a greatest rank back to its name."""
+    return (ranked.where(F.col("name_rank").isNotNull())
             .select("job_id", "name_rank", "job_name").distinct())

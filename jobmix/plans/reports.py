@@ -223,7 +223,7 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
                    .agg(F.sum(dur).alias("dur_sum"),
                         F.count(dur).alias("dur_known"))
                    .withColumn("compute_type", F.lit(R.CLASSIC)))
-    names = S.rank_job_names(S.job_names(t.jobs))
+    names = S.ranked_job_names(t.jobs)
     weighted = dimension_join(R.bucket_runs(per_run_day, t.clusters),
                               names.select("workspace_id", "job_id", "name_rows", "name_rank"),
                               ["workspace_id", "job_id"], "left")
@@ -251,7 +251,7 @@ def serverless_job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFram
     t = inp.tables
     srv = S.serverless_usage(t.usage, p.time_range)
     labelled = attach_labels(srv, inp.ws(), p)
-    names = S.rank_job_names(S.job_names(t.jobs))
+    names = S.ranked_job_names(t.jobs)
     named = dimension_join(labelled, names.select("workspace_id", "job_id", "name_rank"),
                            ["workspace_id", "job_id"], "left")
     # Rows equal on every grouped column (workspaces sharing a name) collapse;

@@ -93,3 +93,10 @@ def test_scale_conf_sizes_partitions_to_input():
     conf = scale_conf(10 * 1024 ** 3)           # 10 GB
     assert int(conf["spark.sql.shuffle.partitions"]) == 40
     assert conf["spark.sql.files.maxPartitionBytes"] == str(256 * 1024 * 1024)
+
+
+@pytest.mark.parametrize("name", ["job_table", "serverless_job_table"])
+def test_name_dimension_built_once(inp, name):
+    df = D.DATASETS[name](inp, registry.DEFAULT)
+    df.collect()  # AQE shows reuse in the final plan
+    assert "ReusedExchange" in formatted(df)
