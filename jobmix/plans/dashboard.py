@@ -46,8 +46,13 @@ class _SharedInputs(D.Inputs):
 class Dashboard:
     """``with Dashboard(inputs, params) as d: tables = d.all()``."""
 
-    def __init__(self, inputs: D.Inputs, params: Params):
+    def __init__(self, inputs: D.Inputs, params: Params,
+                 storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+        """``storage_level``: where the shared tables are kept.  With frequent
+        executor loss a replicated level (``MEMORY_AND_DISK_2``) keeps a copy
+        elsewhere instead of recomputing lost blocks from the timeline."""
         self.params = params
+        self.storage_level = storage_level
         self._cache: dict = {}
         self._base = inputs
         self.inputs = _SharedInputs(inputs.tables, inputs.bu_rules, inputs.env_rules, self)
@@ -55,7 +60,7 @@ class Dashboard:
     def shared(self, key, build) -> DataFrame:
         """Build once per refresh and persist (memory, spilling to disk)."""
         if key not in self._cache:
-            self._cache[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+            self._cache[key] = build().persist(self.storage_level)
         return self._cache[key]
 
     def flags(self, params: Params) -> DataFrame:

@@ -180,3 +180,13 @@ def test_all_tables_run_on_empty_inputs(make_tables):
     assert [r.env for r in out["param_env"]] == ["All"]
     for name in ("breakdown_by_bu", "bu_trend", "job_table", "serverless_job_table", "env_kpi"):
         assert out[name] == [], name
+
+
+def test_dashboard_storage_level_and_release(spark):
+    from pyspark import StorageLevel
+    inp = registry.inputs(spark, SF_SMALL)
+    with Dashboard(inp, registry.DEFAULT, storage_level=StorageLevel.DISK_ONLY) as dash:
+        dash.table("kpi_headline").collect()
+        cached = list(dash._cache.values())
+        assert cached and all(df.storageLevel == StorageLevel.DISK_ONLY for df in cached)
+    assert all(not df.is_cached for df in cached)
