@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from jobmix.functions.rules import ENV_RULES, FIXTURE_BU_RULES, contains, one_of
 from jobmix.operators.labels import label_by_rules, label_from_tag, workspace_labels
