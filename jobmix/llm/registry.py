@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobmix.llm.licenses import op1_license_scan
+from jobmix.llm.line_dedup import OP7_SQL, op7_line_dedup
 from jobmix.llm.sentencepieces import op8_sentencepiece
 from jobmix.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_license_scan,
+        op7_line_dedup,
         op8_sentencepiece,
         op9_token_counts,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
