@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jobmix.llm.licenses import op1_license_scan
 from jobmix.llm.line_dedup import OP7_SQL, op7_line_dedup
+from jobmix.llm.quality import op10_quality_rules
 from jobmix.llm.sentencepieces import op8_sentencepiece
 from jobmix.llm.token_counts import op9_token_counts
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_line_dedup,
         op8_sentencepiece,
         op9_token_counts,
+        op10_quality_rules,
     )
 }
 
