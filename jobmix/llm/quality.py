@@ -2,8 +2,8 @@
 
 Every rule looks at one measure of a document and votes good, bad, or not at
 all.  No rule decides alone: an expectation-maximisation over the vote
-patterns of *all* documents estimates how often each rule is right about good
-and about bad documents, and a document's verdict is the posterior probability
+patterns of *all* documents estimates how often each rule votes which way on good
+and on bad documents, and a document's verdict is the posterior probability
 that it is good.  All work on texts is built-in column expressions; what
 reaches the driver is the number of documents per vote pattern, at most
 3 to the power of the number of rules, whatever the corpus size.
@@ -101,88 +101,97 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).cast("bigint").alias("n_capitals"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[0-9]+", ""))).cast("bigint").alias("n_digits"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[!?]+", ""))).cast("bigint").alias("n_shouts"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[.,;:]+", ""))).cast("bigint").alias("n_stops"),
     ).select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words",
-             "l.n_lines", "n_capitals", "n_digits", "n_shouts")
+             "l.n_lines", "n_capitals", "n_digits", "n_shouts", "n_stops")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad at ``value >= bad``, good at ``value < good``, else abstains; NULL abstains."""
+    """Votes bad where ``bad`` holds, else good where ``good`` holds, else abstains; NULL is "does not hold"."""
 
     name: str
-    value: Column
-    good: float
-    bad: float
+    bad: Column | None = None
+    good: Column | None = None
 
     def vote(self) -> Column:
-        return (F.when(self.value >= self.bad, F.lit(BAD)).when(self.value < self.good, F.lit(GOOD))
-                .otherwise(F.lit(ABSTAIN)))
+        never = F.lit(False)
+        return (F.when(never if self.bad is None else self.bad, F.lit(BAD))
+                .when(never if self.good is None else self.good, F.lit(GOOD)).otherwise(F.lit(ABSTAIN)))
 
 
 def default_rules() -> list[Rule]:
-    per_word = lambda c: F.try_divide(F.col(c), F.col("n_words"))
+    """Seven rules that know junk when they see it, and two that know prose."""
+    words = F.col("n_words")
+    per_word = lambda c: F.try_divide(F.col(c), words)
     per_char = lambda c: F.try_divide(F.col(c), F.col("word_chars"))
     return [
-        Rule("few words", -F.col("n_words"), -30, -10),
-        Rule("odd word length", F.abs(per_word("word_chars") - 5.5), 2.5, 5.0),
-        Rule("symbols", per_word("n_symbols"), 0.02, 0.1),
-        Rule("repeated lines", F.try_divide(F.col("n_dup_lines"), F.col("n_lines")), 0.05, 0.3),
-        Rule("repeated windows", per_word("n_repeat_words"), 0.05, 0.2),
-        Rule("capitals", per_char("n_capitals"), 0.1, 0.3),
-        Rule("shouting", per_word("n_shouts"), 0.1, 0.3),
-        Rule("digits", per_char("n_digits"), 0.1, 0.3),
+        Rule("few words", bad=words < 10),
+        Rule("word length", bad=(per_word("word_chars") < 2) | (per_word("word_chars") > 12)),
+        Rule("symbols", bad=per_word("n_symbols") >= 0.1),
+        Rule("repeated lines", bad=F.try_divide(F.col("n_dup_lines"), F.col("n_lines")) >= 0.3),
+        Rule("repeated windows", bad=per_word("n_repeat_words") >= 0.2),
+        Rule("capitals", bad=per_char("n_capitals") >= 0.3),
+        Rule("shouting", bad=per_word("n_shouts") >= 0.3),
+        Rule("digits", bad=per_char("n_digits") >= 0.3),
+        Rule("length of prose", good=words.between(30, 100_000)),
+        Rule("punctuated", good=(per_word("n_stops") >= 0.02) & (per_word("n_stops") <= 0.4)),
     ]
 
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Share of good documents and, by rule, how often its votes are right on good and bad ones."""
+    """Share of good documents and, by rule, the odds of each vote: on good to on bad documents.
+
+    Abstaining says nothing: junk is of many kinds, and a rule for one kind
+    abstains on all the others.
+    """
 
     prior: float
-    right_on_good: tuple[float, ...]
-    right_on_bad: tuple[float, ...]
+    odds: tuple[dict[int, float], ...]
 
     def log_odds(self, votes: list[Column]) -> Column:
         """Log odds that a document with these votes is good."""
         total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for v, g, b in zip(votes, self.right_on_good, self.right_on_bad):
-            total = total + (F.when(v == GOOD, F.lit(math.log(g / (1 - b))))
-                             .when(v == BAD, F.lit(math.log((1 - g) / b))).otherwise(F.lit(0.0)))
+        for v, odds in zip(votes, self.odds):
+            total = total + (F.when(v == GOOD, math.log(odds[GOOD])).when(v == BAD, math.log(odds[BAD]))
+                             .otherwise(0.0))
         return total
 
+    def belief(self, pattern: tuple[int, ...]) -> float:
+        odds = math.log(self.prior / (1 - self.prior)) + sum(
+            math.log(o[v]) for o, v in zip(self.odds, pattern) if v != ABSTAIN)
+        return 1 / (1 + math.exp(-max(min(odds, 500.0), -500.0)))
+
 
 def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 100) -> VoteModel:
-    """Expectation-maximisation over counted vote patterns, from the majority vote.
+    """Expectation-maximisation over counted vote patterns.
 
-    Abstentions say nothing.  Counts are smoothed by one document and
-    accuracies kept within (0.5, 0.999): rules are assumed better than chance,
-    which also fixes which class is the good one.
+    Starts from the belief that a document with a bad vote is bad, which also
+    fixes which class is the good one.  Counts are smoothed by one document.
+    A bad vote never speaks for a document and a good one never against it.
     """
-    belief = {p: (p.count(GOOD) + 1) / (p.count(GOOD) + p.count(BAD) + 2) for p in patterns}
-    belief = {p: 0.9 if b > 0.75 else 0.1 if b < 0.5 else b for p, b in belief.items()}
-    model = VoteModel(0.5, (0.7,) * n_rules, (0.7,) * n_rules)
     total = sum(patterns.values())
     if not total:
-        return model
-    clip = lambda x: min(max(x, 0.501), 0.999)
+        return VoteModel(0.5, ({GOOD: 1.0, BAD: 1.0},) * n_rules)
+    belief = {p: 0.05 if BAD in p else 0.95 for p in patterns}
+    prior = 0.0
     for _ in range(rounds):
-        good_mass = sum(n * belief[p] for p, n in patterns.items())
-        on_good, on_bad = [], []
+        before = prior
+        good = sum(n * belief[p] for p, n in patterns.items())
+        prior = min(max((good + 1) / (total + 2), 0.01), 0.99)
+        rules = []
         for j in range(n_rules):
-            said = {v: (sum(n * belief[p] for p, n in patterns.items() if p[j] == v),
-                        sum(n * (1 - belief[p]) for p, n in patterns.items() if p[j] == v)) for v in (GOOD, BAD)}
-            on_good.append(clip((said[GOOD][0] + 1) / (said[GOOD][0] + said[BAD][0] + 2)))
-            on_bad.append(clip((said[BAD][1] + 1) / (said[GOOD][1] + said[BAD][1] + 2)))
-        new = VoteModel(min(max((good_mass + 1) / (total + 2), 0.01), 0.99), tuple(on_good), tuple(on_bad))
-        change = max(abs(a - b) for a, b in zip((new.prior, *new.right_on_good, *new.right_on_bad),
-                                                (model.prior, *model.right_on_good, *model.right_on_bad)))
-        model = new
-        for p in patterns:
-            odds = math.log(model.prior / (1 - model.prior))
-            for v, g, b in zip(p, model.right_on_good, model.right_on_bad):
-                odds += math.log(g / (1 - b)) if v == GOOD else math.log((1 - g) / b) if v == BAD else 0.0
-            belief[p] = 1 / (1 + math.exp(-max(min(odds, 500.0), -500.0)))
-        if change < 1e-6:
+            odds = {}
+            for v in (GOOD, BAD):
+                on_good = sum(n * belief[p] for p, n in patterns.items() if p[j] == v)
+                on_bad = sum(n * (1 - belief[p]) for p, n in patterns.items() if p[j] == v)
+                odds[v] = ((on_good + 1) / (good + 3)) / ((on_bad + 1) / (total - good + 3))
+            odds[BAD], odds[GOOD] = min(odds[BAD], 1.0), max(odds[GOOD], 1.0)
+            rules.append(odds)
+        model = VoteModel(prior, tuple(rules))
+        belief = {p: model.belief(p) for p in patterns}
+        if abs(prior - before) < 1e-9:
             break
     return model
 

@@ -11,10 +11,12 @@ from jobmix.llm.line_dedup import OP7_SQL, op7_line_dedup
 from jobmix.llm.quality import op10_quality_rules
 from jobmix.llm.sentencepieces import op8_sentencepiece
 from jobmix.llm.token_counts import op9_token_counts
+from jobmix.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan,
+        op6_toxicity,
         op7_line_dedup,
         op8_sentencepiece,
         op9_token_counts,
