@@ -31,6 +31,8 @@ SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 5
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
+# A bad vote is at least five times likelier on bad documents.
+MAX_BAD_ODDS = 0.2
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -102,8 +104,9 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.length(text) - F.length(F.regexp_replace(text, r"[0-9]+", ""))).cast("bigint").alias("n_digits"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[!?]+", ""))).cast("bigint").alias("n_shouts"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[.,;:]+", ""))).cast("bigint").alias("n_stops"),
+        (F.length(text) - F.length(F.regexp_replace(text, r"[!-/:-@\[-`{-~]+", ""))).cast("bigint").alias("n_marks"),
     ).select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words",
-             "l.n_lines", "n_capitals", "n_digits", "n_shouts", "n_stops")
+             "l.n_lines", "n_capitals", "n_digits", "n_shouts", "n_stops", "n_marks")
 
 
 @dataclass(frozen=True)
@@ -121,14 +124,16 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Seven rules that know junk when they see it, and two that know prose."""
+    """Rules that know junk when they see it, some of them of the same kind, and two that know prose."""
     words = F.col("n_words")
     per_word = lambda c: F.try_divide(F.col(c), words)
     per_char = lambda c: F.try_divide(F.col(c), F.col("word_chars"))
     return [
         Rule("few words", bad=words < 10),
         Rule("word length", bad=(per_word("word_chars") < 2) | (per_word("word_chars") > 12)),
-        Rule("symbols", bad=per_word("n_symbols") >= 0.1),
+        Rule("symbols by word", bad=per_word("n_symbols") >= 0.1),
+        Rule("symbols by character", bad=per_char("n_symbols") >= 0.03),
+        Rule("few letters", bad=per_char("n_marks") >= 0.12),
         Rule("repeated lines", bad=F.try_divide(F.col("n_dup_lines"), F.col("n_lines")) >= 0.3),
         Rule("repeated windows", bad=per_word("n_repeat_words") >= 0.2),
         Rule("capitals", bad=per_char("n_capitals") >= 0.3),
@@ -168,18 +173,20 @@ def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 100) -
     """Expectation-maximisation over counted vote patterns.
 
     Starts from the belief that a document with a bad vote is bad, which also
-    fixes which class is the good one.  Counts are smoothed by one document.
-    A bad vote never speaks for a document and a good one never against it.
+    fixes which class is the good one.  The share of good documents stays at
+    the share that no rule objects to (half at least): with abstentions that
+    say nothing, votes alone cannot tell it.  Counts are smoothed by one document.
+    Rules are assumed better than chance: a bad vote is at least as many
+    times likelier on bad documents as ``MAX_BAD_ODDS`` says, and a good vote
+    never speaks against a document.
     """
     total = sum(patterns.values())
     if not total:
         return VoteModel(0.5, ({GOOD: 1.0, BAD: 1.0},) * n_rules)
     belief = {p: 0.05 if BAD in p else 0.95 for p in patterns}
-    prior = 0.0
+    prior = min(max(sum(n for p, n in patterns.items() if BAD not in p) / total, 0.5), 0.99)
     for _ in range(rounds):
-        before = prior
         good = sum(n * belief[p] for p, n in patterns.items())
-        prior = min(max((good + 1) / (total + 2), 0.01), 0.99)
         rules = []
         for j in range(n_rules):
             odds = {}
@@ -187,11 +194,13 @@ def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 100) -
                 on_good = sum(n * belief[p] for p, n in patterns.items() if p[j] == v)
                 on_bad = sum(n * (1 - belief[p]) for p, n in patterns.items() if p[j] == v)
                 odds[v] = ((on_good + 1) / (good + 3)) / ((on_bad + 1) / (total - good + 3))
-            odds[BAD], odds[GOOD] = min(odds[BAD], 1.0), max(odds[GOOD], 1.0)
+            odds[BAD], odds[GOOD] = min(odds[BAD], MAX_BAD_ODDS), max(odds[GOOD], 1.0)
             rules.append(odds)
         model = VoteModel(prior, tuple(rules))
-        belief = {p: model.belief(p) for p in patterns}
-        if abs(prior - before) < 1e-9:
+        new = {p: model.belief(p) for p in patterns}
+        change = max(abs(new[p] - belief[p]) for p in patterns)
+        belief = new
+        if change < 1e-9:
             break
     return model
 

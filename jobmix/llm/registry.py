@@ -12,10 +12,12 @@ from jobmix.llm.quality import op10_quality_rules
 from jobmix.llm.sentencepieces import op8_sentencepiece
 from jobmix.llm.token_counts import op9_token_counts
 from jobmix.llm.toxicity import op6_toxicity
+from jobmix.llm.warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan,
+        op2_warc,
         op6_toxicity,
         op7_line_dedup,
         op8_sentencepiece,
@@ -25,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op7_line_dedup": OP7_SQL,
 }
 
