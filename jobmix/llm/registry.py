@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobmix.llm.decontamination import op3_decontamination
 from jobmix.llm.licenses import op1_license_scan
 from jobmix.llm.line_dedup import OP7_SQL, op7_line_dedup
 from jobmix.llm.quality import op10_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan,
         op2_warc,
+        op3_decontamination,
         op6_toxicity,
         op7_line_dedup,
         op8_sentencepiece,
