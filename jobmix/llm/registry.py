@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from jobmix.llm.decontamination import op3_decontamination
 from jobmix.llm.licenses import op1_license_scan
 from jobmix.llm.line_dedup import OP7_SQL, op7_line_dedup
+from jobmix.llm.ngram_join import op4_ngram_join
 from jobmix.llm.quality import op10_quality_rules
 from jobmix.llm.sentencepieces import op8_sentencepiece
 from jobmix.llm.token_counts import op9_token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_license_scan,
         op2_warc,
         op3_decontamination,
+        op4_ngram_join,
         op6_toxicity,
         op7_line_dedup,
         op8_sentencepiece,
