@@ -24,9 +24,9 @@ the sets - and the others compared exactly.
 
 *The rest of large groups.*  Sets of a large group that the stars have put
 into one component need no more pairs.  All sets of groups that still hold
-several components are joined exactly by prefix filtering: ordered by
-frequency, similar sets share one of their rarest 5-grams.  Only pairs from
-different components are made.
+several components are joined exactly by prefix filtering: in one order for all sets,
+here with frequent 5-grams last, two similar sets share one of their first
+5-grams.  Only pairs from different components are compared.
 
 Results for odd input: texts without words (null, empty, white space) have
 the empty set, link with nothing, and are their own component; rows without
@@ -51,11 +51,13 @@ from jobmix.llm.common import ASCII_LOWER, arrow_schema, map_batches, materializ
 SHINGLE = 5
 # Linked: SIMILAR_OF * intersection >= SIMILAR * union, in hundredths.
 SIMILAR, SIMILAR_OF = 75, 100
-SMALL_GROUP = 8
+SMALL_GROUP = 16
 # Buckets of the counts by which candidates are dropped.
 BUCKETS = 128
 # Identifiers of at most this many sets are broadcast (16 bytes each).
 BROADCAST_SETS = 500_000
+# The prefix filter's order is taken from this many sets, and puts at most so many 5-grams last.
+ORDER_SAMPLE, ORDER_GRAMS = 20_000, 100_000
 # Signatures go to Spark in batches of about this many rows.
 BATCH_ROWS = 200_000
 
@@ -388,27 +390,121 @@ def crowded(members: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(mixed, "sig").select("set_id", "component").distinct()
 
 
-def prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of sets of different components that share one of their rarest 5-grams.
+def frequent_grams(sets: DataFrame, sample: int = ORDER_SAMPLE, most: int = ORDER_GRAMS) -> list[int]:
+    """5-grams that are frequent in a sample of the sets, at most ``most``.
 
-    Of two similar sets ordered by frequency, the first ``size - need + 1``
-    5-grams of both have one in common; ``need`` is the least intersection.
+    They only come last in the order of the prefix filter, which is exact in
+    any order; so a bounded sample will do.
     """
-    rows = sets.join(labels, "set_id").select("set_id", "component", F.size("grams").alias("size"),
-                                              F.explode("grams").alias("gram"))
-    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # A 5-gram of one set alone takes a place among the rarest, but can meet nothing.
-    shared = rows.join(often, "gram").groupBy("set_id", "component", "size").agg(
-        F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("shared"))
-    need = F.ceil(F.col("size") * SIMILAR / SIMILAR_OF).cast("int")
-    first = F.greatest(F.col("size") - need + 1 - (F.col("size") - F.size("shared")), F.lit(0))
-    heads = shared.select("set_id", "component", "size", F.explode(F.slice("shared", F.lit(1), first)).alias("g"))
-    x = heads.select(F.col("g.gram").alias("gram"), F.col("set_id").alias("a"), F.col("component").alias("ca"),
-                     F.col("size").alias("sa"))
-    y = heads.select(F.col("g.gram").alias("gram"), F.col("set_id").alias("b"), F.col("component").alias("cb"),
-                     F.col("size").alias("sb"))
-    return (x.join(y, "gram").where("a < b and ca <> cb")
-            .where(f"{SIMILAR_OF} * least(sa, sb) >= {SIMILAR} * greatest(sa, sb)").select("a", "b").distinct())
+    part = sets.orderBy(F.xxhash64("set_id")).limit(sample)
+    rows = (part.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+            .where("n > 2").orderBy(F.desc("n"), "gram").limit(most).collect())
+    return [r["gram"] for r in rows]
+
+
+def prefixes(sets: DataFrame, last: list[int]) -> DataFrame:
+    """``sig, set_id``: the first ``size - need + 1`` 5-grams of every set.
+
+    ``need`` is the least intersection with a similar set.  The order is by a
+    hash, with the 5-grams of ``last`` after all others.  Two similar sets
+    have one of their first 5-grams in common.
+    """
+    late = np.sort(np.array(last, np.int64))
+
+    def run(batches):
+        for batch in batches:
+            ids, owners, sizes = batch.column(0).to_numpy(), batch.column(1), batch.column(1).value_lengths()
+            flat = owners.flatten().to_numpy()
+            sizes = sizes.to_numpy()
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            common = np.isin(flat, late, assume_unique=False) if len(late) else np.zeros(len(flat), bool)
+            order = np.lexsort((mix(flat.view(np.uint64) + np.uint64(99)), common, owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = sizes - -(-sizes * SIMILAR // SIMILAR_OF) + 1
+            kept = place < first[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), pa.array(ids[owner[kept]])],
+                                             schema=SIGNATURES)
+    return map_batches(sets, run, SIGNATURES)
+
+
+def shared_only(sigs: DataFrame) -> DataFrame:
+    """Rows of ``sig, set_id`` whose signature another set has, too; a stream of sorted rows."""
+    def run(batches):
+        held = None  # the last row, while it is alone with its signature
+        ended = None  # the signature of the last row
+        for batch in batches:
+            sig, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held is not None:
+                sig, own = np.r_[held[0], sig], np.r_[held[1], own]
+            keep = np.zeros(len(sig), bool)
+            same = sig[1:] == sig[:-1]
+            keep[1:] |= same
+            keep[:-1] |= same
+            if held is None and ended is not None:
+                keep |= sig == ended
+            held = None if keep[-1] else (sig[-1:], own[-1:])
+            ended = sig[-1]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(own[keep])], schema=SIGNATURES)
+    return map_batches(sigs.repartition("sig").sortWithinPartitions("sig"), run, SIGNATURES)
+
+
+def near_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets of different components that share a signature and have near counts.
+
+    ``rows``: ``sig, set_id, component, size, counts``.  Sorted rows are a
+    stream; new rows of a signature are compared with those held of it.
+    """
+    schema = arrow_schema({"a": pa.int64(), "b": pa.int64()})
+
+    def near(x, y):
+        """Row numbers of x and y that may be similar."""
+        found = []
+        step = max(1, 200_000 // max(len(y[0]), 1))
+        for at in range(0, len(x[0]), step):
+            own, comp, size, cnt = (c[at:at + step] for c in x)
+            ok = (comp[:, None] != y[1][None]) & (SIMILAR_OF * np.minimum(size[:, None], y[2][None])
+                                                  >= SIMILAR * np.maximum(size[:, None], y[2][None]))
+            i, j = np.nonzero(ok)
+            apart = np.abs(cnt[i] - y[3][j]).sum(1)
+            ok = apart <= (size[i] + y[2][j]) * (SIMILAR_OF - SIMILAR) // (SIMILAR_OF + SIMILAR)
+            p, q = own[i[ok]], y[0][j[ok]]
+            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+        return found
+
+    def run(batches):
+        at, held = None, None
+        for batch in batches:
+            found = []
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                sig = part.column(0).to_numpy()
+                cols = [part.column(i).to_numpy() for i in (1, 2, 3)]
+                cols.append(np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
+                            .reshape(-1, BUCKETS).astype(np.int16))
+                starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+                for start, stop in zip(starts, np.r_[starts[1:], len(sig)]):
+                    new = [c[start:stop] for c in cols]
+                    if sig[start] == at:
+                        found.extend(near(new, held))
+                        found.extend(near(new, new))
+                        held = [np.concatenate(h) for h in zip(held, new)]
+                    else:
+                        at, held = sig[start], new
+                        if stop - start > 1:
+                            found.extend(near(new, new))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
+                                                 schema=schema)
+    dealt = rows.select("sig", "set_id", "component", "size", "counts").repartition("sig").sortWithinPartitions("sig")
+    return map_batches(dealt, run, schema).distinct()
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate pairs ``a, b`` of different components by exact prefix filtering."""
+    heads = shared_only(prefixes(sets, frequent_grams(sets)))
+    known = labels.join(nodes.select("set_id", "size", "counts"), "set_id")
+    return near_pairs(heads.join(known, "set_id"))
 
 
 def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
@@ -430,7 +526,7 @@ def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     rest = materialize(crowded(groups.where("large").select("a", "b"), found))
     if not rest.isEmpty():
         wanted = nodes.join(rest, "set_id", "left_semi").select("doc")
-        more = links_of(prefix_pairs(sets_of(texts, wanted), rest))
+        more = links_of(prefix_pairs(materialize(sets_of(texts, wanted)), rest, nodes))
         if not more.isEmpty():
             found = components(links.union(more))
     # Components of sets by their smallest document; unlinked sets are their own.
