@@ -12,6 +12,7 @@ from jobmix.llm.line_dedup import OP7_SQL, op7_line_dedup
 from jobmix.llm.ngram_join import op4_ngram_join
 from jobmix.llm.quality import op10_quality_rules
 from jobmix.llm.sentencepieces import op8_sentencepiece
+from jobmix.llm.surrogates import op5_surrogates
 from jobmix.llm.token_counts import op9_token_counts
 from jobmix.llm.toxicity import op6_toxicity
 from jobmix.llm.warc import OP2_SQL, op2_warc
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_warc,
         op3_decontamination,
         op4_ngram_join,
+        op5_surrogates,
         op6_toxicity,
         op7_line_dedup,
         op8_sentencepiece,
