@@ -38,6 +38,7 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
+from jobmix.functions.rules import FIXTURE_BU_RULES  # noqa: E402
 from jobmix.plans import registry, reports  # noqa: E402
 from jobmix.plans.dashboard import Dashboard  # noqa: E402
 from jobmix.session import build_session  # noqa: E402
@@ -120,7 +121,7 @@ def main() -> None:
     store = os.path.join(work, "tables")
     write_tables(derive_tables(spark, sf_dir), store, by_day=False, files=2 * cpus)
     load_sec = time.perf_counter() - t0
-    stored = reports.Inputs(Tables.from_parquet(spark, store))
+    stored = reports.Inputs(Tables.from_parquet(spark, store), FIXTURE_BU_RULES)
 
     timings = time_tables(stored, params, repeats)
     raw = time_tables(registry.inputs(spark, sf_dir), params, max(1, min(repeats, 3)))

@@ -9,6 +9,7 @@ written.  Replace the rule sets to fit an estate's naming convention.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -40,6 +41,20 @@ class Rule:
         return out
 
 
+def load_rules(path: str) -> dict[str, tuple["Rule", ...]]:
+    """Rule sets from a JSON file: ``{"bu": [{"label", "kind", "values"}, ...], "env": [...]}``.
+
+    ``bu`` is required; without ``env`` the built-in environment rules apply.
+    """
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if not found.get("bu"):
+        raise ValueError(f"{path}: no 'bu' rules")
+    out = {k: tuple(Rule(r["label"], r["kind"], tuple(r["values"])) for r in found[k])
+           for k in ("bu", "env") if k in found}
+    return {"env": ENV_RULES, **out}
+
+
 def contains(label: str, *needles: str) -> Rule:
     return Rule(label, "contains", needles)
 

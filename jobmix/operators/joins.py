@@ -19,25 +19,24 @@ DEFAULT_BROADCAST_MAX_BYTES = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (an upper-bound style guess), or None."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # Spark Connect or an unexpected plan: no estimate
+    """Catalyst's size estimate of ``df`` (an upper-bound style guess); None where a
+    session has no local plan to ask (Spark Connect): then nothing is hinted and the
+    planner decides from its own statistics."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
         return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_bound(df: DataFrame) -> int:
-    try:
-        value = df.sparkSession.conf.get("jobmix.broadcast.maxBytes", None)
-    except Exception:
-        value = None
-    return int(value) if value else DEFAULT_BROADCAST_MAX_BYTES
+    value = df.sparkSession.conf.get("jobmix.broadcast.maxBytes", None)
+    return DEFAULT_BROADCAST_MAX_BYTES if value is None else int(value)
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
     size = estimated_bytes(df)
-    return size is not None and size <= (max_bytes or broadcast_bound(df))
+    bound = broadcast_bound(df) if max_bytes is None else max_bytes
+    return size is not None and size <= bound
 
 
 def dimension_join(fact: DataFrame, dim: DataFrame, on: list[str] | Column,

@@ -15,9 +15,10 @@ result, and filtering on the labels first shrinks what the cluster join moves.
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmix.functions.exprs import flag, multi_select, week_start
@@ -33,24 +34,31 @@ SRV, AP, JC, OTHER = "SRV", "AP", "JC", "OTHER"
 INTERACTIVE_SOURCES = ("UI", "API")
 
 RUN_COLUMNS = ("workspace_id", "job_id", "job_run_id", "period_start_time")
-# Day partition column of a date-partitioned timeline (see jobmix.sources.layout).
-RUN_DAY = "period_start_date"
+# Partition column of a timeline stored by day (see jobmix.sources.layout): the UTC day.
+RUN_DAY = "run_day_utc"
+
+
+def utc_day(ts: str = "period_start_time") -> Column:
+    """The UTC day of a timestamp, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
 
 
 def run_window(timeline: DataFrame, time_range: TimeRange) -> DataFrame:
     """Timeline rows with ``min <= period_start_time < max + 1 day``.
 
     The bounds are literals on the bare column, so the predicate reaches the
-    Parquet scan (row-group skipping, and partition pruning when the table is
-    laid out by date).
+    Parquet scan (row-group skipping).  On storage partitioned by the UTC day
+    a second predicate prunes directories; it is a day wider on both sides
+    than the range, as no time zone is further from UTC, and so drops no row
+    that the exact bound keeps.
     """
     ts = F.col("period_start_time")
     lo = F.lit(time_range.min).cast("timestamp")
     hi = F.lit(time_range.end_exclusive).cast("timestamp")
     out = timeline.where((ts >= lo) & (ts < hi))
     if RUN_DAY in timeline.columns:
-        # Stored partitioned by day: the equivalent day predicate prunes directories.
-        out = out.where(F.col(RUN_DAY).between(F.lit(time_range.min), F.lit(time_range.max)))
+        day = dt.timedelta(days=1)
+        out = out.where(F.col(RUN_DAY).between(F.lit(time_range.min - day), F.lit(time_range.max + day)))
     return out
 
 
@@ -90,8 +98,11 @@ def cluster_kinds(clusters: DataFrame) -> DataFrame:
     counts the cluster rows of that kind.  A key with rows of both kinds has
     two rows, so a run entry joins to at most two rows however many history
     rows the cluster table keeps, and ``cl_rows`` carries the multiplicity a
-    plain join would have produced.
+    plain join would have produced.  A table already collapsed is returned
+    as it is, so a refresh collapses its clusters once.
     """
+    if "cl_bucket" in clusters.columns:
+        return clusters
     kind = F.when(F.col("cluster_source").isin(list(INTERACTIVE_SOURCES)), F.lit(AP)).otherwise(F.lit(JC))
     return (clusters
             .where(F.col("cluster_id").isNotNull())
@@ -113,7 +124,7 @@ def bucket_runs(entries: DataFrame, clusters: DataFrame, broadcast: bool | None
     """
     kinds = cluster_kinds(clusters)
     if broadcast is None:
-        broadcast = cluster_lookup_broadcasts(clusters)
+        broadcast = fits_broadcast(kinds)
     classic = F.col("compute_type") == F.lit(CLASSIC)
     key = F.col("cluster_id") if broadcast else _lookup_key(entries)
     e = entries.withColumn("_cluster_key", key)
@@ -131,11 +142,6 @@ def bucket_runs(entries: DataFrame, clusters: DataFrame, broadcast: bool | None
                          F.coalesce("cl_rows", F.lit(1)).cast("bigint").alias("weight"))
 
 
-def cluster_lookup_broadcasts(clusters: DataFrame) -> bool:
-    """Whether the collapsed cluster table is small enough to broadcast."""
-    return fits_broadcast(cluster_kinds(clusters))
-
-
 def _lookup_key(entries: DataFrame):
     """Join key for a shuffle join against the cluster table.
 
@@ -153,10 +159,10 @@ def _lookup_key(entries: DataFrame):
 def _distinct_compute(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What classification needs from each entry, de-duplicated.
 
-    Used before a *shuffle* join with the cluster table: many runs of a job
-    reuse the same cluster and serverless entries carry no cluster, so the
-    distinct (keys, type, cluster) set is far smaller than the entries, and
-    its partial aggregate runs map-side before anything is shuffled.
+    Many runs of a job reuse the same cluster and serverless entries carry no
+    cluster, so the distinct (keys, type, cluster) set is far smaller than the
+    entries, and its partial aggregate runs map-side before anything is
+    shuffled: a hot job or cluster is a few rows.
     """
     cluster = F.when(F.col("compute_type") == F.lit(CLASSIC), F.col("cluster_id"))
     cols = list(dict.fromkeys([*keys, "workspace_id"]))
@@ -164,10 +170,7 @@ def _distinct_compute(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _for_classification(tagged: DataFrame, clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    broadcast = cluster_lookup_broadcasts(clusters)
-    if not broadcast:
-        tagged = _distinct_compute(tagged, keys)
-    return bucket_runs(tagged, clusters, broadcast=broadcast)
+    return bucket_runs(_distinct_compute(tagged, keys), clusters)
 
 
 def classify_jobs(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmix.operators.joins import dimension_join
@@ -24,7 +24,7 @@ def usage_in_range(usage: DataFrame, time_range: TimeRange) -> DataFrame:
     return usage.where(d.between(F.lit(time_range.min), F.lit(time_range.max)))
 
 
-def spend_bucket() -> "F.Column":
+def spend_bucket() -> Column:
     """JOBS split by ``is_serverless`` (NULL is neither), ALL_PURPOSE as a total."""
     product = F.col("billing_origin_product")
     serverless = F.col("product_features.is_serverless")
@@ -43,7 +43,9 @@ def price_usage(usage: DataFrame, prices: DataFrame, time_range: TimeRange,
     A price is in force from ``price_start_time`` (inclusive) to
     ``price_end_time`` (exclusive, NULL = still open).  Usage with no price
     in force costs 0.  ``rate`` multiplies the list price (an effective
-    contract rate); it stays decimal so money is exact until rounded.
+    contract rate).  Quantity, price and rate are multiplied in decimal; with
+    the declared input types the product keeps all its digits, with wider
+    decimals Spark rounds it to the scale its decimal rules allow.
 
     Output: ``date``, ``workspace_id``, ``bucket``, ``revenue`` (+ ``keep``).
     The price list is a small dimension (SKUs x price changes): it is
@@ -68,13 +70,33 @@ def price_usage(usage: DataFrame, prices: DataFrame, time_range: TimeRange,
                          spend_bucket().alias("bucket"), revenue.alias("revenue"), *keep)
 
 
+def overlapping_prices(prices: DataFrame) -> DataFrame:
+    """Pairs of prices of one SKU and unit that are in force at the same time.
+
+    Usage at such a time is counted once per price; a price list should give
+    no row here.  Each price is compared with the latest end before it, so a
+    SKU's history is read once, in order.
+    """
+    by_sku = Window.partitionBy("sku_name", "usage_unit").orderBy("price_start_time", "price_end_time")
+    before = by_sku.rowsBetween(Window.unboundedPreceding, -1)
+    open_end = F.lit("9999-12-31").cast("timestamp")
+    ends = F.coalesce("price_end_time", open_end)
+    return (prices.where(F.col("price_start_time") < ends)
+            .withColumn("earlier_end", F.max(F.coalesce("price_end_time", open_end)).over(before))
+            .where(F.col("earlier_end") > F.col("price_start_time"))
+            .select("sku_name", "usage_unit", "price_start_time", "price_end_time", "earlier_end"))
+
+
 def tag_spend(priced: DataFrame, ws: DataFrame, params: Params | None = None) -> DataFrame:
-    """Attach ``bu`` / ``env`` of the workspace to priced usage and apply the choices."""
-    return attach_labels(priced, ws, params, with_name=False)
+    """Attach ``bu`` / ``env`` of the workspace to priced usage and apply the choices.
+
+    A ``bu`` that is already there (taken from a tag of the usage) is kept.
+    """
+    return attach_labels(priced, ws, params, with_name=False, keep_bu="bu" in priced.columns)
 
 
-def serverless_usage(usage: DataFrame, time_range: TimeRange) -> DataFrame:
-    """Serverless job usage per (workspace, job): DBUs, first and last day.
+def serverless_usage(usage: DataFrame, time_range: TimeRange, keep: Sequence[str] = ()) -> DataFrame:
+    """Serverless job usage per (workspace, job, ``keep``): DBUs, first and last day.
 
     Aggregated before any join, so the name lookups afterwards see one row
     per job instead of one per usage record.
@@ -83,7 +105,7 @@ def serverless_usage(usage: DataFrame, time_range: TimeRange) -> DataFrame:
          .where((F.col("billing_origin_product") == F.lit(JOBS_PRODUCT))
                 & (F.col("product_features.is_serverless") == F.lit(True))
                 & F.col("usage_metadata.job_id").isNotNull()))
-    return (u.groupBy("workspace_id", F.col("usage_metadata.job_id").alias("job_id"))
+    return (u.groupBy("workspace_id", F.col("usage_metadata.job_id").alias("job_id"), *keep)
             .agg(F.sum("usage_quantity").alias("serverless_dbus"),
                  F.min("usage_date").alias("first_usage"),
                  F.max("usage_date").alias("last_usage")))
@@ -97,33 +119,3 @@ def job_names(jobs: DataFrame) -> DataFrame:
     """
     return jobs.groupBy("workspace_id", "job_id").agg(
         F.max("name").alias("job_name"), F.count(F.lit(1)).alias("name_rows"))
-
-
-def rank_job_names(names: DataFrame) -> DataFrame:
-    """Add ``name_rank``: dense rank of ``job_name`` among the names of the same job id.
-
-    Order-preserving within a job id, so the greatest name of any set of
-    workspaces for one job is the name of the greatest rank -- which a hash
-    aggregate can take (a string maximum would force a sort aggregate).
-    The window partitions the name dimension by job id; a partition holds
-    one row per workspace using that id.  NULL names get no rank.
-    """
-    by_job = Window.partitionBy("job_id").orderBy("job_name")
-    return names.withColumn("name_rank",
-                            F.when(F.col("job_name").isNotNull(), F.dense_rank().over(by_job)))
-
-
-def ranked_job_names(jobs: DataFrame) -> DataFrame:
-    """:func:`job_names` with :func:`rank_job_names`, for the two lookups of a query.
-
-    ``name_rows >= 1`` always holds; referencing it keeps the row count in
-    every use, so the name dimension below the window is the same plan in
-    both lookups and the query builds it once (the exchange is reused).
-    """
-    return rank_job_names(job_names(jobs)).where(F.col("name_rows") >= 1)
-
-
-def names_by_rank(ranked: DataFrame) -> DataFrame:
-    """(job_id, name_rank) -> job_name, to map a greatest rank back to its name."""
-    return (ranked.where(F.col("name_rank").isNotNull())
-            .select("job_id", "name_rank", "job_name").distinct())

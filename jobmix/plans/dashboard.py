@@ -30,6 +30,9 @@ class _SharedInputs(D.Inputs):
 
     dashboard: "Dashboard | None" = None
 
+    def kinds(self) -> DataFrame:
+        return self.dashboard.kinds()
+
     def classified(self, params: Params) -> DataFrame:
         return self.dashboard.shared(
             ("classified", params),
@@ -55,7 +58,8 @@ class Dashboard:
         self.storage_level = storage_level
         self._cache: dict = {}
         self._base = inputs
-        self.inputs = _SharedInputs(inputs.tables, inputs.bu_rules, inputs.env_rules, self)
+        self.inputs = _SharedInputs(inputs.tables, inputs.bu_rules, inputs.env_rules, inputs.bu_tag,
+                                    inputs.rate, self)
 
     def shared(self, key, build) -> DataFrame:
         """Build once per refresh and persist (memory, spilling to disk)."""
@@ -63,10 +67,13 @@ class Dashboard:
             self._cache[key] = build().persist(self.storage_level)
         return self._cache[key]
 
+    def kinds(self) -> DataFrame:
+        """The collapsed cluster table, built once per refresh."""
+        return self.shared(("kinds",), self._base.kinds)
+
     def flags(self, params: Params) -> DataFrame:
-        t = self._base.tables
         return self.shared(("flags", params.time_range), lambda: R.job_week_flags(
-            t.runs, t.clusters, self._base.ws(), params.time_range))
+            self._base.tables.runs, self.kinds(), self._base.ws(), params.time_range))
 
     def table(self, name: str) -> DataFrame:
         return D.DATASETS[name](self.inputs, self.params)

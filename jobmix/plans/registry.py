@@ -9,12 +9,14 @@ column names and types.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmix.functions.exprs import money
+from jobmix.functions.rules import FIXTURE_BU_RULES, contains, one_of
 from jobmix.operators import runs as R
 from jobmix.operators import spend as S
 from jobmix.operators.labels import label_from_tag
@@ -28,6 +30,16 @@ FULL_RANGE = TimeRange(dt.date(1995, 1, 1), dt.date(2001, 12, 31))
 DEFAULT = Params(FULL_RANGE)
 # One BU and one environment, to exercise the filter path.
 FILTERED = Params(FULL_RANGE, bu=("Risk",), env=("PROD",))
+# Inside the data, so that both ends of the range cut rows off.
+MID = Params(TimeRange(dt.date(1996, 3, 15), dt.date(1998, 8, 20)))
+# A few days: some business units then have mostly or hardly any serverless jobs.
+DAYS = Params(TimeRange(dt.date(1997, 5, 5), dt.date(1997, 5, 6)))
+# Several choices at once, and one that names the unlabelled workspaces.
+SEVERAL = Params(MID.time_range, bu=("Risk", "Market", "Unmapped"), env=("PROD", "DEV"))
+CUSTOM_BU_RULES = (one_of("Special", "w-risk-prod-r1", "w-daas-dev-r1"), contains("Money", "RISK", "market"),
+                   contains("Data", "-daas-", "ingest"))
+CUSTOM_BU_RULES_SQL = (("Special", None, ("w-risk-prod-r1", "w-daas-dev-r1")), ("Money", "risk", ()),
+                       ("Money", "market", ()), ("Data", "-daas-", ()), ("Data", "ingest", ()))
 # A range before any data: global aggregates over nothing.
 EMPTY = Params(TimeRange(dt.date(1990, 1, 1), dt.date(1990, 12, 31)))
 EFFECTIVE_RATE = "0.85"
@@ -35,11 +47,15 @@ TAG_KEY = "bu"
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> D.Inputs:
-    return D.Inputs(derive_tables(spark, sf_dir))
+    return D.Inputs(derive_tables(spark, sf_dir), FIXTURE_BU_RULES)
 
 
-def _dataset(fn, params: Params = DEFAULT) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: fn(inputs(spark, sf_dir), params)
+def inputs_with(spark: SparkSession, sf_dir: str, **changes) -> D.Inputs:
+    return replace(inputs(spark, sf_dir), **changes)
+
+
+def _dataset(fn, params: Params = DEFAULT, **changes) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(inputs_with(spark, sf_dir, **changes), params)
 
 
 # ---------------------------------------------------------------------------
@@ -92,18 +108,18 @@ def op_classify_jobs(spark, sf_dir):
 
 def op_classify_jobs_weekly(spark, sf_dir):
     inp = inputs(spark, sf_dir)
-    return R.classified_jobs_weekly(inp.tables.runs, inp.tables.clusters, inp.ws(), DEFAULT)
+    return R.classified_jobs_weekly(inp.tables.runs, inp.kinds(), inp.ws(), DEFAULT)
 
 
 def op_job_week_flags(spark, sf_dir):
     inp = inputs(spark, sf_dir)
-    return R.job_week_flags(inp.tables.runs, inp.tables.clusters, inp.ws(), DEFAULT.time_range)
+    return R.job_week_flags(inp.tables.runs, inp.kinds(), inp.ws(), DEFAULT.time_range)
 
 
 def op_classify_flags_filtered(spark, sf_dir):
     """Per-job classification as a dashboard refresh computes it (from the flags)."""
     inp = inputs(spark, sf_dir)
-    flags = R.job_week_flags(inp.tables.runs, inp.tables.clusters, inp.ws(), FILTERED.time_range)
+    flags = R.job_week_flags(inp.tables.runs, inp.kinds(), inp.ws(), FILTERED.time_range)
     return R.classify_flags(flags, R.JOB_KEYS, FILTERED)
 
 
@@ -164,7 +180,21 @@ def _entries():
         "kpi_headline_filtered": (_dataset(D.kpi_headline, FILTERED), O.kpi_headline(FILTERED)),
         "spend_kpi_filtered": (_dataset(D.spend_kpi, FILTERED), O.spend_kpi(FILTERED)),
         "job_table_filtered": (_dataset(D.job_table, FILTERED), O.job_table(FILTERED)),
+        "op_custom_rules": (lambda spark, sf_dir: inputs_with(spark, sf_dir, bu_rules=CUSTOM_BU_RULES).ws(),
+                            O.op_custom_rules(CUSTOM_BU_RULES_SQL)),
+        "spend_kpi_rate": (_dataset(D.spend_kpi, MID, rate=EFFECTIVE_RATE), O.spend_kpi(MID, rate=EFFECTIVE_RATE)),
+        "spend_kpi_tag": (_dataset(D.spend_kpi, MID.with_(bu=("tag_1", "Unmapped")), bu_tag=TAG_KEY),
+                          O.spend_kpi(MID.with_(bu=("tag_1", "Unmapped")), tag=True)),
+        "serverless_job_table_tag": (_dataset(D.serverless_job_table, MID.with_(bu=("tag_2",)), bu_tag=TAG_KEY),
+                                     O.serverless_job_table(MID.with_(bu=("tag_2",)), tag=True)),
+        "bu_opportunities_days": (_dataset(D.bu_opportunities, DAYS), O.bu_opportunities(DAYS)),
     })
+    for name in ("kpi_headline", "spend_kpi", "time_series_counts", "job_table", "serverless_job_table"):
+        out[f"{name}_midrange"] = (_dataset(D.DATASETS[name], MID), getattr(O, name)(MID))
+    # bu_trend ignores the environment choice; the others apply both.
+    for name in ("breakdown_by_bu", "breakdown_by_env", "bu_heatmap", "env_heatmap", "bu_scorecard", "env_kpi",
+                 "bu_opportunities", "bu_trend", "time_series_counts", "time_series_pct", "serverless_job_table"):
+        out[f"{name}_several"] = (_dataset(D.DATASETS[name], SEVERAL), getattr(O, name)(SEVERAL))
     return out
 
 

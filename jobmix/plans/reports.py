@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmix.functions.exprs import cond_count, flag, money, pct
-from jobmix.functions.rules import ENV_RULES, FIXTURE_BU_RULES, Rule
+from jobmix.functions.rules import ENV_RULES, Rule
 from jobmix.operators import runs as R
 from jobmix.operators import spend as S
 from jobmix.operators.joins import dimension_join
-from jobmix.operators.labels import attach_labels, workspace_labels
+from jobmix.operators.labels import attach_labels, label_from_tag, workspace_labels
 from jobmix.operators.summary import adoption_summary, bucket_label, is_bucket
 from jobmix.params import ALL, UNMAPPED, Params
 from jobmix.sources.tables import Tables
@@ -29,11 +29,23 @@ TOP_K = 500  # row cap of the two per-job lists (a top-k report by design)
 
 @dataclass(frozen=True)
 class Inputs:
-    """The six tables plus the label rules that turn workspace names into labels."""
+    """The six tables and how workspaces get their labels.
+
+    ``bu_rules`` maps workspace names to business units and depends on the
+    estate's naming convention, so there is no default.  With ``bu_tag`` the
+    usage-based tables (spend, serverless list) take the business unit from
+    that tag of the usage instead.  ``rate`` multiplies list prices.
+    """
 
     tables: Tables
-    bu_rules: Sequence[Rule] = field(default=FIXTURE_BU_RULES)
+    bu_rules: Sequence[Rule]
     env_rules: Sequence[Rule] = field(default=ENV_RULES)
+    bu_tag: str | None = None
+    rate: Decimal | str = Decimal("1.0")
+
+    def __post_init__(self):
+        if not self.bu_rules and not self.bu_tag:
+            raise ValueError("no business-unit rules: pass bu_rules (or load them with load_rules), or a bu_tag")
 
     @property
     def spark(self) -> SparkSession:
@@ -43,14 +55,18 @@ class Inputs:
         """The labelled workspace dimension."""
         return workspace_labels(self.tables.workspaces, self.bu_rules, self.env_rules)
 
+    def kinds(self) -> DataFrame:
+        """The cluster table, collapsed."""
+        return R.cluster_kinds(self.tables.clusters)
+
     def classified(self, params: Params) -> DataFrame:
         """One row per (workspace_id, bu, env, job_id) with ``primary_bucket``."""
-        return R.classified_jobs(self.tables.runs, self.tables.clusters, self.ws(), params)
+        return R.classified_jobs(self.tables.runs, self.kinds(), self.ws(), params)
 
     def weekly(self, params: Params, keys: Sequence[str] = ("week", "job_id"),
                use_env: bool = True, drop_unmapped_bu: bool = False) -> DataFrame:
         """One row per (week, ..., job_id) with ``primary_bucket``."""
-        return R.classified_jobs_weekly(self.tables.runs, self.tables.clusters, self.ws(), params,
+        return R.classified_jobs_weekly(self.tables.runs, self.kinds(), self.ws(), params,
                                         keys=keys, use_env=use_env,
                                         drop_unmapped_bu=drop_unmapped_bu)
 
@@ -129,7 +145,7 @@ def bu_opportunities(inp: Inputs, p: Params) -> DataFrame:
     """BUs at >= 50 % serverless, BUs under 5 %, and the BU with most AP jobs.
 
     The thresholds apply to the rounded percentage.  The arg-max breaks ties
-    by the alphabetically first BU; it is NULL only when there is no BU.
+    by the alphabetically last BU; it is NULL only when there is no BU.
     One aggregate over the per-BU summary answers all three questions.
     """
     c = inp.classified(p).where(F.col("bu") != F.lit(UNMAPPED))
@@ -139,7 +155,7 @@ def bu_opportunities(inp: Inputs, p: Params) -> DataFrame:
     return per_bu.agg(
         F.count_if(F.col("pct_srv") >= 50).alias("bus_above_50pct"),
         F.count_if(F.col("pct_srv") < 5).alias("bus_below_5pct"),
-        F.min_by("bu", F.struct((-F.col("jobs_ap")).alias("k"), F.col("bu"))).alias("largest_ap_fleet"))
+        F.max_by("bu", F.struct("jobs_ap", "bu")).alias("largest_ap_fleet"))
 
 
 # --------------------------------------------------------------------------
@@ -179,9 +195,13 @@ def time_series_pct(inp: Inputs, p: Params) -> DataFrame:
 # Spend and per-job lists
 # --------------------------------------------------------------------------
 
-def spend_kpi(inp: Inputs, p: Params, rate: Decimal | str = Decimal("1.0")) -> DataFrame:
+def spend_kpi(inp: Inputs, p: Params, rate: Decimal | str | None = None) -> DataFrame:
     """Serverless jobs, classic jobs and all-purpose spend (list price x rate)."""
-    priced = S.price_usage(inp.tables.usage, inp.tables.prices, p.time_range, rate=rate)
+    priced = S.price_usage(inp.tables.usage, inp.tables.prices, p.time_range,
+                           rate=inp.rate if rate is None else rate,
+                           keep=("custom_tags",) if inp.bu_tag else ())
+    if inp.bu_tag:
+        priced = label_from_tag(priced, inp.bu_tag).drop("custom_tags")
     tagged = S.tag_spend(priced, inp.ws(), p)
     b, rev = F.col("bucket"), F.col("revenue")
     return tagged.agg(
@@ -190,6 +210,16 @@ def spend_kpi(inp: Inputs, p: Params, rate: Decimal | str = Decimal("1.0")) -> D
         money(F.sum(F.when(b == F.lit(S.AP_TOTAL), rev))).alias("all_purpose_total_spend"))
 
 
+GROUP = ("workspace_name", "bu", "env", "job_id")
+# Stands for a missing key, so that both halves of the backlog meet in a plain equi-join.
+NO_KEY = "\u0000"
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(NO_KEY)) for c in ("workspace_name", "job_id")
+                           if c in df.columns})
+
+
 def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     """The backlog -- jobs with classic entries, by number of runs.
 
@@ -198,49 +228,45 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     weighs each entry by the number of cluster and job-name rows it matches,
     exactly as a fan-out join would, without materialising the fan-out.
 
-    Plan: the entries (the big input: one row per task and time slice)
-    first collapse with a numeric hash aggregate per (group, workspace, run,
-    day, cluster), partially aggregated before the shuffle.  Only that
-    reduced set meets the cluster table (whose match count multiplies the
-    sums) and the group aggregate (two distinct counts, an Expand).  That
-    aggregate stays a hash aggregate: instead of the greatest job name it
-    takes the greatest name *rank* (see ``rank_job_names``), mapped back to
-    the name per group afterwards.
+    Two halves over the classic entries meet at the group.  Every classic
+    entry ends up as AP or JC, so the number of runs needs neither lookup:
+    the first half is a plain distinct count.  The second half reduces the
+    entries to one row per (workspace, job, cluster) - sums, days, last day -
+    before it meets the cluster and name tables; nothing that grows with the
+    runs is joined to anything but the (broadcast) workspaces.
     """
-    t = inp.tables
+    t, ws = inp.tables, inp.ws()
     entries = R.keep_job_compute(
         R.explode_runs(t.runs, p.time_range,
                        ("workspace_id", "job_id", "job_run_id", "period_start_time",
                         "execution_duration_seconds")),
         types=(R.CLASSIC,))
-    tagged = R.tag_runs(entries, inp.ws(), p)
-    group = ["workspace_name", "bu", "env", "job_id"]
+    tagged = _keyed(R.tag_runs(entries, ws, p))
+    runs = tagged.groupBy(*GROUP).agg(F.count_distinct("job_run_id").alias("run_count"))
+
     dur = F.col("execution_duration_seconds")
-    # Only classic entries are left, so the compute type is not shuffled.
-    per_run_day = (tagged
-                   .groupBy(*group, "workspace_id", "job_run_id",
-                            F.to_date("period_start_time").alias("day"), "cluster_id")
-                   .agg(F.sum(dur).alias("dur_sum"),
-                        F.count(dur).alias("dur_known"))
+    per_cluster = (tagged.withColumn("day", F.to_date("period_start_time"))
+                   .groupBy("workspace_id", "job_id", "cluster_id")
+                   .agg(F.sum(dur).alias("dur_sum"), F.count(dur).alias("dur_known"),
+                        F.max("day").alias("last_day"),
+                        # At most one element per day of the range.
+                        F.collect_set("day").alias("days"))
                    .withColumn("compute_type", F.lit(R.CLASSIC)))
-    names = S.ranked_job_names(t.jobs)
-    weighted = dimension_join(R.bucket_runs(per_run_day, t.clusters),
-                              names.select("workspace_id", "job_id", "name_rows", "name_rank"),
-                              ["workspace_id", "job_id"], "left")
+    looked_up = dimension_join(R.bucket_runs(per_cluster, inp.kinds()), S.job_names(t.jobs),
+                               ["workspace_id", "job_id"], "left")
     w = F.col("weight") * F.coalesce(F.col("name_rows"), F.lit(1))
-    avg_seconds = (F.sum(F.col("dur_sum") * w).cast("double")
-                   / F.sum(F.col("dur_known") * w).cast("double"))
-    stats = weighted.groupBy(*group).agg(
-        F.max("name_rank").alias("name_rank"),
+    seconds = F.try_divide(F.sum(F.col("dur_sum") * w).cast("double"), F.sum(F.col("dur_known") * w).cast("double"))
+    rest = _keyed(attach_labels(looked_up, ws)).groupBy(*GROUP).agg(
+        F.max("job_name").alias("job_name"),
         F.when(flag(F.col("bucket") == F.lit(R.AP)) == 1, F.lit("JOBS_ON_ALL_PURPOSE"))
         .otherwise(F.lit("JOBS_ON_CLASSIC")).alias("compute_bucket"),
-        F.count_distinct("job_run_id").alias("run_count"),
-        F.count_distinct("day").alias("active_days"),
-        F.round(avg_seconds / F.lit(60.0), 1).alias("avg_runtime_min"),
-        F.max("day").alias("last_run_date"))
-    agg = dimension_join(stats, S.names_by_rank(names), ["job_id", "name_rank"], "left")
-    return (agg.select("workspace_name", "bu", "env", "job_id", "job_name", "compute_bucket",
-                       "run_count", "active_days", "avg_runtime_min", "last_run_date")
+        F.size(F.array_distinct(F.flatten(F.collect_list("days")))).cast("bigint").alias("active_days"),
+        F.round(seconds / F.lit(60.0), 1).alias("avg_runtime_min"),
+        F.max("last_day").alias("last_run_date"))
+    return (runs.join(rest, list(GROUP))
+            .withColumns({c: F.nullif(F.col(c), F.lit(NO_KEY)) for c in ("workspace_name", "job_id")})
+            .select(*GROUP, "job_name", "compute_bucket", "run_count", "active_days",
+                    "avg_runtime_min", "last_run_date")
             .orderBy(F.desc("run_count"), F.asc_nulls_first("workspace_name"),
                      F.asc_nulls_first("job_id"))
             .limit(limit))
@@ -248,17 +274,16 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
 
 def serverless_job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     """Jobs already on serverless, by DBUs used in range."""
-    t = inp.tables
-    srv = S.serverless_usage(t.usage, p.time_range)
-    labelled = attach_labels(srv, inp.ws(), p)
-    names = S.ranked_job_names(t.jobs)
-    named = dimension_join(labelled, names.select("workspace_id", "job_id", "name_rank"),
-                           ["workspace_id", "job_id"], "left")
-    # Rows equal on every grouped column (workspaces sharing a name) collapse;
-    # the greatest name is taken as the greatest rank (a hash aggregate).
+    usage = inp.tables.usage
+    if inp.bu_tag:
+        srv = S.serverless_usage(label_from_tag(usage, inp.bu_tag), p.time_range, keep=("bu",))
+    else:
+        srv = S.serverless_usage(usage, p.time_range)
+    labelled = attach_labels(srv, inp.ws(), p, keep_bu=bool(inp.bu_tag))
+    named = dimension_join(labelled, S.job_names(inp.tables.jobs), ["workspace_id", "job_id"], "left")
+    # Rows equal on every grouped column (workspaces sharing a name) collapse.
     grouped = named.groupBy("bu", "env", "workspace_name", "job_id", "serverless_dbus",
-                            "first_usage", "last_usage").agg(F.max("name_rank").alias("name_rank"))
-    grouped = dimension_join(grouped, S.names_by_rank(names), ["job_id", "name_rank"], "left")
+                            "first_usage", "last_usage").agg(F.max("job_name").alias("job_name"))
     out = grouped.select("bu", "env", "workspace_name", "job_id", "job_name",
                          money("serverless_dbus").alias("serverless_dbus"),
                          "first_usage", "last_usage")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Settings every run needs: UTC so date(ts) and week starts are stable, AQE so
@@ -19,8 +17,7 @@ BASE_CONF = {
 }
 
 
-def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024,
-               max_partitions: int = 100_000) -> dict[str, str]:
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Shuffle and scan sizing for an input of ``input_bytes``.
 
     The initial shuffle partition count gives every reducer about
@@ -28,7 +25,7 @@ def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024,
     AQE then coalesces small partitions toward the same advisory size and
     splits skewed ones; scans read splits of the same size.
     """
-    partitions = max(1, min(max_partitions, -(-input_bytes // partition_bytes)))
+    partitions = max(1, -(-input_bytes // partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
@@ -59,20 +56,4 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset.
-
-    The fallback (for tests and local runs) is a folder under the working
-    directory, never a machine-local temp folder on a cluster.
-    """
-    sc = spark.sparkContext
-    existing = sc.getCheckpointDir()
-    if existing:
-        return existing
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or fallback or os.path.join(os.getcwd(), "spark-checkpoints"))
-    return sc.getCheckpointDir()

@@ -2,29 +2,28 @@
 
 The run timeline and the usage table grow with time and every report reads a
 date range of them, so they are stored partitioned by day: the timeline by
-``period_start_date`` (the day of ``period_start_time``), usage by its own
-``usage_date``.  The reports' range predicates then prune whole directories
-(:func:`jobmix.operators.runs.run_window` adds the day predicate when the
-column is present).  The four dimension tables are small and stored as is.
-
-Files are written by the tasks that hold the rows, with no repartition by
-day: a busy day is spread over many files instead of funnelled through one
-task.  ``max_records_per_file`` caps file size.
+:data:`~jobmix.operators.runs.RUN_DAY` (the UTC day of ``period_start_time``,
+the same whatever the writer's time zone), usage by its own ``usage_date``.
+The reports' range predicates then prune whole directories.  The four
+dimension tables are small and stored as is.
+
+Rows are rebalanced by day before they are written: adaptive execution merges
+quiet days into one task and splits a busy day over several, so the files of
+a day follow its size and not the number of writing tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from jobmix.operators.runs import RUN_DAY, utc_day
 from jobmix.sources.tables import Tables
 
-RUN_DAY = "period_start_date"
 PARTITION_COLUMNS = {"runs": RUN_DAY, "usage": "usage_date"}
 
 
 def with_run_day(runs: DataFrame) -> DataFrame:
-    return runs.withColumn(RUN_DAY, F.to_date("period_start_time"))
+    return runs.withColumn(RUN_DAY, utc_day())
 
 
 def write_tables(tables: Tables, root: str, mode: str = "errorifexists", by_day: bool = True,
@@ -42,8 +41,10 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists", by_day:
             df = with_run_day(df)
         if name in PARTITION_COLUMNS and not by_day and files:
             df = df.repartition(files)
-        writer = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
         part = PARTITION_COLUMNS.get(name) if by_day else None
+        if part:
+            df = df.hint("rebalance", part)
+        writer = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
         if part:
             writer = writer.partitionBy(part)
         writer.parquet(f"{root}/{name}")

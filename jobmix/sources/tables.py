@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from jobmix import schemas
 
-# Catalog names of the platform telemetry tables the reports are defined on.
+# Catalog names of the platform telemetry tables the reports are defined on.
 SYSTEM_TABLES = {
     "workspaces": "system.access.workspaces_latest",
     "runs": "system.lakeflow.job_task_run_timeline",

@@ -19,6 +19,7 @@ from decimal import Decimal
 import pytest
 
 from conftest import ROOT
+from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix import schemas
 from jobmix.params import Params, TimeRange
 from jobmix.plans import oracle as O
@@ -147,14 +148,14 @@ def worlds(spark):
         data = generate(seed)
         tables = Tables(**{SPARK_NAME[k]: spark.createDataFrame(v, schemas.ALL_TABLES[SPARK_NAME[k]])
                            for k, v in data.items()})
-        out[seed] = (D.Inputs(tables), duck_with(data))
+        out[seed] = (D.Inputs(tables, FIXTURE_BU_RULES), duck_with(data))
     return out
 
 
 @pytest.mark.parametrize("seed, params", CASES)
 def test_all_tables_match_oracle(worlds, seed, params):
     inp, con = worlds[seed]
-    base = O.ws_cte()
+    base = O.place_cte()
     bad = []
     for name, fn in D.DATASETS.items():
         df = fn(inp, params)
@@ -174,7 +175,7 @@ def test_operator_checks_match_oracle(worlds, seed):
     from jobmix.operators import spend as S
     inp, con = worlds[seed]
     p = Params(RANGE)
-    base = O.ws_cte()
+    base = O.place_cte()
     t = inp.tables
     checks = {
         "op_bucket_runs": R.bucket_runs(R.explode_runs(t.runs, RANGE, ("workspace_id", "job_id", "job_run_id")),

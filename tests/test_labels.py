@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 
+import pytest
+
 from jobmix.functions.rules import ENV_RULES, FIXTURE_BU_RULES, contains, one_of
 from jobmix.operators.labels import label_by_rules, label_from_tag, workspace_labels
 
@@ -32,7 +34,7 @@ def test_env_needs_hyphen_on_both_sides_and_dev_beats_prod(spark):
 
 def test_null_name_is_unmapped(spark):
     df = spark.createDataFrame([("1", None)], "workspace_id string, workspace_name string")
-    row = workspace_labels(df).collect()[0]
+    row = workspace_labels(df, FIXTURE_BU_RULES).collect()[0]
     assert (row.bu, row.env) == ("Unmapped", "Unmapped")
 
 
@@ -46,3 +48,21 @@ def test_label_from_tag(spark):
                                "custom_tags map<string,string>")
     got = [r.bu for r in label_from_tag(df, "bu").collect()]
     assert got == ["x", "Unmapped", "Unmapped", "Unmapped"]
+
+
+def test_all_environment_infixes(spark):
+    """Every infix and its label, spelled out."""
+    want = {"dev": "DEV", "sandbox": "DEV", "test": "DEV", "nonprod": "DEV", "qat": "QAT", "ppe": "PPE",
+            "prod": "PROD", "beta": "PROD", "lab": "Unmapped"}
+    df = spark.createDataFrame([(k, f"w-X-{k.upper()}-r1") for k in want], "workspace_id string, workspace_name string")
+    assert {r.workspace_id: r.env for r in workspace_labels(df, FIXTURE_BU_RULES).collect()} == want
+
+
+def test_rules_from_a_file(tmp_path):
+    from jobmix.functions.rules import load_rules
+    path = tmp_path / "r.json"
+    path.write_text('{"bu": [{"label": "A", "kind": "contains", "values": ["x"]}]}')
+    assert load_rules(str(path)) == {"bu": (contains("A", "x"),), "env": ENV_RULES}
+    path.write_text('{"env": []}')
+    with pytest.raises(ValueError, match="no 'bu' rules"):
+        load_rules(str(path))

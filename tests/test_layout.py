@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from conftest import classic, price_row, run, srv, usage_row
+from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.params import Params, TimeRange
 from jobmix.plans import reports as D
 from jobmix.sources import Tables
@@ -35,7 +36,7 @@ def tables(spark):
 def stored(spark, tables, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("tables"))
     write_tables(tables, root)
-    return D.Inputs(Tables.from_parquet(spark, root))
+    return D.Inputs(Tables.from_parquet(spark, root), FIXTURE_BU_RULES)
 
 
 def test_schema_of_stored_tables(stored):
@@ -45,7 +46,7 @@ def test_schema_of_stored_tables(stored):
 @pytest.mark.parametrize("name", sorted(D.DATASETS))
 def test_same_results_from_partitioned_storage(tables, stored, name):
     p = Params(TimeRange("2024-01-03", "2024-01-10"))
-    a = sorted(map(tuple, D.DATASETS[name](D.Inputs(tables), p).collect()))
+    a = sorted(map(tuple, D.DATASETS[name](D.Inputs(tables, FIXTURE_BU_RULES), p).collect()))
     b = sorted(map(tuple, D.DATASETS[name](stored, p).collect()))
     assert a == b
 
@@ -53,8 +54,41 @@ def test_same_results_from_partitioned_storage(tables, stored, name):
 def test_range_prunes_partitions(stored):
     p = Params(TimeRange("2024-01-03", "2024-01-04"))
     text = D.kpi_headline(stored, p)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(period_start_date" in text
+    assert "PartitionFilters: [isnotnull(run_day_utc" in text
     spend = D.spend_kpi(stored, p)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(usage_date" in spend
     rows = D.kpi_headline(stored, p).collect()[0]
     assert rows.total_jobs == 3
+
+
+def test_rows_survive_any_mix_of_time_zones(spark, tables, tmp_path):
+    """Written under two zones and read under a third, every run table is as from the plain frame."""
+    p = Params(TimeRange("2024-01-03", "2024-01-10"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    names = [n for n in D.DATASETS if n not in ("spend_kpi", "serverless_job_table", "param_bu", "param_env")]
+    try:
+        roots = []
+        for i, writer in enumerate(("America/New_York", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", writer)
+            roots.append(str(tmp_path / str(i)))
+            write_tables(tables, roots[-1])
+        for reader in ("UTC", "Pacific/Auckland"):
+            spark.conf.set("spark.sql.session.timeZone", reader)
+            for name in names:
+                want = sorted(map(tuple, D.DATASETS[name](D.Inputs(tables, FIXTURE_BU_RULES), p).collect()))
+                for root in roots:
+                    inp = D.Inputs(Tables.from_parquet(spark, root), FIXTURE_BU_RULES)
+                    assert sorted(map(tuple, D.DATASETS[name](inp, p).collect())) == want, (reader, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_files_of_a_day_do_not_grow_with_the_writing_tasks(spark, tables, tmp_path):
+    import glob
+    many = Tables(**{k: getattr(tables, k).repartition(16) for k in ("workspaces", "runs", "clusters", "jobs",
+                                                                     "usage", "prices")})
+    write_tables(many, str(tmp_path / "t"))
+    for table in ("runs", "usage"):
+        days = glob.glob(str(tmp_path / "t" / table / "*=*"))
+        files = glob.glob(str(tmp_path / "t" / table / "*=*" / "part-*"))
+        assert len(days) == len(DAYS) and len(files) <= 2 * len(days)

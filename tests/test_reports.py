@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from conftest import SF_SMALL, classic, run, srv
+from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.params import Params, TimeRange
 from jobmix.plans import registry
 from jobmix.plans import reports as D
@@ -26,13 +27,13 @@ def test_empty_range_counts_zero_rest_null(make_tables):
     t = make_tables(workspaces=WS, clusters=CLUSTERS,
                     runs=[run("w1", "j", "r", "2024-01-02 00:00:00", [srv()])])
     empty = Params(TimeRange("2020-01-01", "2020-01-02"))
-    row = D.kpi_headline(D.Inputs(t), empty).collect()[0]
+    row = D.kpi_headline(D.Inputs(t, FIXTURE_BU_RULES), empty).collect()[0]
     assert row.total_jobs == 0
     assert [row.jobs_all_purpose, row.jobs_classic, row.jobs_serverless, row.pct_serverless,
             row.pct_all_purpose, row.pct_classic] == [None] * 6
-    spend = D.spend_kpi(D.Inputs(t), empty).collect()[0]
+    spend = D.spend_kpi(D.Inputs(t, FIXTURE_BU_RULES), empty).collect()[0]
     assert list(spend) == [None, None, None]
-    opp = D.bu_opportunities(D.Inputs(t), empty).collect()[0]
+    opp = D.bu_opportunities(D.Inputs(t, FIXTURE_BU_RULES), empty).collect()[0]
     assert (opp.bus_above_50pct, opp.bus_below_5pct, opp.largest_ap_fleet) == (0, 0, None)
 
 
@@ -43,7 +44,7 @@ def test_headline_counts_unmapped_per_bu_views_do_not(make_tables):
         run("w2", "c", "r3", "2024-01-02 00:00:00", [srv()]),
         run("w3", "d", "r4", "2024-01-02 00:00:00", [srv()]),     # Unmapped BU
     ])
-    inp = D.Inputs(t)
+    inp = D.Inputs(t, FIXTURE_BU_RULES)
     h = D.kpi_headline(inp, P).collect()[0]
     assert (h.total_jobs, h.jobs_all_purpose, h.jobs_classic, h.jobs_serverless) == (4, 1, 1, 2)
     assert (h.pct_serverless, h.pct_all_purpose, h.pct_classic) == (50.0, 25.0, 25.0)
@@ -60,9 +61,9 @@ def test_opportunities_thresholds_use_rounded_pct_and_tie_break(make_tables):
         run("w1", "b", "r2", "2024-01-02 00:00:00", [srv()]),
         run("w2", "c", "r3", "2024-01-02 00:00:00", [classic("ap")]),
     ])
-    row = D.bu_opportunities(D.Inputs(t), P).collect()[0]
+    row = D.bu_opportunities(D.Inputs(t, FIXTURE_BU_RULES), P).collect()[0]
     assert (row.bus_above_50pct, row.bus_below_5pct) == (1, 1)
-    assert row.largest_ap_fleet == "Market"  # tie on 1 AP job: first BU alphabetically
+    assert row.largest_ap_fleet == "Risk"  # tie on 1 AP job: last BU alphabetically
 
 
 def test_job_table_weighted_average_and_shared_names(make_tables):
@@ -76,7 +77,7 @@ def test_job_table_weighted_average_and_shared_names(make_tables):
             run("w2", "j", "r3", "2024-01-03 00:00:00", [classic("c")], duration=600),
             run("w2", "j", "r4", "2024-01-04 00:00:00", [classic("c")], duration=None),
         ])
-    rows = D.job_table(D.Inputs(t), P).collect()
+    rows = D.job_table(D.Inputs(t, FIXTURE_BU_RULES), P).collect()
     assert len(rows) == 1
     r = rows[0]
     # w1 entries match 2 cluster rows x 2 name rows each; w2 entries 1 x 1
@@ -89,7 +90,7 @@ def test_job_table_weighted_average_and_shared_names(make_tables):
 def test_top_k_is_deterministic(make_tables):
     t = make_tables(workspaces=WS, clusters=CLUSTERS, runs=[
         run("w1", j, f"r{j}", "2024-01-02 00:00:00", [classic("jc")]) for j in "edcba"])
-    rows = D.job_table(D.Inputs(t), P, limit=3).collect()
+    rows = D.job_table(D.Inputs(t, FIXTURE_BU_RULES), P, limit=3).collect()
     assert [r.job_id for r in rows] == ["a", "b", "c"]
 
 
@@ -151,8 +152,8 @@ def test_largest_ap_fleet_named_even_with_no_ap_jobs(make_tables):
         run("w2", "c", "r1", "2024-01-02 00:00:00", [srv()]),
         run("w1", "a", "r2", "2024-01-02 00:00:00", [srv()]),
     ])
-    row = D.bu_opportunities(D.Inputs(t), P).collect()[0]
-    assert (row.bus_above_50pct, row.bus_below_5pct, row.largest_ap_fleet) == (2, 0, "Market")
+    row = D.bu_opportunities(D.Inputs(t, FIXTURE_BU_RULES), P).collect()[0]
+    assert (row.bus_above_50pct, row.bus_below_5pct, row.largest_ap_fleet) == (2, 0, "Risk")
 
 
 def test_tables_from_catalog(spark):
@@ -162,16 +163,16 @@ def test_tables_from_catalog(spark):
     for k in ("workspaces", "runs", "clusters", "jobs", "usage", "prices"):
         getattr(derived, k).createOrReplaceTempView(f"jm_{k}")
         names[k] = f"jm_{k}"
-    inp = D.Inputs(Tables.from_catalog(spark, names))
+    inp = D.Inputs(Tables.from_catalog(spark, names), FIXTURE_BU_RULES)
     assert inp.tables.check() == {}
     a = D.kpi_headline(inp, registry.DEFAULT).collect()
-    b = D.kpi_headline(D.Inputs(derived), registry.DEFAULT).collect()
+    b = D.kpi_headline(D.Inputs(derived, FIXTURE_BU_RULES), registry.DEFAULT).collect()
     assert a == b
 
 
 def test_all_tables_run_on_empty_inputs(make_tables):
     t = make_tables()
-    inp = D.Inputs(t)
+    inp = D.Inputs(t, FIXTURE_BU_RULES)
     out = {name: fn(inp, P).collect() for name, fn in D.DATASETS.items()}
     assert out["kpi_headline"][0].total_jobs == 0
     assert list(out["spend_kpi"][0]) == [None, None, None]
@@ -190,3 +191,31 @@ def test_dashboard_storage_level_and_release(spark):
         cached = list(dash._cache.values())
         assert cached and all(df.storageLevel == StorageLevel.DISK_ONLY for df in cached)
     assert all(not df.is_cached for df in cached)
+
+
+def test_sorted_tables_come_in_their_order(spark):
+    """Order of every sorted table, on data with several labels and ties."""
+    inp = registry.inputs(spark, SF_SMALL)
+    p = registry.DEFAULT
+    for name, keys in (("breakdown_by_bu", ["bu"]), ("breakdown_by_env", ["env"]), ("env_kpi", ["env"]),
+                       ("bu_heatmap", ["bu", "compute_type"]), ("env_heatmap", ["env", "compute_type"]),
+                       ("bu_trend", ["week", "bu"]), ("time_series_counts", ["week"]),
+                       ("time_series_pct", ["week"]), ("param_bu", ["bu"]), ("param_env", ["env"])):
+        rows = [tuple(r[k] for k in keys) for r in D.DATASETS[name](inp, p).collect()]
+        assert len(rows) > 1 and rows == sorted(rows), name
+    rows = [(-r.total_jobs, r.bu) for r in D.bu_scorecard(inp, p).collect()]
+    assert len(rows) > 1 and rows == sorted(rows)
+    rows = [(-r.run_count, r.workspace_name, r.job_id) for r in D.job_table(inp, p).collect()]
+    assert rows == sorted(rows)
+    rows = [(-r.serverless_dbus, r.workspace_name, r.job_id) for r in D.serverless_job_table(inp, p).collect()]
+    assert rows == sorted(rows)
+
+
+def test_share_just_below_a_threshold_counts_rounded(make_tables):
+    """99 of 2000 jobs on serverless are 4.95 %, which rounds to 5.0 and is not below 5."""
+    runs = [run("w1", f"j{i}", f"r{i}", "2024-01-02 00:00:00", [srv()] if i < 99 else [classic("jc")])
+            for i in range(2000)]
+    t = make_tables(workspaces=[("w1", "w-market-prod-r1")], clusters=[("w1", "jc", "JOB")], runs=runs)
+    row = D.bu_opportunities(D.Inputs(t, FIXTURE_BU_RULES), P).collect()[0]
+    assert (row.bus_above_50pct, row.bus_below_5pct) == (0, 0)
+    assert D.kpi_headline(D.Inputs(t, FIXTURE_BU_RULES), P).collect()[0].pct_serverless == 5.0

@@ -35,6 +35,6 @@ names = st.one_of(
 def test_labels_match_first_match_semantics(spark, batch):
     rows = [(str(i), n) for i, n in enumerate(batch)]
     df = spark.createDataFrame(rows, "workspace_id string, workspace_name string")
-    got = {r.workspace_id: (r.bu, r.env) for r in workspace_labels(df).collect()}
+    got = {r.workspace_id: (r.bu, r.env) for r in workspace_labels(df, FIXTURE_BU_RULES).collect()}
     for i, n in rows:
         assert got[i] == (first_match(n, FIXTURE_BU_RULES), first_match(n, ENV_RULES)), n

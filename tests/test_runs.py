@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from conftest import classic, d, run, srv
+from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.operators import runs as R
 from jobmix.params import Params, TimeRange
 from jobmix.plans import reports as D
@@ -15,7 +16,7 @@ CLUSTERS = [("w1", "ap1", "UI"), ("w1", "ap2", "API"), ("w1", "jc1", "JOB"),
 
 
 def _classes(tables, params=P, broadcast=None):
-    inp = D.Inputs(tables)
+    inp = D.Inputs(tables, FIXTURE_BU_RULES)
     entries = R.keep_job_compute(R.explode_runs(tables.runs, params.time_range,
                                                 ("workspace_id", "job_id")))
     tagged = R.tag_runs(entries, inp.ws(), params)
@@ -78,7 +79,7 @@ def test_cluster_with_both_kinds_of_rows_is_ap_and_weights_fan_out(make_tables):
 
 def test_missing_workspace_is_unmapped_and_named_by_id(make_tables):
     t = make_tables(workspaces=WS, runs=[run("w9", "j", "r1", "2024-01-02 00:00:00", [srv()])])
-    inp = D.Inputs(t)
+    inp = D.Inputs(t, FIXTURE_BU_RULES)
     tagged = R.tag_runs(R.explode_runs(t.runs, RANGE, ("workspace_id", "job_id")), inp.ws(), P)
     r = tagged.collect()[0]
     assert (r.bu, r.env, r.workspace_name) == ("Unmapped", "Unmapped", "w9")
@@ -107,7 +108,7 @@ def test_weekly_sunday_and_monday_are_different_weeks(make_tables):
         run("w1", "j", "r1", "2024-01-07 12:00:00", [srv()]),          # Sunday
         run("w1", "j", "r2", "2024-01-08 00:00:00", [classic("ap1")]),  # Monday
     ])
-    inp = D.Inputs(t)
+    inp = D.Inputs(t, FIXTURE_BU_RULES)
     rows = inp.weekly(P).collect()
     assert sorted((r.week, r.primary_bucket) for r in rows) == [
         (d("2024-01-01"), "SRV"), (d("2024-01-08"), "AP")]
@@ -118,5 +119,5 @@ def test_weekly_key_merges_equal_job_ids_across_workspaces(make_tables):
         run("w1", "j", "r1", "2024-01-02 00:00:00", [classic("ap1")]),
         run("w2", "j", "r2", "2024-01-02 00:00:00", [srv()]),
     ])
-    rows = D.Inputs(t).weekly(P).collect()
+    rows = D.Inputs(t, FIXTURE_BU_RULES).weekly(P).collect()
     assert [(r.job_id, r.primary_bucket) for r in rows] == [("j", "AP")]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pytest
 
 from conftest import classic, run, srv, usage_row
+from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.params import Params, TimeRange
 from jobmix.plans import reports as D
 
@@ -38,7 +39,7 @@ def skewed(spark):
     data = {"workspaces": ws, "runs": runs, "clusters": clusters, "jobs": [("w0", "hot_job", "big")],
             "usage": usage, "prices": []}
     return D.Inputs(Tables(**{k: spark.createDataFrame(v, schemas.ALL_TABLES[k])
-                              for k, v in data.items()}))
+                              for k, v in data.items()}), FIXTURE_BU_RULES)
 
 
 def _results(inp):

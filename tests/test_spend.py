@@ -3,6 +3,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from conftest import price_row, usage_row
+from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.operators import spend as S
 from jobmix.params import Params, TimeRange
 from jobmix.plans import reports as D
@@ -68,9 +69,9 @@ def test_spend_kpi_buckets_and_null_serverless_flag(make_tables):
                usage_row("2024-02-01", "w1", "JOBS", None, 100),     # in no column
                usage_row("2024-02-01", "w2", "ALL_PURPOSE", None, 5),
                usage_row("2024-02-01", "w2", "SQL", True, 1000)])    # product not counted
-    row = D.spend_kpi(D.Inputs(t), P).collect()[0]
+    row = D.spend_kpi(D.Inputs(t, FIXTURE_BU_RULES), P).collect()[0]
     assert (row.serverless_spend, row.classic_jobs_spend, row.all_purpose_total_spend) == (2.0, 3.0, 5.0)
-    row = D.spend_kpi(D.Inputs(t), Params(RANGE, bu=("Risk",))).collect()[0]
+    row = D.spend_kpi(D.Inputs(t, FIXTURE_BU_RULES), Params(RANGE, bu=("Risk",))).collect()[0]
     assert (row.serverless_spend, row.classic_jobs_spend, row.all_purpose_total_spend) == (None, None, 5.0)
 
 
@@ -94,6 +95,30 @@ def test_serverless_job_table_collapses_shared_names(make_tables):
         jobs=[("w1", "j", "alpha"), ("w2", "j", "beta"), ("w2", "j", "aardvark")],
         usage=[usage_row("2024-02-01", "w1", "JOBS", True, 2, job="j"),
                usage_row("2024-02-01", "w2", "JOBS", True, 2, job="j")])
-    rows = D.serverless_job_table(D.Inputs(t), P).collect()
+    rows = D.serverless_job_table(D.Inputs(t, FIXTURE_BU_RULES), P).collect()
     assert [(r.workspace_name, r.job_id, r.job_name, r.serverless_dbus) for r in rows] == [
         ("w-x-prod-r1", "j", "beta", 2.0)]
+
+
+def test_overlapping_prices_are_found(spark):
+    from jobmix import schemas
+    from jobmix.operators.spend import overlapping_prices
+    rows = [price_row("A", "2024-01-01 00:00:00", "2024-02-01 00:00:00", "1"),
+            price_row("A", "2024-02-01 00:00:00", None, "2"),
+            price_row("B", "2024-01-01 00:00:00", None, "1"),
+            price_row("B", "2024-03-01 00:00:00", "2024-04-01 00:00:00", "3")]
+    found = overlapping_prices(spark.createDataFrame(rows, schemas.LIST_PRICES)).collect()
+    assert [(r.sku_name, str(r.price_start_time)) for r in found] == [("B", "2024-03-01 00:00:00")]
+
+
+def test_schema_check_wants_only_what_is_read(spark):
+    from jobmix import schemas
+    wide = spark.sql("""select current_date() usage_date, current_timestamp() usage_end_time, 'w' workspace_id, 's' sku_name,
+        'u' usage_unit, cast(1 as decimal(38,18)) usage_quantity, 'JOBS' billing_origin_product,
+        struct(true as is_serverless, 1 as photon) product_features, struct('j' as job_id) usage_metadata,
+        map('a','b') custom_tags, 5 extra""").schema
+    assert schemas.conforms(wide, schemas.USAGE) == []
+    bad = spark.sql("select struct(1 as is_serverless) product_features").schema
+    problems = schemas.conforms(bad, schemas.USAGE)
+    assert "missing usage_date" in problems
+    assert any(p.startswith("product_features.is_serverless") for p in problems)
