@@ -232,8 +232,9 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     entry ends up as AP or JC, so the number of runs needs neither lookup:
     the first half is a plain distinct count.  The second half reduces the
     entries to one row per (workspace, job, cluster) - sums, days, last day -
-    before it meets the cluster and name tables; nothing that grows with the
-    runs is joined to anything but the (broadcast) workspaces.
+    before it meets the labels, the cluster and the name table; of all that
+    grows with the runs, only the run ids are joined, to the (broadcast)
+    workspaces.
     """
     t, ws = inp.tables, inp.ws()
     entries = R.keep_job_compute(
@@ -241,11 +242,11 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
                        ("workspace_id", "job_id", "job_run_id", "period_start_time",
                         "execution_duration_seconds")),
         types=(R.CLASSIC,))
-    tagged = _keyed(R.tag_runs(entries, ws, p))
-    runs = tagged.groupBy(*GROUP).agg(F.count_distinct("job_run_id").alias("run_count"))
+    runs = (_keyed(R.tag_runs(entries, ws, p)).groupBy(*GROUP)
+            .agg(F.count_distinct("job_run_id").alias("run_count")))
 
     dur = F.col("execution_duration_seconds")
-    per_cluster = (tagged.withColumn("day", F.to_date("period_start_time"))
+    per_cluster = (entries.withColumn("day", F.to_date("period_start_time"))
                    .groupBy("workspace_id", "job_id", "cluster_id")
                    .agg(F.sum(dur).alias("dur_sum"), F.count(dur).alias("dur_known"),
                         F.max("day").alias("last_day"),
@@ -256,7 +257,7 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
                                ["workspace_id", "job_id"], "left")
     w = F.col("weight") * F.coalesce(F.col("name_rows"), F.lit(1))
     seconds = F.try_divide(F.sum(F.col("dur_sum") * w).cast("double"), F.sum(F.col("dur_known") * w).cast("double"))
-    rest = _keyed(attach_labels(looked_up, ws)).groupBy(*GROUP).agg(
+    rest = _keyed(attach_labels(looked_up, ws, p)).groupBy(*GROUP).agg(
         F.max("job_name").alias("job_name"),
         F.when(flag(F.col("bucket") == F.lit(R.AP)) == 1, F.lit("JOBS_ON_ALL_PURPOSE"))
         .otherwise(F.lit("JOBS_ON_CLASSIC")).alias("compute_bucket"),

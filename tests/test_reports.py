@@ -129,7 +129,7 @@ def test_input_order_does_not_matter(spark):
     t = inp.tables
     shuffled = D.Inputs(type(t)(**{k: getattr(t, k).orderBy("workspace_id" if k != "prices" else "sku_name",
                                                               ascending=False)
-                                    for k in ("workspaces", "runs", "clusters", "jobs", "usage", "prices")}))
+                                    for k in ("workspaces", "runs", "clusters", "jobs", "usage", "prices")}), FIXTURE_BU_RULES)
     for name in ("kpi_headline", "spend_kpi", "job_table"):
         a = D.DATASETS[name](inp, registry.DEFAULT).collect()
         b = D.DATASETS[name](shuffled, registry.DEFAULT).collect()
