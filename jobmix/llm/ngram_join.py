@@ -15,8 +15,8 @@ signature, and similar sets share one.  Choices without any 5-gram are left
 out, and ``n1`` is large enough to make up for that; a set with too many of
 them has signatures for these, too, so no pair is lost.
 
-*Candidates.*  Signatures are shuffled, sorted, and read as a stream.  Groups
-of up to ``SMALL_GROUP`` sets give their pairs.  Larger groups (copies, or a
+*Candidates.*  Signatures are packed, dealt to parts of bounded size and
+sorted there.  Groups of up to ``SMALL_GROUP`` sets give their pairs.  Larger groups (copies, or a
 passage that many texts share) give a star: their first set with each other
 one.  Candidates whose counts by hash bucket already differ too much are
 dropped - the difference of the counts is a lower bound of the difference of
@@ -59,12 +59,16 @@ BROADCAST_SETS = 500_000
 # The prefix filter's order is taken from this many sets, and puts at most so many 5-grams last.
 ORDER_SAMPLE, ORDER_GRAMS = 20_000, 100_000
 # Signatures go to Spark in batches of about this many rows.
-BATCH_ROWS = 200_000
+BATCH_ROWS = 1_000_000
 
 PROFILE = arrow_schema({"doc_id": pa.int64(), "set_id": pa.int64(), "size": pa.int64(), "counts": pa.binary()})
+# 5-grams for each part that signatures are dealt to: about a million signatures.
+PART_GRAMS = 1_500_000
 SIGNATURES = arrow_schema({"sig": pa.int64(), "set_id": pa.int64()})
 GROUPS = arrow_schema({"large": pa.bool_(), "a": pa.int64(), "b": pa.int64()})
+PACKED = arrow_schema({"part": pa.int64(), "sigs": pa.binary(), "places": pa.binary(), "names": pa.binary()})
 SETS = arrow_schema({"set_id": pa.int64(), "grams": pa.list_(pa.int64())})
+SHORT = arrow_schema({"set_id": pa.int64(), "short": pa.binary()})
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,22 +85,38 @@ class Shingler:
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
-    def grams(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().translate(ASCII_LOWER).split()
-        if not words:
-            return np.empty(0, np.uint64)
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(SHINGLE, len(words))
-        n = len(words) - width + 1
-        g = np.full(n, np.uint64(width))
-        for i in range(width):
-            g = mix(g + h[i:i + n] + np.uint64(i + 1))
-        return np.unique(g)
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            if len(known) > self.limit:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def grams(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The set of each text; the hashing of 5-grams runs over all texts at once."""
+        words = [(t or "").encode().translate(ASCII_LOWER).split() for t in texts]
+        widths = [min(SHINGLE, len(w)) for w in words]
+        # A text's words, then as many zeros as keep its windows inside its own part.
+        parts = [x for w in words for x in (self._hashes(w), _PAD)]
+        flat = np.concatenate(parts) if parts else _PAD
+        n = len(flat) - SHINGLE + 1
+        out = np.full(max(n, 0), np.uint64(SHINGLE))
+        for i in range(SHINGLE):
+            out = mix(out + flat[i:i + n] + np.uint64(i + 1))
+        sets, at = [], 0
+        for w, width in zip(words, widths):
+            # A text of fewer words is one shingle, its window filled up with zeros.
+            sets.append(np.unique(out[at:at + len(w) - width + 1]) if w else np.empty(0, np.uint64))
+            at += len(w) + SHINGLE - 1
+        return sets
+
+
+# Zeros after a text's words.
+_PAD = np.zeros(SHINGLE - 1, np.uint64)
 
 
 def set_id(grams: np.ndarray) -> int:
@@ -147,12 +167,14 @@ class Instance:
             found.append(mix(total + mix((np.uint64(self.number) << np.uint64(40))
                                          + (cells << np.uint64(8)) + np.uint64(c))))
             kept.append(used[:, choice].sum(1) > 0)
-        empty = ~np.logical_and.reduce(kept)
+        if self.deficient(size, int(np.logical_and.reduce(kept).sum())):
+            return np.concatenate(found)
+        return np.concatenate([f[k] for f, k in zip(found, kept)])
+
+    def deficient(self, size: int, full: int) -> bool:
+        """Whether ``full`` partitions without an empty choice are too few to be sure of a shared one."""
         partner = min(self.largest, size * SIMILAR_OF // SIMILAR)
-        spoiled = most_differences(size, partner) // (self.k2 + 1)
-        if self.n1 - spoiled > empty.sum():
-            return np.concatenate([f[k] for f, k in zip(found, kept)])
-        return np.concatenate(found)
+        return full <= most_differences(size, partner) // (self.k2 + 1)
 
 
 def instances_of(size: int, made: dict[int, Instance]) -> list[Instance]:
@@ -182,7 +204,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     def run(batches):
         shingler = Shingler()
         for ids, texts in _texts(batches):
-            grams = [shingler.grams(t) for t in texts]
+            grams = shingler.grams(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([set_id(g) for g in grams], pa.int64()),
                  pa.array([len(g) for g in grams], pa.int64()), pa.array([counts(g) for g in grams], pa.binary())],
@@ -190,34 +212,108 @@ def profiles(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, PROFILE)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``sig, set_id`` of the sets of ``docs`` (``doc_id, text``); equal sets of a batch once."""
+def whole_signatures(grams: list[np.ndarray], own: list[Instance]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of many sets with an instance each whose partitions have one part; and whose they are."""
+    sizes = np.array([len(g) for g in grams])
+    cells = np.array([i.n1 for i in own])
+    number = np.array([i.number for i in own], np.uint64)
+    owner = np.repeat(np.arange(len(grams)), sizes)
+    flat = np.concatenate(grams)
+    place = (mix(flat + number[owner] + np.uint64(1)) % cells.astype(np.uint64)[owner]).astype(np.int64)
+    first = np.cumsum(cells) - cells
+    at = first[owner] + place
+    order = np.argsort(at, kind="stable")
+    sorted_at = at[order]
+    starts = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
+    sums = np.add.reduceat(mix(flat[order] + np.uint64(0x5851F42D4C957F2D)), starts)
+    cell = sorted_at[starts]
+    whose = owner[order][starts]
+    found = mix(mix(sums + np.uint64(1)) + mix((number[whose] << np.uint64(40))
+                                               + ((cell - first[whose]).astype(np.uint64) << np.uint64(8))))
+    return found, whose
+
+
+def signatures(docs: DataFrame, parts: int) -> DataFrame:
+    """Signatures of the sets of ``docs`` (``doc_id, text``), packed by part.
+
+    A row holds a task's signatures of one part (of ``parts``, dealt by the
+    signature): ``sigs`` and, for each, the place of its set among ``names``.
+    Packed, a signature moves as 6 + 4 bytes.  Equal sets of a batch count once.
+    """
     def run(batches):
         shingler, made = Shingler(), {}
-        found, owners, rows = [], [], 0
+        sigs, owners, names, rows = [], [], [], 0
+
+        def flush():
+            yield from _packed(np.concatenate(sigs), np.concatenate(owners), np.array(names, np.int64), parts)
+
         for _, texts in _texts(batches):
+            many, instances, whose = [], [], []
             seen = set()
-            for text in texts:
-                grams = shingler.grams(text)
+            for grams in shingler.grams(texts):
                 if not len(grams) or (own := set_id(grams)) in seen:
                     continue
                 seen.add(own)
+                names.append(own)
                 for instance in instances_of(len(grams), made):
-                    sigs = instance.signatures(grams)
-                    found.append(sigs)
-                    owners.append(np.full(len(sigs), own, np.int64))
-                    rows += len(sigs)
+                    if instance.n2 == 1:
+                        many.append(grams)
+                        instances.append(instance)
+                        whose.append(len(names) - 1)
+                    else:
+                        sigs.append(instance.signatures(grams))
+                        owners.append(np.full(len(sigs[-1]), len(names) - 1, np.uint32))
+                        rows += len(sigs[-1])
+            if many:
+                found, who = whole_signatures(many, instances)
+                used = np.bincount(who, minlength=len(many))
+                for i in np.flatnonzero([inst.deficient(len(g), n)
+                                         for inst, g, n in zip(instances, many, used.tolist())]):
+                    # Too many empty partitions: signatures for these, too.
+                    extra = instances[i].signatures(many[i])
+                    sigs.append(extra)
+                    owners.append(np.full(len(extra), whose[i], np.uint32))
+                    rows += len(extra)
+                sigs.append(found)
+                owners.append(np.array(whose, np.uint32)[who])
+                rows += len(found)
             if rows >= BATCH_ROWS:
-                yield _signature_batch(found, owners)
-                found, owners, rows = [], [], 0
+                yield from flush()
+                sigs, owners, names, rows = [], [], [], 0
         if rows:
-            yield _signature_batch(found, owners)
-    return map_batches(docs, run, SIGNATURES)
+            yield from flush()
+    return map_batches(docs, run, PACKED)
+
 
+def _packed(sigs: np.ndarray, owners: np.ndarray, names: np.ndarray, parts: int):
+    """Record batches of packed signatures, a row for each part."""
+    part = (sigs % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, sigs, owners = part[order], sigs[order], owners[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    rows = []
+    for start, stop in zip(starts, np.r_[starts[1:], len(part)]):
+        used, place = np.unique(owners[start:stop], return_inverse=True)
+        # The low bits deal the parts; 48 of the others tell signatures of a part apart.
+        own = (sigs[start:stop] // np.uint64(parts)) & np.uint64(2**48 - 1)
+        rows.append((int(part[start]), own.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
+                     place.astype(np.uint32).tobytes(), names[used].tobytes()))
+        if len(rows) == 256:
+            yield _packed_batch(rows)
+            rows = []
+    if rows:
+        yield _packed_batch(rows)
 
-def _signature_batch(found, owners) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)),
-                                       pa.array(np.concatenate(owners))], schema=SIGNATURES)
+
+def _packed_batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKED)],
+                                      schema=PACKED)
+
+
+def _unpacked(sigs: bytes, places: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(sigs) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(sigs, np.uint8).reshape(-1, 6)
+    return wide.view(np.int64).ravel(), np.frombuffer(names, np.int64)[np.frombuffer(places, np.uint32)]
 
 
 def _group_batch(pairs: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -235,51 +331,42 @@ def _group_batch(pairs: list[np.ndarray], members: list[np.ndarray]) -> pa.Recor
 def group_pairs(sigs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """Candidate pairs ``(a, b)``, a < b, of sets that share a signature; and large groups' members.
 
-    A row with ``large`` is a member: ``a`` the signature, ``b`` the set.  The
-    sorted rows are a stream: of a group cut by the end of a batch, at most
-    ``small_group`` rows or its first set are carried on.
+    A row with ``large`` is a member: ``a`` the signature, ``b`` the set.  A
+    part's signatures are sorted together; a part is of bounded size, but for
+    a signature that very many sets share (20 bytes for each of them).
     """
     def run(batches):
-        carry_sig, carry_set = np.empty(0, np.int64), np.empty(0, np.int64)
-        large_sig = large_first = None  # the large group the last batch ended in
+        at, held = None, []
         for batch in batches:
-            sig, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig, own = np.r_[carry_sig, sig], np.r_[carry_set, own]
-            pairs, members = [], []
-            if large_sig is not None:
-                more = sig == large_sig
-                if more.any():
-                    rest = own[more & (own != large_first)]
-                    pairs.append(np.stack([np.full(len(rest), large_first), rest], 1))
-                    members.append(np.stack([np.full(len(rest), large_sig), rest], 1))
-                    sig, own = sig[~more], own[~more]
-            new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])][:len(sig)]
-            sig, own = sig[new], own[new]
-            if len(sig) == 0:
-                carry_sig, carry_set = sig, own
-                if (out := _group_batch(pairs, members)) is not None:
-                    yield out
-                continue
-            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            sizes = np.diff(np.r_[starts, len(sig)])
-            last = int(sizes[-1])
-            large_sig = large_first = None
-            if last <= small_group:
-                carry_sig, carry_set = sig[-last:], own[-last:]
-                starts, sizes = starts[:-1], sizes[:-1]
-            else:
-                carry_sig, carry_set = sig[:0], own[:0]
-                large_sig, large_first = sig[-1], own[starts[-1]]
-            _emit(sig, own, starts, sizes, small_group, pairs, members)
-            if (out := _group_batch(pairs, members)) is not None:
-                yield out
-        if len(carry_sig) > 1:
-            pairs = []
-            _emit(carry_sig, carry_set, np.array([0]), np.array([len(carry_sig)]), small_group, pairs, [])
-            if (out := _group_batch(pairs, [])) is not None:
-                yield out
-
-    return map_batches(sigs.repartition("sig").sortWithinPartitions("sig", "set_id"), run, GROUPS)
+            for row in range(batch.num_rows):
+                part, *packed = (c[row].as_py() for c in batch.columns)
+                if part != at and held:
+                    yield from _groups(at, held, small_group)
+                    held = []
+                at = part
+                held.append(_unpacked(*packed))
+        if held:
+            yield from _groups(at, held, small_group)
+
+    return map_batches(sigs.repartition("part").sortWithinPartitions("part"), run, GROUPS)
+
+
+def _groups(part: int, held: list, small_group: int):
+    """Pairs and members of one part's groups."""
+    sig, own = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]
+    sig, own = sig[new], own[new]
+    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    sizes = np.diff(np.r_[starts, len(sig)])
+    # A part's signatures with the part's number: unique over all parts but for chance.
+    name = mix(sig.view(np.uint64) + (np.uint64(part) << np.uint64(48))).view(np.int64)
+    pairs, members = [], []
+    _emit(name, own, starts, sizes, small_group, pairs, members)
+    if (out := _group_batch(pairs, members)) is not None:
+        for at in range(0, out.num_rows, 100_000):
+            yield out.slice(at, 100_000)
 
 
 def _emit(sig, own, starts, sizes, small_group, pairs, members) -> None:
@@ -319,38 +406,66 @@ def near_counts(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                        run, schema)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``set_id, grams`` of the documents named by ``wanted`` (a distinct column ``doc``).
+def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` named by ``wanted`` (a distinct column ``doc``).
 
     Broadcasts the names while they are few enough; else texts are shuffled.
     """
     if wanted.count() <= BROADCAST_SETS:
         wanted = F.broadcast(wanted)
+    return docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi")
+
 
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``set_id, grams`` of the documents named by ``wanted``."""
     def run(batches):
         shingler = Shingler()
         for _, texts in _texts(batches):
-            grams = [shingler.grams(t) for t in texts]
+            grams = shingler.grams(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_id(g) for g in grams], pa.int64()),
                  pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], schema=SETS)
+    return map_batches(_chosen(docs, wanted), run, SETS)
+
 
-    chosen = docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi")
-    # Rows may repeat a doc_id; of equal sets one is enough.
-    return map_batches(chosen, run, SETS).dropDuplicates(["set_id"])
+def short_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``set_id, short``: 40 bits of each 5-gram's hash, enough to compare two sets."""
+    def run(batches):
+        shingler = Shingler()
+        for _, texts in _texts(batches):
+            grams = shingler.grams(texts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_id(g) for g in grams], pa.int64()),
+                 pa.array([g.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes() for g in grams], pa.binary())],
+                schema=SHORT)
+    # Rows may repeat a doc_id, and a document its text.
+    return map_batches(_chosen(docs, wanted), run, SHORT)
 
 
-def similar(intersection: Column, size_a: Column, size_b: Column) -> Column:
-    return SIMILAR_OF * intersection >= SIMILAR * (size_a + size_b - intersection)
+def _long(short: bytes) -> np.ndarray:
+    wide = np.zeros((len(short) // 5, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(short, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link, by their whole sets."""
+    schema = arrow_schema({"a": pa.int64(), "b": pa.int64()})
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = _long(x.as_py()), _long(y.as_py())
+                both = len(x) + len(y)
+                common = both - len(np.unique(np.concatenate([x, y])))
+                keep.append(SIMILAR_OF * common >= SIMILAR * (both - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
     both = (pairs.select("a", "b")
-            .join(sets.select(F.col("set_id").alias("a"), F.col("grams").alias("grams_a")), "a")
-            .join(sets.select(F.col("set_id").alias("b"), F.col("grams").alias("grams_b")), "b"))
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.where(similar(common, F.size("grams_a"), F.size("grams_b"))).select("a", "b")
+            .join(sets.select(F.col("set_id").alias("a"), F.col("short").alias("short_a")), "a")
+            .join(sets.select(F.col("set_id").alias("b"), F.col("short").alias("short_b")), "b"))
+    return map_batches(both.select("a", "b", "short_a", "short_b"), run, schema).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -514,14 +629,15 @@ def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     profile = materialize(profiles(texts))
     nodes = profile.where("size > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("doc"), F.max("size").alias("size"), F.first("counts").alias("counts"))
-    groups = materialize(group_pairs(signatures(texts), small_group).distinct())
+    grams = profile.agg(F.sum("size")).first()[0] or 0
+    groups = materialize(group_pairs(signatures(texts, max(1, int(grams // PART_GRAMS))), small_group))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         near = materialize(near_counts(pairs, nodes))
         wanted = near.select(F.col("doc_a").alias("doc")).union(near.select("doc_b")).distinct()
-        return materialize(verified(near, sets_of(texts, wanted)))
+        return materialize(verified(near, short_sets(texts, wanted)))
 
-    links = links_of(groups.where("not large").select("a", "b"))
+    links = links_of(groups.where("not large").select("a", "b").distinct())
     found = components(links)
     rest = materialize(crowded(groups.where("large").select("a", "b"), found))
     if not rest.isEmpty():

@@ -36,17 +36,27 @@ FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Κα"
 
 # Patterns by kind; where several match at one place the first wins.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\w.+-])[\w.+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9+/_-]{8,128}",
+    "secret": r"(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_-]{8,128}",
     "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.[0-9])",
     "card": r"(?<![\w.])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![\w])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "name": rf"(?<=\b(?:{MALE}|{FEMALE})\.?[ ])\p{{Lu}}\p{{Ll}}{{1,30}}(?=(?:[ ]\p{{Lu}}\p{{Ll}}{{1,30}})?)",
-    "surname": rf"(?<=\b(?:{MALE}|{FEMALE})\.?[ ]\p{{Lu}}\p{{L}}{{1,30}}[ ])\p{{Lu}}\p{{Ll}}{{1,30}}",
+    "name": rf"(?=\p{{Lu}})(?<=[ ])(?<=\b(?:{MALE}|{FEMALE})\.?[ ])\p{{Lu}}\p{{Ll}}{{1,30}}",
+    "surname": rf"(?=\p{{Lu}})(?<=\p{{L}}[ ])(?<=\b(?:{MALE}|{FEMALE})\.?[ ]\p{{Lu}}\p{{L}}{{1,30}}[ ])\p{{Lu}}\p{{Ll}}{{1,30}}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# A secret's introduction, and the secret.
+SECRET_VALUE = "^(.*[=:][ ]{0,2}[\"']?)(.*)$"
+# A text that holds none of these holds no entity.
+SIGNS = ("@", "AKIA", "=", ":")
+TITLES = rf"(?:{MALE}|{FEMALE})\.?[ ]"
+# What begins with a digit, a plus or a bracket is looked at only there; in the others
+# the cheap tests (a capital, a blank before) come first, too.
+NUMBERS = ("ip", "card", "phone", "ssn")
+ANY = "|".join([f"(?:{PATTERNS['email']})", f"(?:{PATTERNS['key']})",
+                f"(?=[0-9+(])(?:{'|'.join(PATTERNS[k] for k in NUMBERS)})",
+                f"(?:{PATTERNS['secret']})", f"(?:{PATTERNS['name']})", f"(?:{PATTERNS['surname']})"])
 
 # Given names by script and gender.
 GIVEN = {
@@ -113,8 +123,7 @@ def kind_of(entity: Column, before: Column) -> Column:
     """The kind of an entity; names are told by what stands before."""
     titled = before.rlike(rf"\b(?:{MALE}|{FEMALE})\.?[ ]$")
     found = F.when(entity.rlike("@"), "email")
-    found = found.when(before.rlike(r"(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?$"),
-                       "secret")
+    found = found.when(entity.rlike(f"^(?:{PATTERNS['secret']})$"), "secret")
     for kind in ("key", "ip", "card", "ssn", "phone"):
         found = found.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return found.when(titled, "name").otherwise("surname")
@@ -128,6 +137,7 @@ def script_of(text: Column) -> Column:
 def canonical(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
     return (F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits)
+            .when(kind == "secret", F.regexp_extract(entity, SECRET_VALUE, 2))
             .when(kind.isin("email", "name", "surname"), F.lower(entity)).otherwise(entity))
 
 
@@ -180,6 +190,7 @@ def spelled(kind: Column, entity: Column, replacement: Column) -> Column:
     chars = F.split(entity, "")
     return (F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(chars, digit), ""))
             .when(kind == "email", F.array_join(F.transform(chars, cased), ""))
+            .when(kind == "secret", F.concat(F.regexp_extract(entity, SECRET_VALUE, 1), replacement))
             .when(kind.isin("name", "surname"), F.concat(F.upper(F.left(replacement, F.lit(1))),
                                                          F.substring(replacement, F.lit(2), F.length(replacement))))
             .otherwise(replacement))
@@ -189,6 +200,10 @@ def marked(docs: DataFrame) -> DataFrame:
     """``doc_id, text_id, pieces``: plain pieces and entities by turns, from whole texts."""
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{OPEN}{CLOSE}]", "")
     pieces = F.split(F.regexp_replace(text, ANY, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
+    may_hold = text.rlike("[0-9]") | text.rlike(TITLES)
+    for sign in SIGNS:
+        may_hold = may_hold | F.contains(text, F.lit(sign))
+    pieces = F.when(may_hold, pieces).otherwise(F.array(text))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), pieces.alias("pieces")).select(
         "doc_id", F.xxhash64("pieces").alias("text_id"), "pieces")
 
