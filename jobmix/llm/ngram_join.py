@@ -51,9 +51,9 @@ from jobmix.llm.common import ASCII_LOWER, arrow_schema, map_batches, materializ
 SHINGLE = 5
 # Linked: SIMILAR_OF * intersection >= SIMILAR * union, in hundredths.
 SIMILAR, SIMILAR_OF = 75, 100
-SMALL_GROUP = 16
+SMALL_GROUP = 32
 # Buckets of the counts by which candidates are dropped.
-BUCKETS = 128
+BUCKETS = 96
 # Identifiers of at most this many sets are broadcast (16 bytes each).
 BROADCAST_SETS = 500_000
 # The prefix filter's order is taken from this many sets, and puts at most so many 5-grams last.
@@ -67,7 +67,6 @@ PART_GRAMS = 1_500_000
 SIGNATURES = arrow_schema({"sig": pa.int64(), "set_id": pa.int64()})
 GROUPS = arrow_schema({"large": pa.bool_(), "a": pa.int64(), "b": pa.int64()})
 PACKED = arrow_schema({"part": pa.int64(), "sigs": pa.binary(), "places": pa.binary(), "names": pa.binary()})
-SETS = arrow_schema({"set_id": pa.int64(), "grams": pa.list_(pa.int64())})
 SHORT = arrow_schema({"set_id": pa.int64(), "short": pa.binary()})
 
 
@@ -416,18 +415,6 @@ def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``set_id, grams`` of the documents named by ``wanted``."""
-    def run(batches):
-        shingler = Shingler()
-        for _, texts in _texts(batches):
-            grams = shingler.grams(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(g) for g in grams], pa.int64()),
-                 pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64()))], schema=SETS)
-    return map_batches(_chosen(docs, wanted), run, SETS)
-
-
 def short_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``set_id, short``: 40 bits of each 5-gram's hash, enough to compare two sets."""
     def run(batches):
@@ -505,41 +492,52 @@ def crowded(members: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(mixed, "sig").select("set_id", "component").distinct()
 
 
-def frequent_grams(sets: DataFrame, sample: int = ORDER_SAMPLE, most: int = ORDER_GRAMS) -> list[int]:
-    """5-grams that are frequent in a sample of the sets, at most ``most``.
+def frequent_grams(docs: DataFrame, wanted: DataFrame, sample: int = ORDER_SAMPLE, most: int = ORDER_GRAMS) -> list[int]:
+    """5-grams that are frequent in a sample of the wanted sets, at most ``most``.
 
     They only come last in the order of the prefix filter, which is exact in
     any order; so a bounded sample will do.
     """
-    part = sets.orderBy(F.xxhash64("set_id")).limit(sample)
-    rows = (part.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-            .where("n > 2").orderBy(F.desc("n"), "gram").limit(most).collect())
+    def run(batches):
+        shingler = Shingler()
+        for _, texts in _texts(batches):
+            many = shingler.grams(texts)
+            flat = np.concatenate(many) if many else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], schema=arrow_schema({"gram": pa.int64()}))
+
+    part = wanted.orderBy(F.xxhash64("doc")).limit(sample)
+    rows = (map_batches(_chosen(docs, part), run, arrow_schema({"gram": pa.int64()}))
+            .groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+            .orderBy(F.desc("n"), "gram").limit(most).collect())
     return [r["gram"] for r in rows]
 
 
-def prefixes(sets: DataFrame, last: list[int]) -> DataFrame:
-    """``sig, set_id``: the first ``size - need + 1`` 5-grams of every set.
+def prefixes(docs: DataFrame, wanted: DataFrame, last: list[int]) -> DataFrame:
+    """``sig, set_id``: the first ``size - need + 1`` 5-grams of the set of every wanted document.
 
     ``need`` is the least intersection with a similar set.  The order is by a
     hash, with the 5-grams of ``last`` after all others.  Two similar sets
     have one of their first 5-grams in common.
     """
-    late = np.sort(np.array(last, np.int64))
+    late = np.sort(np.array(last, np.int64)).view(np.uint64)
 
     def run(batches):
-        for batch in batches:
-            ids, owners, sizes = batch.column(0).to_numpy(), batch.column(1), batch.column(1).value_lengths()
-            flat = owners.flatten().to_numpy()
-            sizes = sizes.to_numpy()
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            common = np.isin(flat, late, assume_unique=False) if len(late) else np.zeros(len(flat), bool)
-            order = np.lexsort((mix(flat.view(np.uint64) + np.uint64(99)), common, owner))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            first = sizes - -(-sizes * SIMILAR // SIMILAR_OF) + 1
-            kept = place < first[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order][kept]), pa.array(ids[owner[kept]])],
-                                             schema=SIGNATURES)
-    return map_batches(sets, run, SIGNATURES)
+        shingler = Shingler()
+        for _, texts in _texts(batches):
+            heads, owners = [], []
+            for grams in shingler.grams(texts):
+                size = len(grams)
+                if not size:
+                    continue
+                rank = mix(grams + np.uint64(99)) >> np.uint64(1)
+                rank[np.isin(grams, late)] |= np.uint64(1 << 63)
+                first = size - -(-size * SIMILAR // SIMILAR_OF) + 1
+                heads.append(grams[np.argpartition(rank, first - 1)[:first]])
+                owners.append(np.full(first, set_id(grams), np.int64))
+            if heads:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)),
+                                                  pa.array(np.concatenate(owners))], schema=SIGNATURES)
+    return map_batches(_chosen(docs, wanted), run, SIGNATURES)
 
 
 def shared_only(sigs: DataFrame) -> DataFrame:
@@ -615,11 +613,16 @@ def near_pairs(rows: DataFrame) -> DataFrame:
     return map_batches(dealt, run, schema).distinct()
 
 
-def prefix_pairs(sets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs ``a, b`` of different components by exact prefix filtering."""
-    heads = shared_only(prefixes(sets, frequent_grams(sets)))
-    known = labels.join(nodes.select("set_id", "size", "counts"), "set_id")
-    return near_pairs(heads.join(known, "set_id"))
+def prefix_pairs(docs: DataFrame, wanted: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidate pairs ``a, b`` of different components by exact prefix filtering.
+
+    Only 5-grams that several components share are joined to the counts.
+    """
+    heads = materialize(shared_only(prefixes(docs, wanted, frequent_grams(docs, wanted))).join(labels, "set_id"))
+    mixed = (heads.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+             .where("least < most").select("sig"))
+    known = nodes.select("set_id", "size", "counts")
+    return near_pairs(heads.join(mixed, "sig", "left_semi").join(known, "set_id"))
 
 
 def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
@@ -641,8 +644,8 @@ def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     found = components(links)
     rest = materialize(crowded(groups.where("large").select("a", "b"), found))
     if not rest.isEmpty():
-        wanted = nodes.join(rest, "set_id", "left_semi").select("doc")
-        more = links_of(prefix_pairs(materialize(sets_of(texts, wanted)), rest, nodes))
+        wanted = materialize(nodes.join(rest, "set_id", "left_semi").select("doc"))
+        more = links_of(prefix_pairs(texts, wanted, rest, nodes))
         if not more.isEmpty():
             found = components(links.union(more))
     # Components of sets by their smallest document; unlinked sets are their own.
