@@ -21,8 +21,8 @@ median of the timed runs is reported.  ``refresh_all_sec`` is one pass over
 all 16 tables sharing the persisted per-week flag table, as a dashboard
 refresh runs them.  One more pass over the stored inputs runs each table in
 its own job group with Spark's event log written to the scratch folder;
-``shuffle_bytes``, ``input_bytes`` and ``peak_execution_memory`` per table
-are read from that log.  Prints one JSON line.
+``shuffle_bytes`` and ``peak_execution_memory`` per table are read from that
+log.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def measure_pass(spark, inputs, params) -> None:
 
 
 def read_event_log(log_dir: str) -> dict[str, dict[str, int]]:
-    """Per job group: shuffle bytes written, input bytes read, peak execution memory."""
+    """Per job group: shuffle bytes written and peak execution memory."""
     stage_group, out = {}, {}
     for path in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True):
         if not os.path.isfile(path):
@@ -95,9 +95,8 @@ def read_event_log(log_dir: str) -> dict[str, dict[str, int]]:
                 continue
             m = ev.get("Task Metrics") or {}
             acc = out.setdefault(group.removeprefix("bench:"),
-                                 {"shuffle_bytes": 0, "input_bytes": 0, "peak_execution_memory": 0})
+                                 {"shuffle_bytes": 0, "peak_execution_memory": 0})
             acc["shuffle_bytes"] += (m.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
-            acc["input_bytes"] += (m.get("Input Metrics") or {}).get("Bytes Read", 0)
             acc["peak_execution_memory"] = max(acc["peak_execution_memory"],
                                                m.get("Peak Execution Memory", 0))
     return out
@@ -149,7 +148,6 @@ def main() -> None:
         "queries_from_raw_sum": round(sum(raw.values()), 4),
         "queries_from_raw": raw,
         "shuffle_bytes": {k: v["shuffle_bytes"] for k, v in metrics.items()},
-        "input_bytes": {k: v["input_bytes"] for k, v in metrics.items()},
         "peak_execution_memory": {k: v["peak_execution_memory"] for k, v in metrics.items()},
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": cpus,
