@@ -14,7 +14,6 @@ Layout:
 * ``jobmix.operators``  -- reusable DataFrame -> DataFrame steps
 * ``jobmix.plans``      -- the 16 result tables, a shared-intermediate refresh
                            (``Dashboard``), the query registry and oracle SQL
-* ``jobmix.streaming``  -- placeholder; the workload is batch only
 * ``jobmix.cli``        -- ``python -m jobmix refresh``: write all result tables
 """
 
