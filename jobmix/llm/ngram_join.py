@@ -519,7 +519,7 @@ def prefixes(docs: DataFrame, wanted: DataFrame, last: list[int]) -> DataFrame:
     hash, with the 5-grams of ``last`` after all others.  Two similar sets
     have one of their first 5-grams in common.
     """
-    late = np.sort(np.array(last, np.int64)).view(np.uint64)
+    late = np.sort(np.array(last, np.int64).view(np.uint64))
 
     def run(batches):
         shingler = Shingler()
@@ -530,7 +530,9 @@ def prefixes(docs: DataFrame, wanted: DataFrame, last: list[int]) -> DataFrame:
                 if not size:
                     continue
                 rank = mix(grams + np.uint64(99)) >> np.uint64(1)
-                rank[np.isin(grams, late)] |= np.uint64(1 << 63)
+                if len(late):
+                    at = np.minimum(np.searchsorted(late, grams), len(late) - 1)
+                    rank[late[at] == grams] |= np.uint64(1 << 63)
                 first = size - -(-size * SIMILAR // SIMILAR_OF) + 1
                 heads.append(grams[np.argpartition(rank, first - 1)[:first]])
                 owners.append(np.full(first, set_id(grams), np.int64))
