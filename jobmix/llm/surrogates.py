@@ -28,17 +28,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmix.llm.common import materialize, table
+from jobmix.llm.quality import let
 
 OPEN, CLOSE = "\ufdd0", "\ufdd1"  # noncharacters: no text should hold them
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Κος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Κα"
 
+# A secret runs to its end, however long; a dot, an exclamation mark or an at sign only where it goes on behind it.
+IN_VALUE = r"[\p{IsLatin}0-9+/_=~#$%^*-]"
+VALUE = rf"(?:{IN_VALUE}|[.!@]++(?={IN_VALUE})){{8,}}+"
+
 # Patterns by kind; where several match at one place the first wins.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?:password|passwd|pwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9+/_-]{8,128}",
+    "secret": rf"(?=[AaPpSsTt])(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?{VALUE}",
     "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.[0-9])",
     "card": r"(?<![\w.])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![\w])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w])",
@@ -47,7 +52,7 @@ PATTERNS = {
     "surname": rf"(?=\p{{Lu}})(?<=\p{{L}}[ ])(?<=\b(?:{MALE}|{FEMALE})\.?[ ]\p{{Lu}}\p{{L}}{{1,30}}[ ])\p{{Lu}}\p{{Ll}}{{1,30}}",
 }
 # A secret's introduction, and the secret.
-SECRET_VALUE = "^(.*[=:][ ]{0,2}[\"']?)(.*)$"
+SECRET_VALUE = "^([^=:]*[=:][ ]{0,2}[\"']?)(.*)$"
 # A text that holds none of these holds no entity.
 SIGNS = ("@", "AKIA", "=", ":")
 TITLES = rf"(?:{MALE}|{FEMALE})\.?[ ]"
@@ -93,14 +98,15 @@ def letter(stream: Column, at: Column, alphabet: str) -> Column:
 
 def same_shape(text: Column, stream: Column) -> Column:
     """Letters for letters, digits for digits, hex digits for hex; the rest as it is."""
-    is_hex = text.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
-
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, is_hex: Column, stream: Column) -> Column:
         return (F.when(is_hex, letter(stream, i, "0123456789abcdef"))
                 .when(c.rlike("[0-9]"), letter(stream, i, "0123456789"))
                 .when(c.rlike(r"\p{Lu}"), letter(stream, i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
                 .when(c.rlike(r"\p{L}"), letter(stream, i, "abcdefghijklmnopqrstuvwxyz")).otherwise(c))
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    # The stream and the test are computed once, not for each character: secrets may be long.
+    once = F.struct((text.rlike("^[0-9a-f]++$") & text.rlike("[a-f]")).alias("is_hex"), stream.alias("stream"))
+    return let(once, lambda o: F.array_join(F.transform(
+        F.split(text, ""), lambda c, i: one(c, i, o["is_hex"], o["stream"])), ""))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -122,8 +128,8 @@ def with_check_digit(digits: Column) -> Column:
 def kind_of(entity: Column, before: Column) -> Column:
     """The kind of an entity; names are told by what stands before."""
     titled = before.rlike(rf"\b(?:{MALE}|{FEMALE})\.?[ ]$")
-    found = F.when(entity.rlike("@"), "email")
-    found = found.when(entity.rlike(f"^(?:{PATTERNS['secret']})$"), "secret")
+    found = F.when(entity.rlike(f"^(?:{PATTERNS['secret']})$"), "secret")
+    found = found.when(entity.rlike("@"), "email")
     for kind in ("key", "ip", "card", "ssn", "phone"):
         found = found.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return found.when(titled, "name").otherwise("surname")

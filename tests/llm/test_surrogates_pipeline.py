@@ -73,6 +73,27 @@ def test_surrogates_of_a_kind_differ(spark):
     assert {tuple(r) for r in rows} == {tuple(r) for r in again}
 
 
+def put(spark, *texts):
+    """The texts with their entities replaced."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pseudonymize(df, "k").collect(), key=lambda r: r.doc_id)]
+
+
+def test_secrets_in_any_case_to_their_real_end(spark):
+    long, huge = "aB3" * 67, "x7" * 50_000
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4fw"
+    out = put(spark, 'TOKEN = "9233A8EC55FF0102" end', "API_KEY=Zk81mmQ20xLp and Password: hunter2hunter2.", f"token: {jwt}, then",
+              f"secret={long} tail", f"token={huge}", "pwd=c2VjcmV0c2VjcmV0MQ== x c2VjcmV0", '{"password": "p@ss.w0rd!x"}')
+    assert re.fullmatch(r'TOKEN = "[0-9A-Z]{16}" end', out[0]) and "9233A8EC" not in out[0]
+    assert re.fullmatch(r"API_KEY=\w{12} and Password: [a-z]{6}\d[a-z]{6}\d\.", out[1]) and "Zk81" not in out[1] and "hunter" not in out[1]
+    assert re.fullmatch(r"token: \w{20}\.\w{19}\.\w{20}, then", out[2])
+    assert not any(part in out[2] for part in jwt.split("."))
+    assert re.fullmatch(r"secret=\w{201} tail", out[3]) and "aB3aB3" not in out[3]
+    assert len(out[4]) == len(huge) + 6 and "x7x7x7" not in out[4]
+    assert re.fullmatch(r"pwd=\w{18}== x c2VjcmV0", out[5]) and "c2Vj" not in out[5][:20]
+    assert re.fullmatch(r'\{"password": "\w@\w{2}\.\w{4}!\w"\}', out[6]) and "w0rd" not in out[6]
+
+
 def test_empty_table(spark):
     assert pseudonymize(spark.createDataFrame([], "doc_id long, text string"), "k").collect() == []
 
