@@ -9,7 +9,8 @@
    letters, digits digits, an IP address stays one, a card number that passes
    the Luhn test gets one that does, a name gets a name of the same script and
    gender.  A surrogate that two entities share, or that is itself an entity of
-   the corpus, is given up by all but one and derived anew, until all differ.
+   the corpus, is given up by all but one and derived anew, until all differ;
+   after some attempts it grows, so that every entity ends with one of its own.
 4. Every mention is replaced in its own spelling: capitals, brackets, dashes
    and country codes stay as they were.
 
@@ -35,9 +36,12 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Κος"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Κα"
 
+# From this attempt on surrogates grow by a character each time: shapes may have nothing to replace, or be used up.
+GROW_AFTER = 4
 # A secret runs to its end, however long; a dot, an exclamation mark or an at sign only where it goes on behind it.
+# It holds a letter or a digit: a line of dashes is none.
 IN_VALUE = r"[\p{IsLatin}0-9+/_=~#$%^*-]"
-VALUE = rf"(?:{IN_VALUE}|[.!@]++(?={IN_VALUE})){{8,}}+"
+VALUE = rf"(?=[+/_=~#$%^*.!@-]*+[\p{{IsLatin}}0-9])(?:{IN_VALUE}|[.!@]++(?={IN_VALUE})){{8,}}+"
 
 # Patterns by kind; where several match at one place the first wins.
 PATTERNS = {
@@ -150,15 +154,18 @@ def canonical(kind: Column, entity: Column) -> Column:
 def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The replacement of a canonical form, in canonical form."""
     stream = F.concat(keyed(key, kind, canon, attempt), keyed(key, kind, canon, attempt, F.lit("more")))
+    grown = F.greatest(attempt - GROW_AFTER, F.lit(0))
+    letters, digits = (same_shape(F.repeat(F.lit(c), grown), F.reverse(stream)) for c in ("x", "0"))
     shaped = same_shape(canon, stream)
     # The part of an address after the last dot stays.
     tail = F.regexp_extract(canon, r"\.[^.]*$", 0)
-    email = F.concat(F.substring(shaped, F.lit(1), F.length(canon) - F.length(tail)), tail)
+    email = F.concat(letters, F.substring(shaped, F.lit(1), F.length(canon) - F.length(tail)), tail)
     ip = F.concat_ws(".", *[(number(stream, i) % (223 if i == 0 else 255) + 1).cast("string") for i in range(4)])
-    first = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(shaped, F.lit(2), F.length(canon)))
+    ip = F.when(grown > 0, F.concat(ip, F.lit("."), digits)).otherwise(ip)
+    first = F.concat(F.substring(canon, F.lit(1), F.lit(1)), F.substring(shaped, F.lit(2), F.length(canon)), digits)
     card = F.when(luhn_sum(canon) % 10 == 0, with_check_digit(first)).otherwise(first)
     phone = F.concat(F.substring(F.lit("23456789"), number(stream, 40) % 8 + 1, F.lit(1)),
-                     F.substring(shaped, F.lit(2), F.length(canon)))
+                     F.substring(shaped, F.lit(2), F.length(canon)), digits)
     script = script_of(canon)
     names = F.lit(None).cast("string")
     for (s, g), given in GIVEN.items():
@@ -175,8 +182,8 @@ def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, key:
         F.concat(F.coalesce(names, F.lit("")), F.substring(made, F.lit(1), F.lit(2) + 2 * attempt)))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
             .when(kind == "phone", phone).when(kind == "name", name).when(kind == "surname", made)
-            .when(kind == "key", F.concat(F.lit("AKIA"), F.substring(shaped, F.lit(5), F.length(canon))))
-            .otherwise(shaped))
+            .when(kind == "key", F.concat(F.lit("AKIA"), F.substring(shaped, F.lit(5), F.length(canon)), digits))
+            .when(kind == "ssn", F.concat(shaped, digits)).otherwise(F.concat(shaped, letters)))
 
 
 def spelled(kind: Column, entity: Column, replacement: Column) -> Column:
@@ -193,9 +200,12 @@ def spelled(kind: Column, entity: Column, replacement: Column) -> Column:
         own = F.substring(replacement, i + 1, F.lit(1))
         return F.when(c.rlike(r"\p{Lu}"), F.upper(own)).otherwise(own)
 
+    def and_grown(laid_out: Column, full: Column, places: Column) -> Column:
+        return F.concat(F.array_join(laid_out, ""), F.substring(full, places + 1, F.length(full)))
+
     chars = F.split(entity, "")
-    return (F.when(kind.isin("phone", "card", "ssn"), F.array_join(F.transform(chars, digit), ""))
-            .when(kind == "email", F.array_join(F.transform(chars, cased), ""))
+    return (F.when(kind.isin("phone", "card", "ssn"), and_grown(F.transform(chars, digit), laid, F.length(digits)))
+            .when(kind == "email", and_grown(F.transform(chars, cased), replacement, F.length(entity)))
             .when(kind == "secret", F.concat(F.regexp_extract(entity, SECRET_VALUE, 1), replacement))
             .when(kind.isin("name", "surname"), F.concat(F.upper(F.left(replacement, F.lit(1))),
                                                          F.substring(replacement, F.lit(2), F.length(replacement))))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from jobmix.llm.surrogates import pseudonymize, surrogates
+from jobmix.llm import surrogates as module
+from jobmix.llm.surrogates import pseudonymize, spelled, surrogates
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -73,6 +75,22 @@ def test_surrogates_of_a_kind_differ(spark):
     assert {tuple(r) for r in rows} == {tuple(r) for r in again}
 
 
+@contextmanager
+def rounds_below(n):
+    """Fails instead of going on for ever."""
+    made, calls = module.surrogate, []
+
+    def counted(*args):
+        calls.append(1)
+        assert len(calls) < n, "no end"
+        return made(*args)
+    module.surrogate = counted
+    try:
+        yield
+    finally:
+        module.surrogate = made
+
+
 def put(spark, *texts):
     """The texts with their entities replaced."""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -94,6 +112,28 @@ def test_secrets_in_any_case_to_their_real_end(spark):
     assert re.fullmatch(r'\{"password": "\w@\w{2}\.\w{4}!\w"\}', out[6]) and "w0rd" not in out[6]
 
 
+def test_entities_without_anything_to_replace_end(spark):
+    """Rounds are counted: before, these never left the loop."""
+    lines = ("password: ________", "token = --------", "mail _@-.com or _@-.com", *(f"at _@{i}.com" for i in range(10)))
+    with rounds_below(30):
+        out = put(spark, *lines)
+    assert out[:2] == list(lines[:2])
+    new = [re.search(r"\S+@\S+", t).group() for t in out[2:]]
+    assert len(set(new)) == 11 and not {m for t in lines[2:] for m in re.findall(r"\S+@\S+", t)} & set(new)
+    assert len(set(re.findall(r"\S+@\S+", out[2]))) == 1
+    used_up = spark.range(10).select(F.lit("ssn").alias("kind"), F.col("id").cast("string").alias("canon"), F.lit("").alias("gender"))
+    with rounds_below(30):
+        rows = surrogates(used_up, "k").collect()
+    assert len({r.replacement for r in rows} - {str(i) for i in range(10)}) == 10
+
+
+def test_grown_surrogates_are_spelled_whole(spark):
+    rows = spark.createDataFrame([("phone", "+1 (323) 555-9830", "234567890112"), ("ssn", "123-45-6789", "98765432101"),
+                                  ("email", "A@b.com", "qqz@c.com")], "k string, e string, r string")
+    got = [r[0] for r in rows.select(spelled(F.col("k"), F.col("e"), F.col("r"))).collect()]
+    assert [re.sub(r"\D", "", g) for g in got[:2]] == ["234567890112", "98765432101"] and got[2].lower() == "qqz@c.com"
+
+
 def test_empty_table(spark):
     assert pseudonymize(spark.createDataFrame([], "doc_id long, text string"), "k").collect() == []
 
