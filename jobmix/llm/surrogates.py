@@ -1,7 +1,8 @@
 """PII surrogates: detected entities get keyed replacements of the same type and format.
 
 1. One pattern marks every entity in a text; the text becomes a list of plain
-   pieces and entities by turns.
+   pieces and entities by turns.  The words of names are learned behind titles
+   and marked wherever the text has them again, with a capital but no title.
 2. Entities are brought to a canonical form (an address in lower case, a
    telephone number's last ten digits, a card's digits, one name), so different
    spellings of one entity are one (coreference), in all documents.
@@ -33,8 +34,27 @@ from jobmix.llm.quality import let
 
 OPEN, CLOSE = "\ufdd0", "\ufdd1"  # noncharacters: no text should hold them
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-MALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н|Κος"
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|Κα"
+MALE = "Mr Mister Herr Herrn Monsieur Señor Sr Sir Lord Г-н Господин Κος Κύριος"
+FEMALE = "Mrs Ms Miss Frau Fräulein Madame Madam Mme Mlle Mademoiselle Señora Señorita Sra Srta Lady Г-жа Госпожа Κα Κυρία"
+OTHER = "Dr Doctor Doktor Docteur Doctora Dra Prof Professor Professeur Profesor Profesora Mx Rev Capt Sgt"
+
+
+def titles(words: str) -> str:
+    """A pattern of titles as they are and in capitals, the longest first."""
+    return "|".join(sorted({t for w in words.split() for t in (w, w.upper())}, key=lambda t: (-len(t), t)))
+
+
+TITLE = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}])(?:{titles(f'{MALE} {FEMALE} {OTHER}')})\.?[\s\u00a0]{{1,3}}"
+# Words with a capital that no name is made of, but that may follow what looks like a title.
+NO_NAMES = ("The Then This That There He She It We They You And But Or In On At Of For From If As When While Der Die Das "
+            "Und Aber Er Sie Es Wir Ich El Los Las Le Les La Un Una Une Et Mais Il Elle Pero Он Она И Но В На Ο Η Το Και")
+NOT_NAME = rf"(?!(?:{'|'.join(NO_NAMES.split())})(?![\p{{L}}\p{{M}}]))"
+# A name is made of words, joined by apostrophes and hyphens (O'Brien, Jean-Luc); a single letter alone is none.
+WORD = r"[\p{L}\p{M}]{2,}+"
+NAME_WORD = rf"(?<![\p{{L}}\p{{M}}])(?:(?=\p{{Lu}})|(?<=\p{{L}}['’-])){WORD}"
+PARTICLE = r"(?:von|vom|van|der|den|de|del|della|di|da|do|dos|du|la|le|zu|zur|bin|ibn|al|el|y|e)[ \u00a0]|\p{Lu}\.[ \u00a0]?"
+JOINED = rf"(?:{PARTICLE}){{0,4}}{NOT_NAME}\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’-](?=\p{{L}}))++"
+TITLED = rf"(?:{TITLE})+{JOINED}(?:[ \u00a0]{JOINED}){{0,3}}"
 
 # From this attempt on surrogates grow by a character each time: shapes may have nothing to replace, or be used up.
 GROW_AFTER = 4
@@ -52,20 +72,18 @@ PATTERNS = {
     "card": r"(?<![\w.])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![\w])",
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "name": rf"(?=\p{{Lu}})(?<=[ ])(?<=\b(?:{MALE}|{FEMALE})\.?[ ])\p{{Lu}}\p{{Ll}}{{1,30}}",
-    "surname": rf"(?=\p{{Lu}})(?<=\p{{L}}[ ])(?<=\b(?:{MALE}|{FEMALE})\.?[ ]\p{{Lu}}\p{{L}}{{1,30}}[ ])\p{{Lu}}\p{{Ll}}{{1,30}}",
 }
 # A secret's introduction, and the secret.
 SECRET_VALUE = "^([^=:]*[=:][ ]{0,2}[\"']?)(.*)$"
 # A text that holds none of these holds no entity.
 SIGNS = ("@", "AKIA", "=", ":")
-TITLES = rf"(?:{MALE}|{FEMALE})\.?[ ]"
-# What begins with a digit, a plus or a bracket is looked at only there; in the others
-# the cheap tests (a capital, a blank before) come first, too.
+# What begins with a digit, a plus or a bracket is looked at only there.
 NUMBERS = ("ip", "card", "phone", "ssn")
 ANY = "|".join([f"(?:{PATTERNS['email']})", f"(?:{PATTERNS['key']})",
                 f"(?=[0-9+(])(?:{'|'.join(PATTERNS[k] for k in NUMBERS)})",
-                f"(?:{PATTERNS['secret']})", f"(?:{PATTERNS['name']})", f"(?:{PATTERNS['surname']})"])
+                f"(?:{PATTERNS['secret']})"])
+# In a text with titled names, each word that may be one of them is marked, too.
+ANY_OR_WORD = f"{ANY}|(?:{NAME_WORD})"
 
 # Given names by script and gender.
 GIVEN = {
@@ -129,14 +147,13 @@ def with_check_digit(digits: Column) -> Column:
                     ((10 - luhn_sum(body) % 10) % 10).cast("string"))
 
 
-def kind_of(entity: Column, before: Column) -> Column:
-    """The kind of an entity; names are told by what stands before."""
-    titled = before.rlike(rf"\b(?:{MALE}|{FEMALE})\.?[ ]$")
+def kind_of(entity: Column) -> Column:
+    """The kind of an entity; NULL for a word that may be a name."""
     found = F.when(entity.rlike(f"^(?:{PATTERNS['secret']})$"), "secret")
     found = found.when(entity.rlike("@"), "email")
     for kind in ("key", "ip", "card", "ssn", "phone"):
         found = found.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
-    return found.when(titled, "name").otherwise("surname")
+    return found
 
 
 def script_of(text: Column) -> Column:
@@ -207,34 +224,61 @@ def spelled(kind: Column, entity: Column, replacement: Column) -> Column:
     return (F.when(kind.isin("phone", "card", "ssn"), and_grown(F.transform(chars, digit), laid, F.length(digits)))
             .when(kind == "email", and_grown(F.transform(chars, cased), replacement, F.length(entity)))
             .when(kind == "secret", F.concat(F.regexp_extract(entity, SECRET_VALUE, 1), replacement))
-            .when(kind.isin("name", "surname"), F.concat(F.upper(F.left(replacement, F.lit(1))),
-                                                         F.substring(replacement, F.lit(2), F.length(replacement))))
+            .when(kind.isin("name", "surname"),
+                  F.when(entity.rlike(r"^\p{Ll}"), replacement).when(~entity.rlike(r"\p{Ll}"), F.upper(replacement))
+                  .otherwise(F.concat(F.upper(F.left(replacement, F.lit(1))),
+                                      F.substring(replacement, F.lit(2), F.length(replacement)))))
             .otherwise(replacement))
 
 
+def names_in(text: Column) -> Column:
+    """The words of the titled names of a text: ``canon, kind, gender``; the first word of a name is a given name."""
+    def words(titled: Column) -> Column:
+        name = F.regexp_replace(titled, f"^(?:{TITLE})+", "")
+        female = titled.rlike(rf"^(?:{TITLE})*?(?:{titles(FEMALE)})\.?[\s\u00a0]")
+        return F.transform(F.regexp_extract_all(name, F.lit(NAME_WORD), 0), lambda w, i: F.struct(
+            F.lower(w).alias("canon"), F.when(i == 0, "name").otherwise("surname").alias("kind"),
+            F.when(i > 0, "").when(female, "f").otherwise("m").alias("gender")))
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TITLED), 0), words)))
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_id, pieces``: plain pieces and entities by turns, from whole texts."""
+    """``doc_id, text_id, pieces, names``: plain pieces and entities (or words that may be names) by turns, and names."""
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{OPEN}{CLOSE}]", "")
-    pieces = F.split(F.regexp_replace(text, ANY, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
-    may_hold = text.rlike("[0-9]") | text.rlike(TITLES)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    text, has_names = F.col("text"), F.col("text").rlike(TITLED)
+    split = lambda pattern: F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
+    may_hold = text.rlike("[0-9]")
     for sign in SIGNS:
         may_hold = may_hold | F.contains(text, F.lit(sign))
-    pieces = F.when(may_hold, pieces).otherwise(F.array(text))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), pieces.alias("pieces")).select(
-        "doc_id", F.xxhash64("pieces").alias("text_id"), "pieces")
+    pieces = F.when(has_names, split(ANY_OR_WORD)).when(may_hold, split(ANY)).otherwise(F.array(text))
+    names = F.when(F.size(pieces) > 1, names_in(text))
+    return (texts.select("doc_id", pieces.alias("pieces"), names.alias("names"))
+            .select("doc_id", F.xxhash64("pieces").alias("text_id"), "pieces", "names"))
 
 
 def mentions(pieces: DataFrame) -> DataFrame:
-    """``doc_id, text_id, place, entity, kind, canon, gender``: a row per entity in a text."""
+    """``doc_id, text_id, place, entity, kind, canon, gender``: a row per entity in a text.
+
+    A word is a mention of a name if the same text has it behind a title
+    anywhere, in any capitals; in a text a name is of one kind and gender.
+    """
+    at = ["doc_id", "text_id"]
     found = pieces.where(F.size("pieces") > 1).select(
-        "doc_id", "text_id", F.explode(F.filter(F.transform("pieces", lambda p, i: F.struct(
-            i.alias("place"), p.alias("entity"), F.right(F.get(F.col("pieces"), i - 1), F.lit(48)).alias("before"))),
-            lambda s: s["place"] % 2 == 1)).alias("m")).select("doc_id", "text_id", "m.*")
-    kinds = found.withColumn("kind", kind_of(F.col("entity"), F.col("before")))
-    gender = F.when(F.col("kind") == "name", F.when(F.col("before").rlike(rf"\b(?:{FEMALE})\.?[ ]$"), "f").otherwise("m"))
-    return kinds.select("doc_id", "text_id", "place", "entity", "kind",
-                        canonical(F.col("kind"), F.col("entity")).alias("canon"),
-                        F.coalesce(gender, F.lit("")).alias("gender"))
+        *at, F.explode(F.filter(F.transform("pieces", lambda p, i: F.struct(i.alias("place"), p.alias("entity"))),
+                                lambda s: s["place"] % 2 == 1)).alias("m")).select(*at, "m.*")
+    kinds = found.withColumn("kind", kind_of(F.col("entity")))
+    sure = kinds.where("kind is not null").select(
+        *at, "place", "entity", "kind", canonical(F.col("kind"), F.col("entity")).alias("canon"), F.lit("").alias("gender"))
+    # One that is ever behind another name is a surname.
+    names = (pieces.where(F.size("names") > 0).select(*at, F.explode("names").alias("n")).select(*at, "n.*")
+             .groupBy(*at, "canon").agg(F.max("kind").alias("kind"), F.min("gender").alias("gender"))
+             .select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), F.col("canon").alias("_canon"),
+                     "kind", F.when(F.col("kind") == "name", F.col("gender")).otherwise("").alias("gender")))
+    words = kinds.where("kind is null").select(*at, "place", "entity", F.lower("entity").alias("canon"))
+    named = words.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text"))
+                       & (F.col("canon") == F.col("_canon")))
+    return sure.unionByName(named.select(*at, "place", "entity", "kind", "canon", "gender"))
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
@@ -279,7 +323,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
                     F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")))
     joined = pieces.join(by_text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_id") == F.col("_text")), "left")
     whole = F.transform("pieces", lambda p, i: F.coalesce(F.col("put")[i], p))
-    return joined.select("doc_id", F.floor(F.size("pieces") / 2).cast("bigint").alias("n_entities"),
+    return joined.select("doc_id", F.when(F.col("put").isNull(), 0).otherwise(F.size("put")).cast("bigint").alias("n_entities"),
                          F.coalesce("kinds", F.lit("")).alias("kinds"),
                          F.when(F.col("put").isNull(), F.array_join("pieces", ""))
                          .otherwise(F.array_join(whole, "")).alias("text"))

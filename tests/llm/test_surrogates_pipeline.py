@@ -134,6 +134,26 @@ def test_grown_surrogates_are_spelled_whole(spark):
     assert [re.sub(r"\D", "", g) for g in got[:2]] == ["234567890112", "98765432101"] and got[2].lower() == "qqz@c.com"
 
 
+def test_whole_names_and_their_untitled_mentions(spark):
+    texts = ("Mr. McDonald and Frau Müller-Schmidt met Mrs. O'Brien.", "Mr. SMITH, Dr. Anna Smith; Smith's car, ANNA too",
+             "Mr. John Smith came. Smith said John agreed; Johnson and smithy did not",
+             "Herr Prof. Dr. Jean-Luc von der Leyen, Mr. J. R. R. Tolkien. Leyen, Tolkien, jean",
+             "Mr. Lee met Adam Then", "Elm Dr. The end. The end", "Then Smith and Mr nobody")
+    out = put(spark, *texts)
+    name = r"\p{Lu}\p{Ll}+".replace(r"\p{Lu}", "[A-Z]").replace(r"\p{Ll}", "[a-z]")
+    gone = ("McDonald", "Donald", "Müller", "Schmidt", "Brien", "SMITH", "Smith", "Anna", "ANNA", "Luc", "Leyen", "Tolkien", "Lee")
+    for t in out[:5]:
+        assert not any(re.search(rf"\b{g}\b", t) for g in gone), t
+    assert re.fullmatch(rf"Mr\. {name} and Frau {name}-{name} met Mrs\. O'{name}\.", out[0])
+    m = re.fullmatch(rf"Mr\. ([A-Z]+), Dr\. ({name}) ({name}); ({name})'s car, ([A-Z]+) too", out[1])
+    assert m[1] == m[3].upper() == m[4].upper() and m[2].upper() == m[5]
+    m = re.fullmatch(rf"Mr\. ({name}) ({name}) came\. ({name}) said ({name}) agreed; Johnson and smithy did not", out[2])
+    assert m[1] == m[4] and m[2] == m[3] and m[1] != m[2]
+    m = re.fullmatch(rf"Herr Prof\. Dr\. ({name})-({name}) von der ({name}), Mr\. J\. R\. R\. ({name})\. ({name}), ({name}), jean", out[3])
+    assert m[3] == m[5] and m[4] == m[6]
+    assert re.fullmatch(rf"Mr\. {name} met Adam Then", out[4]) and out[5:] == list(texts[5:])
+
+
 def test_empty_table(spark):
     assert pseudonymize(spark.createDataFrame([], "doc_id long, text string"), "k").collect() == []
 
