@@ -7,14 +7,21 @@ joined.  Around every hit the two texts are laid side by side, and the item
 counts as leaked where enough tokens agree: most of the item, or nearly all of
 a stretch of ``STRETCH`` tokens.
 
+No such place is without a hit, so the result is what that rule says for items
+of any length.  Where 60% of an item agree, some five tokens in a row hold
+three that do: if neither the blocks of five nor the r tokens behind the last
+of q blocks had three, at most 2q + min(r, 2) would agree, fewer than the
+3q + 0.6r of the rule for q >= 1, or r = 4 alone.  The masks are all ways to choose
+three of five tokens; items of two or three words need two, those of one word
+one.  Eleven tokens of thirteen hold three of five all the more.
+
 Everything is built-in column expressions.  The test items' hashes are
 broadcast while the items have at most ``BROADCAST_WORDS`` words in all;
 beyond that the hashes are joined by shuffle and the texts met again by
 ``doc_id``, with the same result.
 
-Results for odd input: a null or empty text holds no item; items of fewer
-words than the shortest mask spans are not searched for; rows without
-``doc_id`` or ``item_id`` are skipped; repeated rows give one result per
+Results for odd input: a null or empty text holds no item; an item without
+words is in no text; rows without ``doc_id`` or ``item_id`` are skipped; repeated rows give one result per
 document and item; items with equal texts are all reported; empty tables give
 an empty result; other columns of the input are not read.
 """
@@ -28,8 +35,7 @@ from jobmix.llm.common import table
 from jobmix.llm.quality import let
 
 # Positions of a window that count ("1") and that may differ ("0").
-MASKS = ("11011011", "1011100101", "10100110011")
-SPANS = tuple(map(len, MASKS))
+MASKS = ("111", "1011", "1101", "10011", "10101", "11001", "11", "101", "1")
 # The item is leaked if this share of its tokens agrees, or so many tokens of a stretch.
 MIN_SHARE, STRETCH, MIN_IN_STRETCH = 0.6, 13, 11
 BROADCAST_WORDS = 200_000
@@ -42,18 +48,30 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed(tokens: Column, at: Column, mask: int) -> Column:
-    """Hash of the tokens that a mask selects in the window at ``at``; NULL where it does not fit."""
-    chosen = [F.get(tokens, at + i) for i, c in enumerate(MASKS[mask]) if c == "1"]
-    return F.when((at >= 0) & (at + SPANS[mask] <= F.size(tokens)), F.xxhash64(F.lit(mask), *chosen))
+def weight(tokens: Column) -> Column:
+    """How many tokens the masks of an item select: as many as any leak of it has close together."""
+    return F.when(F.size(tokens) == 1, 1).when(F.size(tokens) < 4, 2).otherwise(3)
+
+
+def windows(tokens: DataFrame, masks: list[str]) -> DataFrame:
+    """``tokens`` (a column ``t`` and others) with a row for each place ``at`` and mask: ``mask``, ``seed``.
+
+    A seed is the hash of the tokens that a mask selects in the window at a
+    place.  Little code per row: a method over 8,000 bytes is not compiled.
+    """
+    width = max(map(len, masks))
+    near = tokens.where(F.size("t") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("t") - 1)).alias("at"))
+    near = near.withColumn("w", F.slice("t", F.col("at") + 1, F.lit(width)))
+    seeds = F.array(*[F.when(F.size("w") >= len(m), F.xxhash64(F.lit(i), *[
+        F.get("w", F.lit(k)) for k, c in enumerate(m) if c == "1"])) for i, m in enumerate(masks)])
+    return near.select(*tokens.columns, "at", F.posexplode(seeds).alias("mask", "seed")).where("seed is not null")
 
 
-def windows(tokens: DataFrame) -> DataFrame:
-    """``tokens`` (a column ``t`` and others) with a row for each place ``at`` and mask: ``mask``, ``seed``."""
-    placed = tokens.where(F.size("t") >= min(SPANS)).select(
-        "*", F.explode(F.sequence(F.lit(0), F.size("t") - min(SPANS))).alias("at"))
-    seeds = F.array(*[seed(F.col("t"), F.col("at"), m) for m in range(len(MASKS))])
-    return placed.select("*", F.posexplode(seeds).alias("mask", "seed")).where("seed is not null")
+def goes_on(t: Column, at: Column, item: Column, item_at: Column, mask: Column, masks: list[str]) -> Column:
+    """Whether a hit of a mask is one of a row: there is one at the place before, too."""
+    places = F.array(*[F.array(*[F.lit(k - 1) for k, c in enumerate(m) if c == "1"]) for m in masks])
+    same = F.forall(F.get(places, mask), lambda k: F.get(t, at + k).eqNullSafe(F.get(item, item_at + k)))
+    return (at > 0) & (item_at > 0) & same
 
 
 def agreement(t: Column, item: Column, shift: Column) -> Column:
@@ -63,8 +81,10 @@ def agreement(t: Column, item: Column, shift: Column) -> Column:
     def measure(f: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(f) - STRETCH + 1, F.lit(1)))
         total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-        return F.struct(total(f).alias("agree"),
-                        F.array_max(F.transform(starts, lambda i: total(F.slice(f, i, STRETCH)))).alias("in_stretch"))
+        in_stretch = F.array_max(F.transform(starts, lambda i: total(F.slice(f, i, STRETCH))))
+        # Most hits are by chance and need no stretch.
+        return let(total(f), lambda n: F.struct(
+            n.alias("agree"), F.when(n >= MIN_IN_STRETCH, in_stretch).otherwise(n).alias("in_stretch")))
     return let(flags, measure)
 
 
@@ -79,20 +99,20 @@ def contaminated(docs: DataFrame, items: DataFrame, broadcast_words: int = BROAD
                                                 token_hashes(F.col("text")).alias("t"))
     tests = (items.where("item_id is not null")
              .select(F.col("item_id").cast("bigint").alias("item_id"), token_hashes(F.col("text")).alias("t"))
-             .distinct())
-    # A mask's hash at the place before, to keep only the first hit of a row of hits.
-    before = F.coalesce(*[F.when(F.col("mask") == m, seed(F.col("t"), F.col("at") - 1, m))
-                          for m in range(len(MASKS))])
-    seeds = windows(tests).select("item_id", "seed", F.col("at").alias("item_at"), before.alias("item_before"))
-    n_words = tests.agg(F.sum(F.size("t"))).first()[0] or 0
+             .where(F.size("t") > 0).distinct())
+    n_words, weights = tests.agg(F.sum(F.size("t")), F.collect_set(weight(F.col("t")))).first()
+    # Only the masks that some item needs are laid over the documents.
+    masks = [m for m in MASKS if m.count("1") in (weights or [3])]
+    chosen = F.get(F.array(*[F.lit(m.count("1")) for m in masks]), F.col("mask")) == weight(F.col("t"))
+    seeds = windows(tests, masks).where(chosen).select("item_id", "seed", F.col("at").alias("item_at"))
     whole = tests.select("item_id", F.col("t").alias("item"))
-    if n_words <= broadcast_words:
-        hits = (windows(t).join(F.broadcast(seeds), "seed")
-                .where(F.col("item_before").isNull() | before.isNull() | (before != F.col("item_before")))
-                .select("doc_id", "item_id", "t", (F.col("at") - F.col("item_at")).alias("shift"))
-                .join(F.broadcast(whole), "item_id"))
+    if (n_words or 0) <= broadcast_words:
+        # Only the first hit of a row of hits is laid side by side.
+        hits = (windows(t, masks).join(F.broadcast(seeds), "seed").join(F.broadcast(whole), "item_id")
+                .where(~goes_on(F.col("t"), F.col("at"), F.col("item"), F.col("item_at"), F.col("mask"), masks))
+                .select("doc_id", "item_id", "t", "item", (F.col("at") - F.col("item_at")).alias("shift")))
     else:
-        places = (windows(t).select("doc_id", "at", "seed").join(seeds, "seed")
+        places = (windows(t, masks).select("doc_id", "at", "seed").join(seeds, "seed")
                   .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
         hits = places.join(t, "doc_id").join(whole, "item_id")
     laid = hits.select("doc_id", "item_id", "shift", F.size("item").alias("n_item"),

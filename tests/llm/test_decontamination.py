@@ -71,6 +71,28 @@ def test_equal_to_brute_force(spark, broadcast_words):
     assert len(out) == len({(r.doc_id, r.item_id) for r in out})
 
 
+@pytest.mark.parametrize("broadcast_words", [200_000, 0])
+def test_whatever_the_rule_accepts_is_found(spark, broadcast_words):
+    """Items of any length, with as many words replaced as the rule allows, wherever they are."""
+    rng = random.Random(5)
+    items, docs = [], []
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 15, 16, 20, 30, 59):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, words))
+        left_out = int(n * (1 - MIN_SHARE) + 1e-9)
+        places = [[k] for k in range(n)] if left_out else [[]]
+        places += [[k for k in range(n) if k % 5 in (a, b)] for a in range(5) for b in range(a)]  # evenly spread
+        places += [[k for k in range(n) if k % 6 > 2], []]
+        places += [rng.sample(range(n), min(n, left_out + rng.randrange(2))) for _ in range(12)]
+        for gone in places:
+            docs.append((len(docs), prose(6) + [f"z{k}" if k in gone else w for k, w in enumerate(words)] + prose(6)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_agree for r in contaminated(df, tests, broadcast_words).collect()}
+    want = brute(docs, items)
+    assert got == want and {i for _, i in want} == {i for i, _ in items}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
