@@ -1,21 +1,16 @@
 from __future__ import annotations
 
-import datetime as dt
-import os
 import sys
-from decimal import Decimal
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+from helpers import ROOT
+
 sys.path.insert(0, ROOT)
 
 from jobmix import schemas  # noqa: E402
 from jobmix.sources.tables import Tables  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,36 +20,6 @@ def spark():
     s.stop()
 
 
-def ts(s: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(s)
-
-
-def d(s: str) -> dt.date:
-    return dt.date.fromisoformat(s)
-
-
-def srv():
-    return {"type": "SERVERLESS_COMPUTE", "cluster_id": None}
-
-
-def classic(cluster: str):
-    return {"type": "CLASSIC_COMPUTE", "cluster_id": cluster}
-
-
-def run(ws, job, run_id, start, compute, duration=60):
-    return (ws, job, run_id, ts(start), duration, compute)
-
-
-def usage_row(date, ws, product, serverless, qty, sku="SKU_1", job="j1", end=None, tags=None):
-    end_ts = ts(end) if end else dt.datetime.combine(d(date), dt.time(1))
-    return (d(date), end_ts, ws, sku, "DBU", Decimal(str(qty)), product,
-            {"is_serverless": serverless}, {"job_id": job}, tags or {})
-
-
-def price_row(sku, start, end, price):
-    return (sku, "DBU", ts(start), ts(end) if end else None, {"default": Decimal(str(price))})
-
-
 @pytest.fixture
 def make_tables(spark):
     """Build a Tables bundle from Python rows (any table may be omitted)."""

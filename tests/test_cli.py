@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 import json
 
 import pytest

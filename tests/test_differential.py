@@ -18,7 +18,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import ROOT
+from helpers import ROOT
 from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix import schemas
 from jobmix.params import Params, TimeRange

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from conftest import ROOT, SF_SMALL
+from helpers import ROOT, SF_SMALL
 
 import __spark_entry__ as E  # noqa: E402
 from jobmix.plans import registry  # noqa: E402

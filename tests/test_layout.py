@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import classic, price_row, run, srv, usage_row
+from helpers import classic, price_row, run, srv, usage_row
 from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.params import Params, TimeRange
 from jobmix.plans import reports as D

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from conftest import SF_MID
+from helpers import SF_MID
 from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.plans import registry
 from jobmix.plans import reports as D

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import SF_SMALL, classic, run, srv
+from helpers import SF_SMALL, classic, run, srv
 from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.params import Params, TimeRange
 from jobmix.plans import registry

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import classic, d, run, srv
+from helpers import classic, d, run, srv
 from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.operators import runs as R
 from jobmix.params import Params, TimeRange

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from conftest import price_row, usage_row
+from helpers import price_row, usage_row
 from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.operators import spend as S
 from jobmix.params import Params, TimeRange
