@@ -13,6 +13,7 @@ from jobmix.llm.merkle import OP13_SQL, op13_merkle_manifest
 from jobmix.llm.ngram_join import op4_ngram_join
 from jobmix.llm.quality import op10_quality_rules
 from jobmix.llm.sentencepieces import op8_sentencepiece
+from jobmix.llm.substring_dedup import op12_substring_dedup
 from jobmix.llm.surrogates import op5_surrogates
 from jobmix.llm.token_counts import op9_token_counts
 from jobmix.llm.toxicity import op6_toxicity
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_counts,
         op10_quality_rules,
         op11_whitening,
+        op12_substring_dedup,
         op13_merkle_manifest,
     )
 }
