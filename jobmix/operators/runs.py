@@ -18,7 +18,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmix.functions.exprs import flag, multi_select, week_start
@@ -92,47 +92,57 @@ def tag_runs(entries: DataFrame, ws: DataFrame, params: Params | None = None,
 
 
 def cluster_kinds(clusters: DataFrame) -> DataFrame:
-    """Clusters collapsed to one row per (workspace, cluster, kind).
-
-    ``cl_bucket`` is AP for interactive sources and JC otherwise; ``cl_rows``
-    counts the cluster rows of that kind.  A key with rows of both kinds has
-    two rows, so a run entry joins to at most two rows however many history
-    rows the cluster table keeps, and ``cl_rows`` carries the multiplicity a
-    plain join would have produced.  A table already collapsed is returned
-    as it is, so a refresh collapses its clusters once.
+    """Clusters collapsed to one row per (workspace, cluster).
+
+    ``ap_rows`` and ``jc_rows`` count the cluster rows with an interactive
+    source and with any other, so however many history rows the cluster table
+    keeps, a lookup finds one row that carries the multiplicity a plain
+    join would have produced.  A table already collapsed is returned as it is,
+    so a refresh collapses its clusters once.
     """
-    if "cl_bucket" in clusters.columns:
+    if "ap_rows" in clusters.columns:
         return clusters
-    kind = F.when(F.col("cluster_source").isin(list(INTERACTIVE_SOURCES)), F.lit(AP)).otherwise(F.lit(JC))
+    interactive = F.coalesce(F.col("cluster_source").isin(list(INTERACTIVE_SOURCES)), F.lit(False))
     return (clusters
             .where(F.col("cluster_id").isNotNull())
-            .groupBy("workspace_id", "cluster_id", kind.alias("cl_bucket"))
-            .agg(F.count(F.lit(1)).alias("cl_rows")))
+            .groupBy("workspace_id", "cluster_id")
+            .agg(F.count_if(interactive).alias("ap_rows"), F.count_if(~interactive).alias("jc_rows")))
 
 
 def bucket_runs(entries: DataFrame, clusters: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """Add ``bucket`` (SRV / AP / JC / OTHER) and ``weight`` to each entry.
 
     Classic entries look up their cluster: an interactive source makes them
-    AP, any other source (or no cluster row at all) JC.  ``weight`` is the
-    number of rows a plain join against the cluster history would have
-    produced for this (entry, bucket); it matters only for averages.
-
-    ``broadcast`` (default: decided from the size estimate of the collapsed
-    cluster table) picks the join.  Broadcast: entries stream through a hash
-    lookup, no shuffle.  Shuffle join: see :func:`_lookup_key`.
+    AP, any other source (or no cluster row at all) JC; a cluster with rows of
+    both kinds makes an entry two rows.  ``weight`` is the number of rows a
+    plain join against the cluster history would have produced for this
+    (entry, bucket); it matters only for averages.
+
+    ``broadcast`` (default: decided from the size estimate of the clusters looked
+    up) picks the join.  Broadcast: entries stream through a hash lookup, no
+    shuffle.  Else both sides are shuffled by cluster and a salt: see
+    :func:`_lookup_key` and :func:`salts`.
     """
-    kinds = cluster_kinds(clusters)
+    kinds = told_kinds(clusters)
     if broadcast is None:
         broadcast = fits_broadcast(kinds)
     classic = F.col("compute_type") == F.lit(CLASSIC)
-    key = F.col("cluster_id") if broadcast else _lookup_key(entries)
-    e = entries.withColumn("_cluster_key", key)
+    rows = F.filter(F.array(F.struct(F.lit(AP).alias("cl_bucket"), F.col("ap_rows").alias("cl_rows")),
+                            F.struct(F.lit(JC).alias("cl_bucket"), F.col("jc_rows").alias("cl_rows"))),
+                    lambda k: k["cl_rows"] > 0)
     k = kinds.select(F.col("workspace_id").alias("_k_ws"), F.col("cluster_id").alias("_k_cluster"),
-                     "cl_bucket", "cl_rows")
+                     F.inline(rows))
     if broadcast:
+        e = entries.withColumn("_cluster_key", F.col("cluster_id"))
         k = F.broadcast(k)
-    cond = (e["workspace_id"] == k["_k_ws"]) & (e["_cluster_key"] == k["_k_cluster"]) & classic
+        same_salt = F.lit(True)
+    else:
+        n = salts(entries.sparkSession)
+        row = F.xxhash64(*[F.col(c) for c in entries.columns])
+        e = entries.withColumns({"_cluster_key": _lookup_key(row), "_salt": F.pmod(row, F.lit(n))})
+        k = k.withColumn("_k_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+        same_salt = F.col("_salt") == F.col("_k_salt")
+    cond = (e["workspace_id"] == k["_k_ws"]) & (e["_cluster_key"] == k["_k_cluster"]) & classic & same_salt
     joined = e.join(k, cond, "left")
     bucket = (F.when(F.col("compute_type") == F.lit(SERVERLESS), F.lit(SRV))
               .when(classic & (F.col("cl_bucket") == F.lit(AP)), F.lit(AP))
@@ -142,35 +152,67 @@ def bucket_runs(entries: DataFrame, clusters: DataFrame, broadcast: bool | None
                          F.coalesce("cl_rows", F.lit(1)).cast("bigint").alias("weight"))
 
 
-def _lookup_key(entries: DataFrame):
-    """Join key for a shuffle join against the cluster table.
+def told_kinds(clusters: DataFrame) -> DataFrame:
+    """:func:`cluster_kinds` without the clusters of a single, not interactive row.
+
+    A classic entry without a match is JC with weight 1, which is what such a row
+    says; and those are most rows, as a job cluster is usually made for one run.
+    """
+    return cluster_kinds(clusters).where("ap_rows > 0 OR jc_rows > 1")
+
+
+# A shuffled lookup replicates its clusters at most this often.
+MOST_SALTS = 256
+
+
+def salts(spark: SparkSession) -> int:
+    """Pieces that a shuffled lookup splits every cluster into.
+
+    A third as many as there are shuffle partitions: a cluster with a third
+    of all entries then makes pieces of a partition's size.  Adaptive
+    execution does not split it, as the clusters are already partitioned
+    by their aggregate and not by an exchange of the join's.
+    """
+    return max(1, min(MOST_SALTS, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)))
+
+
+def _lookup_key(row: Column) -> Column:
+    """Join key for a shuffled lookup of entries with the hash ``row``.
 
     Only classic entries need the lookup.  The others get a key that cannot
     match (the residual ``classic`` condition guarantees it) and is spread
     by a hash of the row, instead of a NULL key that would send every
-    serverless entry of a workspace to one shuffle partition.  A single hot
-    cluster is left to AQE's skew-join split of the streamed side.
+    serverless entry of a workspace to one shuffle partition.
     """
     classic = F.col("compute_type") == F.lit(CLASSIC)
-    spread = F.concat(F.lit("~"), F.xxhash64(*[F.col(c) for c in entries.columns]).cast("string"))
-    return F.when(classic, F.col("cluster_id")).otherwise(spread)
+    return F.when(classic, F.col("cluster_id")).otherwise(F.concat(F.lit("~"), row.cast("string")))
 
 
-def _distinct_compute(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What classification needs from each entry, de-duplicated.
+def _for_classification(tagged: DataFrame, clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What classification needs from each entry (``keys`` and ``bucket``), looked up.
 
-    Many runs of a job reuse the same cluster and serverless entries carry no
-    cluster, so the distinct (keys, type, cluster) set is far smaller than the
-    entries, and its partial aggregate runs map-side before anything is
-    shuffled: a hot job or cluster is a few rows.
+    A broadcast lookup streams the entries through, and the flags that follow
+    are aggregated map-side: nothing but flags is shuffled.  A lookup that has
+    to shuffle moves the distinct (keys, type, cluster) rows instead of the
+    entries, reduced map-side first; a cluster that a job used in a million
+    runs is one row.
     """
+    kinds = classifying_kinds(clusters)
     cluster = F.when(F.col("compute_type") == F.lit(CLASSIC), F.col("cluster_id"))
     cols = list(dict.fromkeys([*keys, "workspace_id"]))
-    return tagged.select(*cols, "compute_type", cluster.alias("cluster_id")).distinct()
+    entries = tagged.select(*cols, "compute_type", cluster.alias("cluster_id"))
+    broadcast = fits_broadcast(kinds)
+    return bucket_runs(entries if broadcast else entries.distinct(), kinds, broadcast)
 
 
-def _for_classification(tagged: DataFrame, clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return bucket_runs(_distinct_compute(tagged, keys), clusters)
+def classifying_kinds(clusters: DataFrame) -> DataFrame:
+    """:func:`cluster_kinds` of the clusters that were ever interactive.
+
+    A classic entry is JC when its cluster has no row, so rows of clusters that
+    are only ever job clusters change no classification; and those are nearly
+    all, as a job cluster is usually made for one run.
+    """
+    return cluster_kinds(clusters).where("ap_rows > 0")
 
 
 def classify_jobs(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ import datetime as dt
 from dataclasses import replace
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmix.functions.exprs import money
@@ -54,6 +54,30 @@ def inputs_with(spark: SparkSession, sf_dir: str, **changes) -> D.Inputs:
     return replace(inputs(spark, sf_dir), **changes)
 
 
+def timed_inputs(spark: SparkSession, sf_dir: str) -> D.Inputs:
+    """Inputs whose runs start at any time of day: day and week cuts then tell."""
+    return D.Inputs(derive_tables(spark, sf_dir, times=True), FIXTURE_BU_RULES)
+
+
+def _timed(fn, params: Params) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(timed_inputs(spark, sf_dir), params)
+
+
+def op_ordered(name: str, ties: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
+    """A sorted report with each row's place in it, as the rows come out.
+
+    ``ties``: columns whose equals may come in any order; they get their first place.
+    """
+    def q(spark, sf_dir):
+        out = D.DATASETS[name](inputs(spark, sf_dir), DEFAULT).withColumn("_at", F.monotonically_increasing_id())
+        place = F.row_number().over(Window.orderBy("_at"))  # a report: a few hundred rows
+        out = out.withColumn("position", place).drop("_at")
+        if ties:
+            out = out.withColumn("position", F.min("position").over(Window.partitionBy(*ties)))
+        return out.withColumn("position", F.col("position").cast("bigint"))
+    return q
+
+
 def _dataset(fn, params: Params = DEFAULT, **changes) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(inputs_with(spark, sf_dir, **changes), params)
 
@@ -195,6 +219,11 @@ def _entries():
     for name in ("breakdown_by_bu", "breakdown_by_env", "bu_heatmap", "env_heatmap", "bu_scorecard", "env_kpi",
                  "bu_opportunities", "bu_trend", "time_series_counts", "time_series_pct", "serverless_job_table"):
         out[f"{name}_several"] = (_dataset(D.DATASETS[name], SEVERAL), getattr(O, name)(SEVERAL))
+    for name in ("kpi_headline", "time_series_counts", "bu_trend", "job_table"):
+        out[f"{name}_times"] = (_timed(D.DATASETS[name], MID), getattr(O, name)(MID, O.timed_tables()))
+    for name in O.ORDERS:
+        out[f"op_ordered_{name}"] = (op_ordered(name, ("bu",) if name == "breakdown_by_bu" else ()),
+                                     O.op_ordered(name, DEFAULT))
     return out
 
 

@@ -38,6 +38,8 @@ FIRST_PRICED_YEAR = 1996
 OPEN_PRICE_YEAR = 2001
 PRICE_PER_LINE = Decimal("0.05")
 PRICE_PER_YEAR = Decimal("0.01")
+# With times of day, a run starts (l_orderkey * 7919 + l_linenumber * 104729) % 86400 seconds after midnight.
+SECONDS_PER_ORDER, SECONDS_PER_LINE = 7919, 104729
 
 
 def _pick(tokens: list[str], index: Column) -> Column:
@@ -62,7 +64,13 @@ def _cluster_id() -> Column:
     return F.concat(F.lit("c"), (F.col("l_partkey") % CLUSTER_MOD).cast("string"))
 
 
-def runs(lineitem: DataFrame) -> DataFrame:
+def _time_of_day() -> Column:
+    """Seconds after midnight, spread over the day."""
+    return (F.col("l_orderkey") * SECONDS_PER_ORDER + F.col("l_linenumber") * SECONDS_PER_LINE) % 86400
+
+
+def runs(lineitem: DataFrame, times: bool = False) -> DataFrame:
+    """The timeline; runs start at midnight of their day, or with ``times`` at any second of it."""
     ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     job = pk % JOB_MOD
     srv = _entry("SERVERLESS_COMPUTE", None)
@@ -74,11 +82,14 @@ def runs(lineitem: DataFrame) -> DataFrame:
                .otherwise(F.array(classic)))
     duration = F.when(F.col("l_linenumber") == 7, F.lit(None).cast("bigint")) \
         .otherwise(F.col("l_quantity").cast("bigint") * 30)
+    start = F.col("l_shipdate").cast("timestamp")
+    if times:
+        start = start + F.make_dt_interval(secs=_time_of_day())
     return lineitem.select(
         sk.cast("string").alias("workspace_id"),
         job.cast("string").alias("job_id"),
         ok.cast("string").alias("job_run_id"),
-        F.col("l_shipdate").cast("timestamp").alias("period_start_time"),
+        start.alias("period_start_time"),
         duration.alias("execution_duration_seconds"),
         compute.alias("compute"),
     )
@@ -160,13 +171,16 @@ def prices(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All six inputs from ``<sf_dir>/supplier.parquet`` and ``lineitem.parquet``."""
+def derive_tables(spark: SparkSession, sf_dir: str, times: bool = False) -> Tables:
+    """All six inputs from ``<sf_dir>/supplier.parquet`` and ``lineitem.parquet``.
+
+    ``times``: runs start at any time of their day instead of midnight.
+    """
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return Tables(
         workspaces=workspaces(supplier),
-        runs=runs(lineitem),
+        runs=runs(lineitem, times),
         clusters=clusters(lineitem),
         jobs=jobs(lineitem),
         usage=usage(lineitem),

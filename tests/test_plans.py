@@ -81,17 +81,62 @@ def test_no_python_udfs(inp):
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
 
 
-def test_backlog_plan_is_lean(spark, tmp_path_factory):
-    """On stored inputs: few exchanges, no window and no Expand."""
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("stored"))
     write_tables(derive_tables(spark, SF_MID), root, by_day=False, files=2)
-    inp = D.Inputs(Tables.from_parquet(spark, root), FIXTURE_BU_RULES)
-    df = D.job_table(inp, registry.DEFAULT)
-    tree = formatted(df).split("\n\n")[0]
-    nodes = re.findall(r"(\w+) \(\d+\)", tree)
-    assert nodes.count("Exchange") <= 6 and "Window" not in nodes
-    # A run-level count is a distinct count over the group alone: no Expand.
-    assert "Expand" not in tree
+    return D.Inputs(Tables.from_parquet(spark, root), FIXTURE_BU_RULES)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    conf = {"jobmix.broadcast.maxBytes": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def nodes(df) -> list[str]:
+    return re.findall(r"(\w+)(?: \w+)? \(\d+\)", formatted(df).split("\n\n")[0])
+
+
+def scans_of(df, table: str) -> int:
+    return len(re.findall(rf"Location: .*/{table}\]", formatted(df)))
+
+
+def test_backlog_plan_is_lean(stored):
+    """One scan of the timeline, no arrays, no window and no Expand; two of the exchanges are the dimensions'."""
+    df = D.job_table(stored, registry.DEFAULT)
+    names = nodes(df)
+    assert scans_of(df, "runs") == 1
+    assert names.count("Exchange") <= 6 and names.count("BroadcastExchange") == 3
+    assert not {"Window", "Expand", "ObjectHashAggregate"} & set(names)
+    assert "collect_" not in formatted(df)
+
+
+def test_backlog_without_broadcasts(stored, no_broadcast):
+    assert nodes(D.job_table(stored, registry.DEFAULT)).count("Exchange") <= 11
+
+
+@pytest.mark.parametrize("name", ["bu_trend", "time_series_counts", "time_series_pct", "kpi_headline"])
+def test_only_flags_are_shuffled(stored, name):
+    """A broadcast lookup needs no exchange of entries: one of flags, by job (and week), then the result's own."""
+    df = D.DATASETS[name](stored, registry.DEFAULT)
+    exchanges = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", formatted(df))
+    with_entries = [e for e in exchanges if "cluster_id" in e and "ap_rows" not in e and "count" not in e]
+    assert with_entries == [] and scans_of(df, "runs") == 1
+    # The dimension's own, the flags', and what the result is grouped and sorted by.
+    assert nodes(df).count("Exchange") <= 4
+
+
+def test_lookup_leaves_out_clusters_that_tell_nothing(make_tables):
+    from jobmix.operators.runs import told_kinds
+    t = make_tables(clusters=[("w", "a", "JOB"), ("w", "b", "UI"), ("w", "c", "JOB"), ("w", "c", None),
+                              ("w", "d", "API"), ("w", "d", "JOB"), ("w", None, "UI")])
+    assert sorted(map(tuple, told_kinds(t.clusters).collect())) == [
+        ("w", "b", 1, 0), ("w", "c", 0, 2), ("w", "d", 1, 1)]
 
 
 def test_serverless_list_has_one_name_lookup(inp):
