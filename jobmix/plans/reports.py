@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmix.functions.exprs import cond_count, flag, money, pct
@@ -215,20 +215,6 @@ GROUP = ("workspace_name", "bu", "env", "job_id")
 WORD = 64
 
 
-def _day_words(day: Column, p: Params) -> list[Column]:
-    """The days of the range as a bitmap: one aggregate ``days_k`` for each 64 days of it.
-
-    A fixed buffer, 16 bytes for a quarter, whatever is aggregated; bitmaps
-    merge by ``bit_or``.  (``bitmap_construct_agg`` would hold 4 KB for each of the
-    clusters of a job.)
-    """
-    offset = F.date_diff(day, F.lit(p.time_range.min))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), offset % WORD)
-    words = ((p.time_range.max - p.time_range.min).days // WORD) + 1
-    return [F.bit_or(F.when(F.floor(offset / WORD) == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"days_{k}")
-            for k in range(words)]
-
-
 def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     """The backlog -- jobs with classic entries, by number of runs.
 
@@ -238,12 +224,13 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
     exactly as a fan-out join would, without materialising the fan-out.
 
     One pass over the timeline.  Every classic entry ends up as AP or JC, so
-    the number of runs needs no lookup: an entry stands once for its run and
-    once for its cluster, and both are reduced before anything moves, to the
-    distinct runs of a group and to one row per cluster (sums, day bitmap, last
-    day).  Runs are then counted; only rows per cluster meet the cluster
-    table, only rows per workspace and job the names.  No buffer grows with the
-    runs, clusters or days of a job.
+    the number of runs and of days needs no lookup.  An entry stands for its
+    run, for its cluster, and for its day, a bit in one of the words of the
+    group's day bitmap; all are reduced before anything moves, to the distinct
+    runs, to a row per cluster (sums, last day), and to a number per word, one
+    for each 64 days of the range.  Runs and bits are then counted; only rows per
+    cluster meet the cluster table, only rows per workspace and job the names.
+    No buffer grows with the runs, clusters or days of a job.
     """
     t, ws = inp.tables, inp.ws()
     entries = R.tag_runs(R.keep_job_compute(
@@ -251,39 +238,44 @@ def job_table(inp: Inputs, p: Params, limit: int = TOP_K) -> DataFrame:
                        ("workspace_id", "job_id", "job_run_id", "period_start_time",
                         "execution_duration_seconds")),
         types=(R.CLASSIC,)), ws, p)
-    of_run = F.struct(F.lit(None).cast("string").alias("workspace_id"), F.lit(None).cast("string").alias("cluster_id"),
-                      F.col("job_run_id"), F.lit(None).cast("string").alias("compute_type"),
-                      F.lit(None).cast("bigint").alias("seconds"), F.lit(None).cast("date").alias("day"))
-    of_cluster = F.struct("workspace_id", "cluster_id", F.lit(None).cast("string").alias("job_run_id"), "compute_type",
-                          F.col("execution_duration_seconds").cast("bigint").alias("seconds"),
-                          F.to_date("period_start_time").alias("day"))
-    both = entries.select(*GROUP, F.explode(F.array(of_run, of_cluster)).alias("e")).select(*GROUP, "e.*")
-    days = _day_words(F.col("day"), p)
-    words = [f"days_{k}" for k in range(len(days))]
-    merged = [F.bit_or(w).alias(w) for w in words]
+    day = F.to_date("period_start_time")
+    offset = F.date_diff(day, F.lit(p.time_range.min))
+    fields = {"workspace_id": ("string", F.col("workspace_id")), "cluster_id": ("string", F.col("cluster_id")),
+              "job_run_id": ("string", F.col("job_run_id")), "word": ("int", F.shiftright(offset, 6)),
+              "compute_type": ("string", F.col("compute_type")),
+              "seconds": ("bigint", F.col("execution_duration_seconds")), "day": ("date", day),
+              "bits": ("bigint", F.call_function("shiftleft", F.lit(1).cast("bigint"), offset.bitwiseAND(F.lit(WORD - 1))))}
+
+    def stands_for(*kept: str):
+        return F.struct(*[(c if name in kept else F.lit(None)).cast(kind).alias(name)
+                          for name, (kind, c) in fields.items()])
+
+    rows = entries.select(*GROUP, F.inline(F.array(
+        stands_for("job_run_id"), stands_for("word", "bits"),
+        stands_for("workspace_id", "cluster_id", "compute_type", "seconds", "day"))))
     cluster = (*GROUP, "workspace_id", "cluster_id", "compute_type")
-    distinct_runs = both.groupBy(*cluster, "job_run_id").agg(
-        F.sum("seconds").alias("seconds"), F.count("seconds").alias("known"), F.max("day").alias("last_day"), *days)
-    per_cluster = distinct_runs.groupBy(*cluster).agg(
+    reduced = rows.groupBy(*cluster, "job_run_id", "word").agg(
+        F.sum("seconds").alias("seconds"), F.count("seconds").alias("known"), F.max("day").alias("last_day"),
+        F.bit_or("bits").alias("bits"))
+    per_cluster = reduced.groupBy(*cluster).agg(
         F.sum("seconds").alias("seconds"), F.sum("known").alias("known"), F.max("last_day").alias("last_day"),
-        F.count_if(F.col("compute_type").isNull() & F.col("job_run_id").isNotNull()).alias("run_count"), *merged)
+        F.count("job_run_id").alias("run_count"), F.sum(F.bit_count("bits")).alias("active_days"))
 
     w = F.col("weight")
+    # A cluster with rows of both kinds comes twice; runs and days stand in rows without a cluster.
     per_job = R.bucket_runs(per_cluster, inp.kinds()).groupBy(*GROUP, "workspace_id").agg(
-        # A cluster with rows of both kinds comes twice, with its weights; the runs' rows meet no cluster.
-        F.sum("run_count").alias("run_count"), F.sum(F.col("seconds") * w).alias("seconds"),
-        F.sum(F.col("known") * w).alias("known"), F.max("last_day").alias("last_day"),
-        flag(F.col("bucket") == F.lit(R.AP)).alias("used_ap"), *merged)
+        F.sum(F.col("seconds") * w).alias("seconds"), F.sum(F.col("known") * w).alias("known"),
+        F.max("last_day").alias("last_day"), flag(F.col("bucket") == F.lit(R.AP)).alias("used_ap"),
+        F.sum("run_count").alias("run_count"), F.sum("active_days").alias("active_days"))
     named = dimension_join(per_job, S.job_names(t.jobs), ["workspace_id", "job_id"], "left")
     n = F.coalesce(F.col("name_rows"), F.lit(1))
     seconds = F.try_divide(F.sum(F.col("seconds") * n).cast("double"), F.sum(F.col("known") * n).cast("double"))
-    active = sum((F.bit_count(F.bit_or(x)) for x in words[1:]), F.bit_count(F.bit_or(words[0])))
     return (named.groupBy(*GROUP).agg(
                 F.max("job_name").alias("job_name"),
                 F.when(F.max("used_ap") == 1, F.lit("JOBS_ON_ALL_PURPOSE"))
                 .otherwise(F.lit("JOBS_ON_CLASSIC")).alias("compute_bucket"),
                 F.sum("run_count").alias("run_count"),
-                active.cast("bigint").alias("active_days"),
+                F.sum("active_days").alias("active_days"),
                 F.round(seconds / F.lit(60.0), 1).alias("avg_runtime_min"),
                 F.max("last_day").alias("last_run_date"))
             .orderBy(F.desc("run_count"), F.asc_nulls_first("workspace_name"),
