@@ -16,13 +16,15 @@ out, and ``n1`` is large enough to make up for that; a set with too many of
 them has signatures for these, too, so no pair is lost.
 
 *Candidates.*  Signatures are packed, dealt to parts of bounded size and
-sorted there.  Groups of up to ``SMALL_GROUP`` sets give their pairs.  Larger groups (copies, or a
-passage that many texts share) give a star: their first set with each other
-one.  Candidates whose counts by hash bucket already differ too much are
-dropped - the difference of the counts is a lower bound of the difference of
-the sets - and the others compared exactly.
-
-*The rest of large groups.*  Sets of a large group that the stars have put
+sorted there.  Every group gives a star: its first set with each other one.
+Groups of up to ``SMALL_GROUP`` sets also give their other pairs, which are only
+compared if the stars have left them in different components.  Candidates
+whose counts by hash bucket already differ too much are dropped - the
+difference of the counts is a lower bound of the difference of the sets: first
+by 96 buckets, then by about as many as a set has 5-grams, half a byte each -
+and the others compared exactly.
+
+*The rest of large groups* (copies, or a passage that many texts share).  Sets of a large group that the stars have put
 into one component need no more pairs.  All sets of groups that still hold
 several components are joined exactly by prefix filtering: in one order for all sets,
 here with frequent 5-grams last, two similar sets share one of their first
@@ -61,11 +63,14 @@ ORDER_SAMPLE, ORDER_GRAMS = 20_000, 100_000
 # Signatures go to Spark in batches of about this many rows.
 BATCH_ROWS = 1_000_000
 
-PROFILE = arrow_schema({"doc_id": pa.int64(), "set_id": pa.int64(), "size": pa.int64(), "counts": pa.binary()})
+PROFILE = arrow_schema({"doc_id": pa.int64(), "set_id": pa.int64(), "size": pa.int64(), "counts": pa.binary(),
+                        "fine": pa.binary()})
 # 5-grams for each part that signatures are dealt to: about a million signatures.
 PART_GRAMS = 1_500_000
 SIGNATURES = arrow_schema({"sig": pa.int64(), "set_id": pa.int64()})
-GROUPS = arrow_schema({"large": pa.bool_(), "a": pa.int64(), "b": pa.int64()})
+GROUPS = arrow_schema({"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()})
+# Kinds of rows: an edge of a star, another pair of a small group, a member of a large one.
+STAR, PAIR, MEMBER = 0, 1, 2
 PACKED = arrow_schema({"part": pa.int64(), "sigs": pa.binary(), "places": pa.binary(), "names": pa.binary()})
 SHORT = arrow_schema({"set_id": pa.int64(), "short": pa.binary()})
 
@@ -128,6 +133,27 @@ def counts(grams: np.ndarray) -> bytes:
                       255).astype(np.uint8).tobytes()
 
 
+def fine_counts(grams: np.ndarray) -> bytes:
+    """Counts, up to 15, in about as many buckets as there are 5-grams; two in a byte."""
+    buckets = max(64, 1 << (max(len(grams), 1) - 1).bit_length())
+    found = np.minimum(np.bincount((grams & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 15)
+    return (found[::2] | found[1::2] << 4).astype(np.uint8).tobytes()
+
+
+def fine_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the difference of two sets; the finer counts are folded to the other's buckets."""
+    def wide(data: bytes) -> np.ndarray:
+        packed = np.frombuffer(data, np.uint8)
+        return np.stack([packed & 15, packed >> 4], 1).ravel().astype(np.int16)
+
+    a, b = wide(x), wide(y)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        # Of clipped counts, the clipped sum is that of the counts.
+        a = np.minimum(a[:len(a) // 2] + a[len(a) // 2:], 15)
+    return int(np.abs(a - b).sum())
+
+
 def most_differences(x: int, y: int) -> int:
     """Most 5-grams in just one of two similar sets of these sizes."""
     return (x + y) * (SIMILAR_OF - SIMILAR) // (SIMILAR_OF + SIMILAR)
@@ -199,15 +225,15 @@ def _texts(batches, size: int = 256):
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the identifier and size of its set, and the set's counts by bucket."""
+    """``doc_id``, the identifier and size of its set, and the set's counts by few and by many buckets."""
     def run(batches):
         shingler = Shingler()
         for ids, texts in _texts(batches):
             grams = shingler.grams(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([set_id(g) for g in grams], pa.int64()),
-                 pa.array([len(g) for g in grams], pa.int64()), pa.array([counts(g) for g in grams], pa.binary())],
-                schema=PROFILE)
+                 pa.array([len(g) for g in grams], pa.int64()), pa.array([counts(g) for g in grams], pa.binary()),
+                 pa.array([fine_counts(g) for g in grams], pa.binary())], schema=PROFILE)
     return map_batches(docs, run, PROFILE)
 
 
@@ -315,24 +341,27 @@ def _unpacked(sigs: bytes, places: bytes, names: bytes) -> tuple[np.ndarray, np.
     return wide.view(np.int64).ravel(), np.frombuffer(names, np.int64)[np.frombuffer(places, np.uint32)]
 
 
-def _group_batch(pairs: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBatch | None:
-    pairs = [p for p in pairs if len(p)]
-    members = [m for m in members if len(m)]
-    if not pairs and not members:
+def _group_batch(kinds: dict[int, list[np.ndarray]]) -> pa.RecordBatch | None:
+    found = {}
+    for kind, rows in kinds.items():
+        rows = [r for r in rows if len(r)]
+        if rows:
+            both = np.concatenate(rows)
+            found[kind] = both if kind == MEMBER else np.unique(both, axis=0)
+    if not found:
         return None
-    pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-    member = np.concatenate(members) if members else np.empty((0, 2), np.int64)
-    both = np.concatenate([pair, member])
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)) >= len(pair)), pa.array(both[:, 0].copy()),
-                                       pa.array(both[:, 1].copy())], schema=GROUPS)
+    both = np.concatenate(list(found.values()))
+    kind = np.repeat(np.array(list(found), np.int32), [len(r) for r in found.values()])
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+                                      schema=GROUPS)
 
 
 def group_pairs(sigs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """Candidate pairs ``(a, b)``, a < b, of sets that share a signature; and large groups' members.
 
-    A row with ``large`` is a member: ``a`` the signature, ``b`` the set.  A
-    part's signatures are sorted together; a part is of bounded size, but for
-    a signature that very many sets share (20 bytes for each of them).
+    ``kind`` says which: for a ``MEMBER``, ``a`` is the signature and ``b`` the
+    set.  A part's signatures are sorted together; a part is of bounded size,
+    but for a signature that very many sets share (20 bytes for each of them).
     """
     def run(batches):
         at, held = None, []
@@ -361,24 +390,24 @@ def _groups(part: int, held: list, small_group: int):
     sizes = np.diff(np.r_[starts, len(sig)])
     # A part's signatures with the part's number: unique over all parts but for chance.
     name = mix(sig.view(np.uint64) + (np.uint64(part) << np.uint64(48))).view(np.int64)
-    pairs, members = [], []
-    _emit(name, own, starts, sizes, small_group, pairs, members)
-    if (out := _group_batch(pairs, members)) is not None:
+    if (out := _group_batch(_emit(name, own, starts, sizes, small_group))) is not None:
         for at in range(0, out.num_rows, 100_000):
             yield out.slice(at, 100_000)
 
 
-def _emit(sig, own, starts, sizes, small_group, pairs, members) -> None:
-    """Pairs of complete small groups; stars and members of large ones."""
+def _emit(sig, own, starts, sizes, small_group) -> dict[int, list[np.ndarray]]:
+    """Stars, the other pairs of small groups, and members of large ones."""
+    kinds: dict[int, list[np.ndarray]] = {STAR: [], PAIR: [], MEMBER: []}
     for size in range(2, small_group + 1):
         at = starts[sizes == size]
         if len(at):
             for i, j in combinations(range(size), 2):
-                pairs.append(np.stack([own[at + i], own[at + j]], 1))
+                kinds[PAIR if i else STAR].append(np.stack([own[at + i], own[at + j]], 1))
     for start, size in zip(starts[sizes > small_group], sizes[sizes > small_group]):
         group = own[start:start + size]
-        pairs.append(np.stack([np.full(size - 1, group[0]), group[1:]], 1))
-        members.append(np.stack([np.full(size, sig[start]), group], 1))
+        kinds[STAR].append(np.stack([np.full(size - 1, group[0]), group[1:]], 1))
+        kinds[MEMBER].append(np.stack([np.full(size, sig[start]), group], 1))
+    return kinds
 
 
 def near_counts(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -405,6 +434,25 @@ def near_counts(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                        run, schema)
 
 
+def near_fine(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """``pairs`` (of :func:`near_counts`) without those whose fine counts differ too much."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    fine = materialize(profile.select("set_id", "size", "fine").join(wanted, "set_id", "left_semi")
+                       .groupBy("set_id").agg(F.first("size").alias("size"), F.first("fine").alias("fine")))
+    a = fine.select(F.col("set_id").alias("a"), F.col("size").alias("size_a"), F.col("fine").alias("fine_a"))
+    b = fine.select(F.col("set_id").alias("b"), F.col("size").alias("size_b"), F.col("fine").alias("fine_b"))
+    schema = arrow_schema({"a": pa.int64(), "b": pa.int64(), "doc_a": pa.int64(), "doc_b": pa.int64()})
+
+    def run(batches):
+        for batch in batches:
+            keep = [fine_difference(x.as_py(), y.as_py()) <= most_differences(p.as_py(), q.as_py())
+                    for p, q, x, y in zip(*(batch.column(i) for i in (4, 5, 6, 7)))]
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(a, "a").join(b, "b")
+    return map_batches(joined.select("a", "b", "doc_a", "doc_b", "size_a", "size_b", "fine_a", "fine_b"), run, schema)
+
+
 def _chosen(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``docs`` named by ``wanted`` (a distinct column ``doc``).
 
@@ -483,6 +531,14 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sets are in different components so far."""
+    of_a = found.select(F.col("node").alias("a"), F.col("component").alias("component_a"))
+    of_b = found.select(F.col("node").alias("b"), F.col("component").alias("component_b"))
+    return (pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+            .where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b"))
+
+
 def crowded(members: DataFrame, found: DataFrame) -> DataFrame:
     """``set_id, component`` of the sets in large groups that hold more than one component."""
     labelled = members.join(found, F.col("b") == F.col("node"), "left").select(
@@ -638,13 +694,20 @@ def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     groups = materialize(group_pairs(signatures(texts, max(1, int(grams // PART_GRAMS))), small_group))
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        near = materialize(near_counts(pairs, nodes))
+        near = materialize(near_fine(materialize(near_counts(pairs, nodes)), profile))
         wanted = near.select(F.col("doc_a").alias("doc")).union(near.select("doc_b")).distinct()
         return materialize(verified(near, short_sets(texts, wanted)))
 
-    links = links_of(groups.where("not large").select("a", "b").distinct())
+    def of_kind(kind: int) -> DataFrame:
+        return groups.where(F.col("kind") == kind).select("a", "b")
+
+    links = links_of(of_kind(STAR).distinct())
     found = components(links)
-    rest = materialize(crowded(groups.where("large").select("a", "b"), found))
+    more = links_of(apart(of_kind(PAIR).distinct(), found))
+    if not more.isEmpty():
+        links = links.union(more)
+        found = components(links)
+    rest = materialize(crowded(of_kind(MEMBER), found))
     if not rest.isEmpty():
         wanted = materialize(nodes.join(rest, "set_id", "left_semi").select("doc"))
         more = links_of(prefix_pairs(texts, wanted, rest, nodes))

@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from jobmix.llm import ngram_join as N
 
@@ -118,3 +120,18 @@ def test_components_of_long_chains_and_stars(spark):
     links = spark.createDataFrame([*chain, *star, (500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in N.components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 400)}, 500: 500, 501: 500}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 900), st.integers(0, 500), st.integers(0, 500))
+def test_fine_counts_never_exceed_the_difference(seed, common, only_a, only_b):
+    rng = np.random.default_rng(seed)
+    grams = np.unique(rng.integers(0, 2**63, common + only_a + only_b).astype(np.uint64))
+    rng.shuffle(grams)
+    # Crowded buckets, so that counts are clipped.
+    grams = np.unique(np.where(rng.random(len(grams)) < 0.1, grams << np.uint64(40), grams))
+    rng.shuffle(grams)
+    a, b = np.sort(grams[:common + only_a]), np.sort(np.r_[grams[:common], grams[common + only_a:]])
+    real = len(np.setxor1d(a, b))
+    assert N.fine_difference(N.fine_counts(a), N.fine_counts(b)) <= real
+    assert N.fine_difference(N.fine_counts(a), N.fine_counts(a)) == 0
