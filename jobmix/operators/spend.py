@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmix.operators.joins import dimension_join
+from jobmix.operators.joins import fits_broadcast
 from jobmix.operators.labels import attach_labels
 from jobmix.params import Params, TimeRange
 
@@ -48,9 +48,10 @@ def price_usage(usage: DataFrame, prices: DataFrame, time_range: TimeRange,
     decimals Spark rounds it to the scale its decimal rules allow.
 
     Output: ``date``, ``workspace_id``, ``bucket``, ``revenue`` (+ ``keep``).
-    The price list is a small dimension (SKUs x price changes): it is
-    broadcast when its estimate fits, the SKU / unit equality is the hash key
-    and the validity interval a residual condition.
+    The price list is a dimension (SKUs x price changes): it is broadcast when
+    its estimate fits, the SKU / unit equality is the hash key and the validity
+    interval a residual condition.  Beyond the bound both sides are shuffled by
+    SKU, unit and month of use: see :func:`month_bin`.
     """
     rate = Decimal(str(rate))
     u = usage_in_range(usage, time_range).where(F.col("billing_origin_product").isin(list(products)))
@@ -63,13 +64,39 @@ def price_usage(usage: DataFrame, prices: DataFrame, time_range: TimeRange,
     end = u["usage_end_time"]
     cond = ((u["sku_name"] == p["_p_sku"]) & (u["usage_unit"] == p["_p_unit"])
             & (end >= p["_p_start"]) & ((end < p["_p_end"]) | p["_p_end"].isNull()))
-    joined = dimension_join(u, p, cond, "left")
+    if fits_broadcast(p):
+        p = F.broadcast(p)
+    else:
+        u = u.withColumn("_bin", month_bin(F.col("usage_end_time"), time_range))
+        first = month_bin(F.col("_p_start"), time_range)
+        last = month_bin(F.coalesce("_p_end", F.lit("9999-12-31").cast("timestamp")), time_range)
+        p = p.where("_p_start < _p_end OR _p_end IS NULL").withColumn("_p_bin", F.explode(F.sequence(first, last)))
+        cond = cond & (F.col("_bin") == F.col("_p_bin"))
+    joined = u.join(p, cond, "left")
     revenue = (F.col("usage_quantity") * F.coalesce(F.col("_p_price"), F.lit(Decimal("0")))
                * F.lit(rate))
     return joined.select(F.col("usage_date").alias("date"), "workspace_id",
                          spend_bucket().alias("bucket"), revenue.alias("revenue"), *keep)
 
 
+def month_bin(at: Column, time_range: TimeRange) -> Column:
+    """The month of a time, as a number, brought into the range and a month on both sides of it.
+
+    An equality that an interval join can be shuffled by: a price stands in
+    every bin that it is in force in, usage in its own.  A few hundred SKUs are
+    too few keys for a large shuffle, and one of them may have a third of all
+    usage; by month there are as many times more as the range has months, and
+    adaptive execution splits what is still too much.  Bringing both sides into
+    the range keeps their order, so a price's bins still hold those of the
+    usage it covers, and an open price gets no endless list of bins.
+    """
+    def number(day) -> int:
+        return day.year * 12 + day.month
+
+    return F.greatest(F.lit(number(time_range.min) - 1), F.least(
+        F.lit(number(time_range.max) + 1), F.year(at) * 12 + F.month(at)))
+
+
 def overlapping_prices(prices: DataFrame) -> DataFrame:
     """Pairs of prices of one SKU and unit that are in force at the same time.
 

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 from helpers import price_row, usage_row
 from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.operators import spend as S
@@ -122,3 +125,59 @@ def test_schema_check_wants_only_what_is_read(spark):
     problems = schemas.conforms(bad, schemas.USAGE)
     assert "missing usage_date" in problems
     assert any(p.startswith("product_features.is_serverless") for p in problems)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    conf = {"jobmix.broadcast.maxBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def test_prices_by_month_bins(make_tables, no_broadcast):
+    """A shuffled price lookup: bounds inside and at the ends of months, open and empty prices, use out of the range."""
+    prices = [("A", "2023-06-10", "2024-01-15 12:00:00", "1"), ("A", "2024-01-15 12:00:00", "2024-03-01", "2"),
+              ("A", "2024-03-01", None, "3"), ("B", "2020-01-01", None, "5"), ("C", "2024-02-02", "2024-02-02", "7")]
+    used = [("A", "2024-01-01", None), ("A", "2024-01-15", "2024-01-15 11:59:59"), ("A", "2024-01-15", "2024-01-15 12:00:00"),
+            ("A", "2024-02-29", "2024-02-29 23:59:59"), ("A", "2024-02-29", "2024-03-01 00:00:00"),
+            ("A", "2024-03-31", "2024-07-09 00:00:00"), ("A", "2024-01-01", "2023-02-01 00:00:00"),
+            ("B", "2024-01-01", "2019-01-01 00:00:00"), ("B", "2024-03-31", "2031-01-01 00:00:00"),
+            ("C", "2024-02-02", "2024-02-02 00:00:00")]
+    t = make_tables(usage=[usage_row(day, "w", "JOBS", True, 10 ** i, sku=sku, end=end)
+                           for i, (sku, day, end) in enumerate(used)],
+                    prices=[price_row(*p) for p in prices])
+    df = S.price_usage(t.usage, t.prices, TimeRange("2024-01-01", "2024-03-31"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_p_bin" in plan
+    got = sorted(int(r.revenue) for r in df.collect())
+    each = [1, 1, 2, 2, 3, 3, 0, 0, 5, 0]
+    assert got == sorted(n * 10 ** i for i, n in enumerate(each))
+
+
+def test_a_hot_sku_is_split_by_months(spark, make_tables, no_broadcast):
+    """Half of the usage on one SKU: months and adaptive splits spread it over the tasks."""
+    n = 40_000
+    base = make_tables()
+    usage = spark.range(0, n, 1, 8).selectExpr(
+        "date_add(date'2024-01-01', int(id % 360)) AS usage_date",
+        "timestamp(date_add(date'2024-01-01', int(id % 360))) AS usage_end_time", "concat('w', id) AS workspace_id",
+        "if(id % 2 = 0, 'HOT', concat('S', id % 40)) AS sku_name", "'DBU' AS usage_unit",
+        "cast(1 AS decimal(18,3)) AS usage_quantity", "'JOBS' AS billing_origin_product",
+        "named_struct('is_serverless', true) AS product_features")
+    prices = spark.createDataFrame([price_row(s, "2024-01-01", None, 2) for s in ("HOT", *(f"S{i}" for i in range(40)))],
+                                   base.prices.schema)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        tasks = (S.price_usage(usage, prices, TimeRange("2024-01-01", "2024-12-31"))
+                 .groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("r")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(t.n for t in tasks) == n and sum(t.r for t in tasks) == 2 * n
+    assert len(tasks) == 12 and max(t.n for t in tasks) < 3 * n / 12
