@@ -75,7 +75,7 @@ def doc(i, source="a", text="Some Text"):
     return (i, source, "en", i, text)
 
 
-@pytest.mark.parametrize("sizes", [[1], [2], [16], [17], [1, 1], [256, 3], [257, 1, 16], [300, 40, 1, 1]])
+@pytest.mark.parametrize("sizes", [[1], [16], [1, 1], [257, 1, 17]])
 def test_sizes(spark, sizes):
     rows, at = [], 0
     for k, n in enumerate(sizes):
@@ -109,7 +109,7 @@ def test_empty(spark):
     assert got.collect() == []
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-50, 50)), st.sampled_from([None, "", "a", "Z", "ß"]),
                           st.sampled_from([None, "en"]), st.one_of(st.none(), st.integers(0, 9)),
                           st.one_of(st.none(), st.text("aAbBÄ \n", max_size=6))), max_size=60))
