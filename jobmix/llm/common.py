@@ -57,10 +57,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: pa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and else an error."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="jobmix-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
