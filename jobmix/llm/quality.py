@@ -31,8 +31,6 @@ SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 5
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
-# A bad vote is at least five times likelier on bad documents.
-MAX_BAD_ODDS = 0.2
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -124,32 +122,34 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Rules that know junk when they see it, some of them of the same kind, and two that know prose."""
+    """Rules that vote both ways: bad beyond a bound, good where a measure is plainly that of prose, else not at all."""
     words = F.col("n_words")
     per_word = lambda c: F.try_divide(F.col(c), words)
     per_char = lambda c: F.try_divide(F.col(c), F.col("word_chars"))
+    lines = F.try_divide(F.col("n_dup_lines"), F.col("n_lines"))
     return [
-        Rule("few words", bad=words < 10),
-        Rule("word length", bad=(per_word("word_chars") < 2) | (per_word("word_chars") > 12)),
-        Rule("symbols by word", bad=per_word("n_symbols") >= 0.1),
-        Rule("symbols by character", bad=per_char("n_symbols") >= 0.03),
-        Rule("few letters", bad=per_char("n_marks") >= 0.12),
-        Rule("repeated lines", bad=F.try_divide(F.col("n_dup_lines"), F.col("n_lines")) >= 0.3),
-        Rule("repeated windows", bad=per_word("n_repeat_words") >= 0.2),
-        Rule("capitals", bad=per_char("n_capitals") >= 0.3),
-        Rule("shouting", bad=per_word("n_shouts") >= 0.3),
-        Rule("digits", bad=per_char("n_digits") >= 0.3),
-        Rule("length of prose", good=words.between(30, 100_000)),
-        Rule("punctuated", good=(per_word("n_stops") >= 0.02) & (per_word("n_stops") <= 0.4)),
+        Rule("number of words", bad=words < 10, good=words.between(50, 100_000)),
+        Rule("word length", bad=(per_word("word_chars") < 2) | (per_word("word_chars") > 12),
+             good=per_word("word_chars").between(3.5, 9)),
+        Rule("symbols by word", bad=per_word("n_symbols") >= 0.1, good=per_word("n_symbols") < 0.01),
+        Rule("symbols by character", bad=per_char("n_symbols") >= 0.03, good=per_char("n_symbols") < 0.003),
+        Rule("letters", bad=per_char("n_marks") >= 0.12, good=per_char("n_marks") < 0.06),
+        Rule("repeated lines", bad=lines >= 0.3, good=(F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 5)),
+        Rule("repeated windows", bad=per_word("n_repeat_words") >= 0.2,
+             good=(F.col("n_repeat_words") == 0) & (words >= 50)),
+        Rule("capitals", bad=per_char("n_capitals") >= 0.3, good=per_char("n_capitals").between(0.005, 0.1)),
+        Rule("shouting", bad=per_word("n_shouts") >= 0.3, good=per_word("n_shouts") < 0.03),
+        Rule("digits", bad=per_char("n_digits") >= 0.3, good=per_char("n_digits") < 0.05),
+        Rule("punctuation", bad=(per_word("n_stops") < 0.005) | (per_word("n_stops") > 0.4),
+             good=per_word("n_stops").between(0.05, 0.4)),
     ]
 
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Share of good documents and, by rule, the odds of each vote: on good to on bad documents.
+    """Share of good documents and, by rule, the odds of each vote where it votes: on good to on bad documents.
 
-    Abstaining says nothing: junk is of many kinds, and a rule for one kind
-    abstains on all the others.
+    Abstaining says nothing: it tells of the measure, not of the document.
     """
 
     prior: float
@@ -169,36 +169,35 @@ class VoteModel:
         return 1 / (1 + math.exp(-max(min(odds, 500.0), -500.0)))
 
 
-def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 100) -> VoteModel:
+def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 500) -> VoteModel:
     """Expectation-maximisation over counted vote patterns.
 
-    Starts from the belief that a document with a bad vote is bad, which also
-    fixes which class is the good one.  The share of good documents stays at
-    the share that no rule objects to (half at least): with abstentions that
-    say nothing, votes alone cannot tell it.  Counts are smoothed by one document.
-    Rules are assumed better than chance: a bad vote is at least as many
-    times likelier on bad documents as ``MAX_BAD_ODDS`` says, and a good vote
-    never speaks against a document.
+    The share of good documents and, by rule, how often its votes are good on
+    good and on bad documents, are all estimated; nothing is held fixed or
+    kept within bounds, so a rule that the others contradict loses its weight
+    or speaks the other way.  Which of the two classes is the good one is
+    settled by the start alone: a document's share of good votes.  Counts are
+    smoothed by one document for each vote.
     """
-    total = sum(patterns.values())
+    counted = sorted(patterns.items())
+    total = sum(n for _, n in counted)
     if not total:
         return VoteModel(0.5, ({GOOD: 1.0, BAD: 1.0},) * n_rules)
-    belief = {p: 0.05 if BAD in p else 0.95 for p in patterns}
-    prior = min(max(sum(n for p, n in patterns.items() if BAD not in p) / total, 0.5), 0.99)
+    belief = {p: (p.count(GOOD) + 1) / (p.count(GOOD) + p.count(BAD) + 2) for p, _ in counted}
     for _ in range(rounds):
-        good = sum(n * belief[p] for p, n in patterns.items())
         rules = []
         for j in range(n_rules):
-            odds = {}
-            for v in (GOOD, BAD):
-                on_good = sum(n * belief[p] for p, n in patterns.items() if p[j] == v)
-                on_bad = sum(n * (1 - belief[p]) for p, n in patterns.items() if p[j] == v)
-                odds[v] = ((on_good + 1) / (good + 3)) / ((on_bad + 1) / (total - good + 3))
-            odds[BAD], odds[GOOD] = min(odds[BAD], MAX_BAD_ODDS), max(odds[GOOD], 1.0)
-            rules.append(odds)
-        model = VoteModel(prior, tuple(rules))
-        new = {p: model.belief(p) for p in patterns}
-        change = max(abs(new[p] - belief[p]) for p in patterns)
+            on_good, on_bad = {GOOD: 1.0, BAD: 1.0}, {GOOD: 1.0, BAD: 1.0}
+            for p, n in counted:
+                if p[j] != ABSTAIN:
+                    on_good[p[j]] += n * belief[p]
+                    on_bad[p[j]] += n * (1 - belief[p])
+            voted_good, voted_bad = sum(on_good.values()), sum(on_bad.values())
+            rules.append({v: (on_good[v] / voted_good) / (on_bad[v] / voted_bad) for v in (GOOD, BAD)})
+        good = sum(n * belief[p] for p, n in counted)
+        model = VoteModel((good + 1) / (total + 2), tuple(rules))
+        new = {p: model.belief(p) for p, _ in counted}
+        change = max(abs(new[p] - belief[p]) for p in new)
         belief = new
         if change < 1e-9:
             break

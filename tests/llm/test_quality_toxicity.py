@@ -10,9 +10,12 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from jobmix.llm.quality import BAD, GOOD, fit, judge, measures
+from jobmix.llm.quality import ABSTAIN, BAD, GOOD, default_rules, fit, judge, measures
 from jobmix.llm.toxicity import Features, train
 
+# Wide enough that rules disagree on some documents.
+SF_LARGE = "/root/testdata/sf0.1"
+
 
 def brute(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
@@ -46,6 +49,30 @@ def test_expectation_maximisation_trusts_rules_that_agree():
     assert fit({}, 3).belief((GOOD, BAD, GOOD)) == pytest.approx(0.5)
 
 
+def test_a_weak_bad_vote_is_outvoted_and_the_share_is_estimated():
+    # The last rule votes at random; the first three agree on 30% junk.
+    patterns = {(GOOD, GOOD, GOOD, GOOD): 500, (GOOD, GOOD, GOOD, BAD): 200, (BAD, BAD, BAD, GOOD): 200,
+                (BAD, BAD, BAD, BAD): 80, (BAD, BAD, GOOD, GOOD): 10, (GOOD, GOOD, BAD, ABSTAIN): 10}
+    model = fit(patterns, 4)
+    assert model.prior == pytest.approx(0.71, abs=0.01)
+    assert model.belief((GOOD, GOOD, GOOD, BAD)) > 0.9 and model.belief((BAD, BAD, BAD, GOOD)) < 0.1
+    assert model.belief((GOOD, GOOD, BAD, ABSTAIN)) > 0.5 > model.belief((BAD, BAD, GOOD, GOOD))
+    assert model.odds[3][BAD] == pytest.approx(1, abs=0.1)
+
+
+def test_posterior_is_not_all_must_pass_on_the_given_documents(spark):
+    rules = default_rules()
+    documents = spark.read.parquet(f"{SF_LARGE}/documents.parquet")
+    quality = spark.read.parquet(f"{SF_LARGE}/labels.parquet").select("doc_id", "quality")
+    judged = judge(documents).withColumn("all_pass", ~F.col("base_failed") & ~F.array_contains(
+        F.array(*[r.vote() for r in rules]), BAD))
+    assert judged.where("kept and not all_pass").count() > 0
+    known = judged.join(quality.where("quality is not null"), "doc_id")
+    n, posterior, all_pass = known.agg(F.count(F.lit(1)), F.expr("count_if(kept = (quality = 1))"),
+                                       F.expr("count_if(all_pass = (quality = 1))")).first()
+    assert posterior > all_pass and posterior >= 0.97 * n
+
+
 def test_junk_goes_and_prose_stays(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
