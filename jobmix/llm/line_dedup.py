@@ -1,16 +1,17 @@
-"""Line dedup: a sharded minimal perfect hash over repeated lines, probed by the documents.
+"""Line dedup: a sharded minimal perfect hash over distinct lines, probed by the documents.
 
 1. Every document gives each of its distinct long lines once, as a 128-bit
-   hash of the line's key; a partially aggregated count keeps the keys found
-   in ``min_docs`` documents or more, with their largest ``doc_id``.
-2. These keys are dealt to shards of bounded size.  Each shard becomes one
-   row: a minimal perfect hash (levels of bit arrays; a key's rank among the
-   set bits is its slot) and, by slot, arrays of fingerprints, counts and
+   hash of the line's key; a partially aggregated count makes of them the
+   distinct lines, with their number of documents and largest ``doc_id``.
+2. All distinct lines are dealt to shards of bounded size.  Each shard becomes
+   one row: a minimal perfect hash (levels of bit arrays; a key's rank among
+   the set bits is its slot) and, by slot, arrays of fingerprints, counts and
    holders.  A key that is not in the shard fails the fingerprint.
-3. The documents' line hashes are dealt to the shards and looked up in the
-   arrays of the one shard at hand; lines are never joined to lines.  Every
-   shard is laid out ``copies`` times and a document picks a copy, so a line
-   that a third of all documents hold is spread over that many tasks.
+3. The documents' line hashes are dealt to the shards and read their count and
+   holder from the arrays of the one shard at hand; lines are never joined to
+   lines.  A shard that more lines ask than an even share (one holding a line
+   of a third of all documents, say) is laid out in as many copies as it has
+   shares, and a document picks a copy.
 4. What must go comes back as a list of hashes per document.
 
 A document is a row.  Results for odd input: a null or empty text is one
@@ -36,8 +37,11 @@ from jobmix.llm.common import ASCII_LOWER, arrow_schema, map_batches, materializ
 EDGE = b" \t\n\x0b\x0c\r"
 # Keys in a shard: about half a megabyte of arrays.
 SHARD_KEYS = 20_000
-# Bits of a level for each key that is left.
+# Bits of a level for each key that is left; levels after which the rest (keys of one mix) is a plain list.
 GAMMA = 2.0
+LEVELS = 64
+# At most this many shards have copies: a share is at least this part of all lines that ask.
+MAX_HOT = 65_536
 
 LINE_SCHEMA = arrow_schema({"k1": pa.int64(), "k2": pa.int64(), "doc_id": pa.int64()})
 SHARD_SCHEMA = arrow_schema({"shard": pa.int64(), "arrays": pa.binary()})
@@ -93,13 +97,16 @@ class LineTable:
 
     On each level the keys that are left are thrown at ``GAMMA`` bits each;
     a key that meets no other sets its bit, the others go on to the next
-    level.  A key's slot is the number of set bits before its own.
+    level.  A key's slot is the number of set bits before its own.  Keys that
+    are alike in what is mixed never part; after ``LEVELS`` levels the rest
+    gets the last slots, by key.
     """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, holders: np.ndarray):
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
         left, base = np.ascontiguousarray(keys[:, 0] ^ keys[:, 1]), 0
-        while len(left):
+        who = np.arange(len(keys))
+        while len(left) and len(self.levels) < LEVELS:
             size = 64 * max(1, int(np.ceil(GAMMA * len(left) / 64)))
             at = (_mix(left, len(self.levels)) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
@@ -107,7 +114,8 @@ class LineTable:
             ranks = base + np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)]
             self.levels.append((size, words, ranks[:-1]))
             base = int(ranks[-1])
-            left = left[~alone[at]]
+            left, who = left[~alone[at]], who[~alone[at]]
+        self.rest = {tuple(k): base + i for i, k in enumerate(keys[who].tolist())}
         slot = self._slots(keys)
         self.fingerprint = np.empty(len(keys), np.int64)
         self.count = np.empty(len(keys), np.int64)
@@ -125,50 +133,66 @@ class LineTable:
             below = words[word] & ((np.uint64(1) << bit) - np.uint64(1))
             slot[who[found]] = (ranks[word] + np.bitwise_count(below))[found]
             left, who = left[~found], who[~found]
+        if self.rest:
+            slot[who] = [self.rest.get(tuple(k), -1) for k in keys[who].tolist()]
         return slot
 
-    def holders(self, keys: np.ndarray) -> np.ndarray:
-        """The largest ``doc_id`` that holds each key; the smallest int64 where the key is not in."""
-        out = np.full(len(keys), np.iinfo(np.int64).min)
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key the number of documents and the largest ``doc_id``; 0 where the key is not in."""
+        count, holder = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         if len(self.fingerprint):
             slot = self._slots(keys)
             known = slot >= 0
             known[known] = self.fingerprint[slot[known]] == keys[known, 1]
-            out[known] = self.holder[slot[known]]
-        return out
+            count[known], holder[known] = self.count[slot[known]], self.holder[slot[known]]
+        return count, holder
 
 
-def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
-    """``k1, k2, n_docs, holder`` of the lines in ``min_docs`` documents or more."""
-    return (lines.groupBy("k1", "k2")
-            .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
-            .where((F.col("n_docs") >= min_docs) & F.col("holder").isNotNull()))
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """``k1, k2, n_docs, holder`` of every line; the holder is the smallest integer where no document has an id."""
+    return lines.groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.coalesce(F.max("doc_id"), F.lit(np.iinfo(np.int64).min)).alias("holder"))
 
 
-def build_shards(repeated: DataFrame, n_shards: int) -> DataFrame:
+def hot_shards(distinct: DataFrame, n_shards: int, share: int) -> DataFrame:
+    """``shard, copies`` of the shards that more than ``share`` lines ask.
+
+    ``share`` must be at least a ``MAX_HOT``-th of all lines, so there are no
+    more than ``MAX_HOT`` rows.
+    """
+    asked = distinct.groupBy(F.pmod("k1", F.lit(n_shards)).alias("shard")).agg(F.sum("n_docs").alias("asked"))
+    return asked.where(F.col("asked") > share).select("shard", F.ceil(F.col("asked") / share).alias("copies"))
+
+
+def build_shards(distinct: DataFrame, n_shards: int) -> DataFrame:
     """One row of arrays per shard of about ``SHARD_KEYS`` keys."""
     def build(part: pa.Table) -> pa.Table:
         cols = {c: part.column(c).to_numpy() for c in ("k1", "k2", "n_docs", "holder")}
         made = LineTable(np.stack([cols["k1"], cols["k2"]], 1), cols["n_docs"], cols["holder"])
         return pa.table([pa.array([part.column("shard")[0].as_py()], pa.int64()),
                          pa.array([pickle.dumps(made)], pa.binary())], schema=SHARD_SCHEMA)
-    keyed = repeated.withColumn("shard", F.pmod("k1", F.lit(n_shards)))
+    keyed = distinct.withColumn("shard", F.pmod("k1", F.lit(n_shards)))
     return keyed.groupBy("shard").applyInArrow(build, "shard bigint, arrays binary")
 
 
-def probe(lines: DataFrame, shards: DataFrame, n_shards: int, copies: int) -> DataFrame:
-    """``doc_id, k1`` of the lines that go: another document with a larger id holds them.
+def probe(lines: DataFrame, shards: DataFrame, n_shards: int, hot: DataFrame, min_docs: int) -> DataFrame:
+    """``doc_id, k1`` of the lines that go: in ``min_docs`` documents or more, one of them with a larger id.
 
     Arrays and lines of a (shard, copy) meet in one partition, the arrays
-    first; a task holds the arrays of one shard at a time.
+    first; a task holds the arrays of one shard at a time.  ``hot`` is
+    broadcast: at most ``MAX_HOT`` pairs of numbers.
     """
-    laid = shards.select("shard", F.explode(F.expr(f"sequence(0L, {copies - 1}L)")).alias("copy"),
-                         F.lit(None).cast("bigint").alias("k1"), F.lit(None).cast("bigint").alias("k2"),
-                         F.lit(None).cast("bigint").alias("doc_id"), "arrays")
-    asked = lines.where("doc_id is not null").select(
-        F.pmod("k1", F.lit(n_shards)).cast("bigint").alias("shard"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(copies)).cast("bigint").alias("copy"),
-        "k1", "k2", "doc_id", F.lit(None).cast("binary").alias("arrays"))
+    hot = F.broadcast(hot)
+    copies = F.coalesce("copies", F.lit(1).cast("bigint"))
+    laid = shards.join(hot, "shard", "left").select(
+        "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)).alias("copy"),
+        F.lit(None).cast("bigint").alias("k1"), F.lit(None).cast("bigint").alias("k2"),
+        F.lit(None).cast("bigint").alias("doc_id"), "arrays")
+    asked = (lines.where("doc_id is not null").withColumn("shard", F.pmod("k1", F.lit(n_shards)).cast("bigint"))
+             .join(hot, "shard", "left")
+             .select("shard", F.pmod(F.xxhash64("doc_id"), copies).alias("copy"),
+                     "k1", "k2", "doc_id", F.lit(None).cast("binary").alias("arrays")))
 
     def run(batches):
         at, arrays = None, None
@@ -186,7 +210,8 @@ def probe(lines: DataFrame, shards: DataFrame, n_shards: int, copies: int) -> Da
                     continue
                 part = batch.slice(start, stop - start)
                 k1, k2, ids = (part.column(i).to_numpy() for i in (2, 3, 4))
-                go = ids < arrays.holders(np.stack([k1, k2], 1))
+                n_docs, holder = arrays.lookup(np.stack([k1, k2], 1))
+                go = (n_docs >= min_docs) & (ids < holder)
                 if go.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[go]), pa.array(k1[go])], schema=DROP_SCHEMA)
 
@@ -195,18 +220,28 @@ def probe(lines: DataFrame, shards: DataFrame, n_shards: int, copies: int) -> Da
     return map_batches(together, run, DROP_SCHEMA)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, copies: int = 8,
-                shard_keys: int = SHARD_KEYS) -> DataFrame:
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and ``n_lines``, ``n_dropped`` added.
 
     Columns of ``docs`` with these two names are replaced.  The texts are
     shuffled once, by ``doc_id``, to meet the list of their dropped lines.
     """
     lines = document_lines(docs, min_chars)
-    repeated = materialize(repeated_lines(lines, min_docs))
-    n_shards = max(1, -(-repeated.count() // shard_keys))
-    gone = (probe(lines, build_shards(repeated, n_shards), n_shards, copies)
-            .groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("k1").alias("_gone")))
+    distinct = materialize(distinct_lines(lines))
+    size = distinct.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("asked")).first()
+    n_shards = max(1, -(-size["keys"] // shard_keys))
+    hot = hot_shards(distinct, n_shards, max(2 * shard_keys, -(-size["asked"] // MAX_HOT)))
+    gone_id, gone_lines, made_cut = (free_name(docs, x) for x in ("_gone_id", "_gone", "_cut"))
+    gone = (probe(lines, build_shards(distinct, n_shards), n_shards, hot, min_docs)
+            .groupBy(F.col("doc_id").alias(gone_id)).agg(F.collect_set("k1").alias(gone_lines)))
 
     @F.pandas_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
                                 T.StructField("text", T.StringType())]))
@@ -226,11 +261,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, copies:
             out.append((len(lines), len(drop), "\n".join(x for i, x in enumerate(lines) if i not in drop)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "text"])
 
-    joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone_id"], "left")
-    made = joined.withColumn("_cut", cut(docs["text"].cast("string"), gone["_gone"]))
+    joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone[gone_id], "left")
+    made = joined.withColumn(made_cut, cut(docs["text"].cast("string"), gone[gone_lines]))
     kept = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return made.select(*kept, F.col("_cut.text").alias("text"), F.col("_cut.n_lines").alias("n_lines"),
-                       F.col("_cut.n_dropped").alias("n_dropped"))
+    return made.select(*kept, *(F.col(made_cut)[c].alias(c) for c in ("text", "n_lines", "n_dropped")))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
