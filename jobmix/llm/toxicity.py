@@ -21,6 +21,7 @@ rows (0 without any); other columns of the input are not read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from dataclasses import dataclass
@@ -146,7 +147,10 @@ class Features:
     def of(self, text: str) -> tuple[float, ...]:
         line, n = word_line(text)
         hits, second = self._hits(line)
-        near = sum(any(abs(w - s) <= NEAR for s in second) for w, _ in hits) if hits and second else 0
+        near = 0
+        for w, _ in hits:  # both lists ascend
+            first = bisect.bisect_left(second, w - NEAR)
+            near += first < len(second) and second[first] <= w + NEAR
         hidden = 0
         mixed = len(MIXED.findall(text))
         if mixed:

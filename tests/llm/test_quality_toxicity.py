@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobmix.llm.quality import ABSTAIN, BAD, GOOD, default_rules, fit, judge, measures
-from jobmix.llm.toxicity import Features, train
+from jobmix.llm.toxicity import NEAR, Features, train
 
 # Wide enough that rules disagree on some documents.
 SF_LARGE = "/root/testdata/sf0.1"
@@ -67,7 +68,7 @@ def test_posterior_is_not_all_must_pass_on_the_given_documents(spark):
     judged = judge(documents).withColumn("all_pass", ~F.col("base_failed") & ~F.array_contains(
         F.array(*[r.vote() for r in rules]), BAD))
     assert judged.where("kept and not all_pass").count() > 0
-    known = judged.join(quality.where("quality is not null"), "doc_id")
+    known = judged.drop("quality").join(quality.where("quality is not null"), "doc_id")
     n, posterior, all_pass = known.agg(F.count(F.lit(1)), F.expr("count_if(kept = (quality = 1))"),
                                        F.expr("count_if(all_pass = (quality = 1))")).first()
     assert posterior > all_pass and posterior >= 0.97 * n
@@ -95,6 +96,21 @@ def test_features():
     row = f.of("YOU idiot! an 1d1ot")
     assert row[0] == pytest.approx(1 / 5) and row[3] == pytest.approx(1 / 5) and row[5] > 0 and row[8] > 0
     assert f.of("") == (0.0,) * 10
+    # Each hit counts once, whichever of the second persons is near.
+    assert f.of("scum a b c d e you f scum you")[3] == pytest.approx(1 / 10)
+    rng = random.Random(6)
+    for _ in range(50):
+        words = [rng.choice(["you", "your", "scum", "idiot", "a", "b", "c"]) for _ in range(rng.randint(1, 60))]
+        hits, second = f._hits(" " + " ".join(words) + " ")
+        assert f.of(" ".join(words))[3] == pytest.approx(
+            sum(any(abs(w - s) <= NEAR for s in second) for w, _ in hits) / len(words))
+
+
+def test_features_of_a_very_long_text():
+    start = time.monotonic()
+    row = Features([" scum "]).of("you " * 200_000 + "x " * 1000 + "scum " * 200_000)
+    assert row[3] == 0 and row[0] == pytest.approx(200_000 / 401_000)
+    assert time.monotonic() - start < 20
 
 
 def test_toxicity_on_held_out_rows(spark):
