@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import re
+
 import pytest
 
 from helpers import classic, price_row, run, srv, usage_row
@@ -9,7 +12,7 @@ from jobmix.functions.rules import FIXTURE_BU_RULES
 from jobmix.params import Params, TimeRange
 from jobmix.plans import reports as D
 from jobmix.sources import Tables
-from jobmix.sources.layout import write_tables
+from jobmix.sources.layout import bucket_skew, write_bucketed, write_tables
 
 WS = [("w1", "w-market-prod-r1"), ("w2", "w-risk-dev-r1")]
 CLUSTERS = [("w1", "ap", "UI"), ("w1", "jc", "JOB")]
@@ -92,3 +95,37 @@ def test_files_of_a_day_do_not_grow_with_the_writing_tasks(spark, tables, tmp_pa
         days = glob.glob(str(tmp_path / "t" / table / "*=*"))
         files = glob.glob(str(tmp_path / "t" / table / "*=*" / "part-*"))
         assert len(days) == len(DAYS) and len(files) <= 2 * len(days)
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, tables, tmp_path_factory):
+    spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path_factory.mktemp('bucketed')}'")
+    yield D.Inputs(Tables.from_catalog(spark, write_bucketed(tables, "bucketed", 2)), FIXTURE_BU_RULES)
+    spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+@pytest.mark.parametrize("name", sorted(D.DATASETS))
+def test_same_results_from_bucketed_storage(tables, bucketed, name):
+    p = Params(TimeRange("2024-01-03", "2024-01-10"))
+    a = sorted(map(tuple, D.DATASETS[name](D.Inputs(tables, FIXTURE_BU_RULES), p).collect()))
+    assert a == sorted(map(tuple, D.DATASETS[name](bucketed, p).collect()))
+
+
+@pytest.mark.parametrize("name", ["kpi_headline", "bu_scorecard", "time_series_counts", "bu_trend"])
+def test_classification_of_bucketed_runs_needs_no_exchange_by_job(stored, bucketed, name):
+    p = Params(TimeRange("2024-01-03", "2024-01-10"))
+    plan = lambda inp: D.DATASETS[name](inp, p)._jdf.queryExecution().executedPlan().toString()
+    by_day, by_job = plan(stored), plan(bucketed)
+    assert "job_id" in "".join(re.findall(r"Exchange hashpartitioning\(([^)]*)", by_day))
+    assert by_job.count("Exchange hashpartitioning") == by_day.count("Exchange hashpartitioning") - 1
+    assert "PartitionFilters: [isnotnull(run_day_utc" in by_job and "Bucketed: true" in by_job
+
+
+def test_a_hot_job_is_not_bucketed(spark, tables):
+    from jobmix import schemas
+    hot = spark.createDataFrame([run("w1", "hot", f"r{i}", "2024-01-05 08:00:00", [srv()]) for i in range(100)]
+                                + [run("w1", f"j{i}", f"s{i}", "2024-01-05 08:00:00", [srv()]) for i in range(200)],
+                                schemas.ALL_TABLES["runs"])
+    assert bucket_skew(hot, 64) > 20 and bucket_skew(hot.limit(0), 64) == 0
+    with pytest.raises(ValueError, match="store by day"):
+        write_bucketed(dataclasses.replace(tables, runs=hot), "default", 64)
