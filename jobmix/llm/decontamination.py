@@ -5,7 +5,8 @@ window still has the same hash when an ignored token was replaced.  The hashes
 of all windows of the test items and of all windows of the training texts are
 joined.  Around every hit the two texts are laid side by side, and the item
 counts as leaked where enough tokens agree: most of the item, or nearly all of
-a stretch of ``STRETCH`` tokens.
+a stretch of ``STRETCH`` tokens.  An item of fewer than ``WHOLE_BELOW`` words
+must stand there whole: a few common words in a row are in any text.
 
 No such place is without a hit, so the result is what that rule says for items
 of any length.  Where 60% of an item agree, some five tokens in a row hold
@@ -38,6 +39,8 @@ from jobmix.llm.quality import let
 MASKS = ("111", "1011", "1101", "10011", "10101", "11001", "11", "101", "1")
 # The item is leaked if this share of its tokens agrees, or so many tokens of a stretch.
 MIN_SHARE, STRETCH, MIN_IN_STRETCH = 0.6, 13, 11
+# Shorter items need all of their tokens.
+WHOLE_BELOW = 8
 BROADCAST_WORDS = 200_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -117,7 +120,8 @@ def contaminated(docs: DataFrame, items: DataFrame, broadcast_words: int = BROAD
         hits = places.join(t, "doc_id").join(whole, "item_id")
     laid = hits.select("doc_id", "item_id", "shift", F.size("item").alias("n_item"),
                        agreement(F.col("t"), F.col("item"), F.col("shift")).alias("a"))
-    leaked = laid.where((F.col("a.agree") >= MIN_SHARE * F.col("n_item"))
+    needed = F.when(F.col("n_item") < WHOLE_BELOW, F.col("n_item")).otherwise(MIN_SHARE * F.col("n_item"))
+    leaked = laid.where((F.col("a.agree") >= needed)
                         | (F.col("a.in_stretch") >= MIN_IN_STRETCH))
     best = F.max(F.struct(F.col("a.agree").alias("agree"), (-F.col("shift")).alias("back")))
     return (leaked.groupBy("doc_id", "item_id").agg(F.max("n_item").cast("bigint").alias("n_item"), best.alias("b"))

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from jobmix.llm.decontamination import MASKS, MIN_IN_STRETCH, MIN_SHARE, STRETCH, contaminated
+from jobmix.llm.decontamination import MASKS, MIN_IN_STRETCH, MIN_SHARE, STRETCH, WHOLE_BELOW, contaminated
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(400)]
@@ -46,7 +46,7 @@ def brute(docs, items):
             for shift in range(-len(words), len(d)):
                 flags = [0 <= shift + j < len(d) and d[shift + j] == w for j, w in enumerate(words)]
                 best = max(sum(flags[j:j + STRETCH]) for j in range(max(1, len(flags) - STRETCH + 1)))
-                if sum(flags) >= MIN_SHARE * len(words) or best >= MIN_IN_STRETCH:
+                if sum(flags) >= (MIN_SHARE if len(words) >= WHOLE_BELOW else 1) * len(words) or best >= MIN_IN_STRETCH:
                     key = (doc_id, item_id)
                     found[key] = max(found.get(key, 0), sum(flags))
     return found
@@ -93,6 +93,15 @@ def test_whatever_the_rule_accepts_is_found(spark, broadcast_words):
     assert got == want and {i for _, i in want} == {i for i, _ in items}
 
 
+@pytest.mark.parametrize("broadcast_words", [200_000, 0])
+def test_short_items_must_stand_whole(spark, broadcast_words):
+    items = spark.createDataFrame([(1, "what is the"), (2, "one two three four five six seven")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so this is the house"), (2, "and What is, the house"), (3, "what was the house"),
+                                  (4, "one two three four five six eight"), (5, "zero one two three four five six seven")],
+                                 "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items, broadcast_words).collect()} == {(2, 1), (5, 2)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
