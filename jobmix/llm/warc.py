@@ -319,7 +319,7 @@ d AS (
          max(page_id) OVER (PARTITION BY hex) AS holder
   FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+       CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < holder THEN holder END AS refers_to
 FROM d
 """

@@ -74,3 +74,18 @@ def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     arc = write_arc(pages, str(tmp_path / "arc"))
     assert read_warc(spark, to_warc(spark, arc, str(tmp_path / "warc"))).collect() == []
+
+
+def test_equal_to_sql_also_without_page_ids(spark, tmp_path):
+    import duckdb
+
+    from jobmix.llm.warc import OP2_SQL, op2_warc
+    pages = [(1, "u", "same"), (2, "u", "same"), (None, "u", "same"), (None, "u", "alone"), (3, "u", None), (4, "u", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = op2_warc(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        want = db.execute(f"SELECT {', '.join(names)} FROM ({OP2_SQL})").fetchall()
+    assert sorted(map(tuple, out.select(names).collect()), key=str) == sorted(want, key=str)
+    assert sum(r[3] == "revisit" for r in want) == 2
