@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmix.llm.common import ASCII_LOWER, arrow_schema, map_batches, materialize, table
+from jobmix.llm.common import ASCII_LOWER, arrow_schema, map_batches, materialize, scratch_path, table
 
 SHINGLE = 5
 # Linked: SIMILAR_OF * intersection >= SIMILAR * union, in hundredths.
@@ -63,15 +63,20 @@ ORDER_SAMPLE, ORDER_GRAMS = 20_000, 100_000
 # Signatures go to Spark in batches of about this many rows.
 BATCH_ROWS = 1_000_000
 
-PROFILE = arrow_schema({"doc_id": pa.int64(), "set_id": pa.int64(), "size": pa.int64(), "counts": pa.binary(),
-                        "fine": pa.binary()})
-# 5-grams for each part that signatures are dealt to: about a million signatures.
-PART_GRAMS = 1_500_000
-SIGNATURES = arrow_schema({"sig": pa.int64(), "set_id": pa.int64()})
-GROUPS = arrow_schema({"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()})
-# Kinds of rows: an edge of a star, another pair of a small group, a member of a large one.
-STAR, PAIR, MEMBER = 0, 1, 2
-PACKED = arrow_schema({"part": pa.int64(), "sigs": pa.binary(), "places": pa.binary(), "names": pa.binary()})
+PROFILE = {"doc_id": pa.int64(), "set_id": pa.int64(), "size": pa.int64(), "counts": pa.binary(), "fine": pa.binary()}
+# 5-grams for each part that signatures are dealt to (some two million signatures), and bytes of text for each 5-gram.
+PART_GRAMS, GRAM_BYTES = 4_000_000, 6
+# Bytes of a signature that tell it from others of its part.
+SIG_BYTES = 5
+HEADS = arrow_schema({"sig": pa.int64(), "set_id": pa.int64(), "place": pa.int32()})
+# Kinds of rows: an edge of a star, another pair of a small group, a member of a large one, a document's profile.
+STAR, PAIR, MEMBER, DOCUMENT = 0, 1, 2, 3
+PACKED = arrow_schema({"part": pa.int64(), "sigs": pa.binary(), "places": pa.binary(), "names": pa.binary(), **PROFILE})
+GROUPS = arrow_schema({"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), **PROFILE})
+# Profiles travel with the signatures, spread over this many parts below zero.
+PROFILE_PARTS = 4096
+# Pairs that a task collects before it passes them on.
+PAIR_ROWS = 200_000
 SHORT = arrow_schema({"set_id": pa.int64(), "short": pa.binary()})
 
 
@@ -224,17 +229,27 @@ def _texts(batches, size: int = 256):
             yield [c.to_pylist() for c in batch.slice(at, size).columns]
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the identifier and size of its set, and the set's counts by few and by many buckets."""
-    def run(batches):
-        shingler = Shingler()
-        for ids, texts in _texts(batches):
-            grams = shingler.grams(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([set_id(g) for g in grams], pa.int64()),
-                 pa.array([len(g) for g in grams], pa.int64()), pa.array([counts(g) for g in grams], pa.binary()),
-                 pa.array([fine_counts(g) for g in grams], pa.binary())], schema=PROFILE)
-    return map_batches(docs, run, PROFILE)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read again from Parquet in the shared folder, a few columns of it at a time."""
+    path = scratch_path(df.sparkSession, "ngram-join")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _batch(schema: pa.Schema, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch with these columns; the others of the schema are null."""
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in schema],
+                                      schema=schema)
+
+
+def _profile_batch(ids: list, names: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+    """Documents with the identifier and size of their sets, and counts by few and by many buckets."""
+    return _batch(PACKED, {
+        "part": pa.array([-1 - n % PROFILE_PARTS for n in names], pa.int64()),
+        "doc_id": pa.array(ids, pa.int64()), "set_id": pa.array(names, pa.int64()),
+        "size": pa.array([len(g) for g in grams], pa.int64()), "counts": pa.array([counts(g) for g in grams], pa.binary()),
+        "fine": pa.array([fine_counts(g) for g in grams], pa.binary())})
 
 
 def whole_signatures(grams: list[np.ndarray], own: list[Instance]) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +274,13 @@ def whole_signatures(grams: list[np.ndarray], own: list[Instance]) -> tuple[np.n
 
 
 def signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """Signatures of the sets of ``docs`` (``doc_id, text``), packed by part.
+    """Signatures of the sets of ``docs`` (``doc_id, text``), packed by part; and the documents' profiles.
 
     A row holds a task's signatures of one part (of ``parts``, dealt by the
-    signature): ``sigs`` and, for each, the place of its set among ``names``.
-    Packed, a signature moves as 6 + 4 bytes.  Equal sets of a batch count once.
+    signature): ``sigs`` by set, and a bit for each that tells whether it is
+    of the next one of ``names``.  Packed, a signature moves as five bytes and
+    a bit.  Equal sets of a batch count once.  A document's row has a part
+    below zero.
     """
     def run(batches):
         shingler, made = Shingler(), {}
@@ -272,11 +289,14 @@ def signatures(docs: DataFrame, parts: int) -> DataFrame:
         def flush():
             yield from _packed(np.concatenate(sigs), np.concatenate(owners), np.array(names, np.int64), parts)
 
-        for _, texts in _texts(batches):
+        for ids, texts in _texts(batches):
             many, instances, whose = [], [], []
             seen = set()
-            for grams in shingler.grams(texts):
-                if not len(grams) or (own := set_id(grams)) in seen:
+            sets = shingler.grams(texts)
+            set_ids = [set_id(g) for g in sets]
+            yield _profile_batch(ids, set_ids, sets)
+            for grams, own in zip(sets, set_ids):
+                if not len(grams) or own in seen:
                     continue
                 seen.add(own)
                 names.append(own)
@@ -313,16 +333,17 @@ def signatures(docs: DataFrame, parts: int) -> DataFrame:
 def _packed(sigs: np.ndarray, owners: np.ndarray, names: np.ndarray, parts: int):
     """Record batches of packed signatures, a row for each part."""
     part = (sigs % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((owners, part))
     part, sigs, owners = part[order], sigs[order], owners[order]
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     rows = []
     for start, stop in zip(starts, np.r_[starts[1:], len(part)]):
-        used, place = np.unique(owners[start:stop], return_inverse=True)
-        # The low bits deal the parts; 48 of the others tell signatures of a part apart.
-        own = (sigs[start:stop] // np.uint64(parts)) & np.uint64(2**48 - 1)
-        rows.append((int(part[start]), own.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
-                     place.astype(np.uint32).tobytes(), names[used].tobytes()))
+        whose = owners[start:stop]
+        new = np.r_[False, whose[1:] != whose[:-1]]
+        # The low bits deal the parts; some of the others tell signatures of a part apart.
+        own = sigs[start:stop] // np.uint64(parts)
+        rows.append((int(part[start]), own.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes(),
+                     np.packbits(new).tobytes(), names[whose[np.r_[True, new[1:]]]].tobytes()))
         if len(rows) == 256:
             yield _packed_batch(rows)
             rows = []
@@ -331,14 +352,14 @@ def _packed(sigs: np.ndarray, owners: np.ndarray, names: np.ndarray, parts: int)
 
 
 def _packed_batch(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKED)],
-                                      schema=PACKED)
+    return _batch(PACKED, {f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(PACKED)[:4])})
 
 
 def _unpacked(sigs: bytes, places: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide = np.zeros((len(sigs) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(sigs, np.uint8).reshape(-1, 6)
-    return wide.view(np.int64).ravel(), np.frombuffer(names, np.int64)[np.frombuffer(places, np.uint32)]
+    wide = np.zeros((len(sigs) // SIG_BYTES, 8), np.uint8)
+    wide[:, :SIG_BYTES] = np.frombuffer(sigs, np.uint8).reshape(-1, SIG_BYTES)
+    place = np.cumsum(np.unpackbits(np.frombuffer(places, np.uint8), count=len(wide)), dtype=np.int64)
+    return wide.view(np.int64).ravel(), np.frombuffer(names, np.int64)[place]
 
 
 def _group_batch(kinds: dict[int, list[np.ndarray]]) -> pa.RecordBatch | None:
@@ -352,22 +373,25 @@ def _group_batch(kinds: dict[int, list[np.ndarray]]) -> pa.RecordBatch | None:
         return None
     both = np.concatenate(list(found.values()))
     kind = np.repeat(np.array(list(found), np.int32), [len(r) for r in found.values()])
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-                                      schema=GROUPS)
+    return _batch(GROUPS, {"kind": pa.array(kind), "a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
 
 
 def group_pairs(sigs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b, of sets that share a signature; and large groups' members.
+    """Candidate pairs ``(a, b)``, a < b, of sets that share a signature; large groups' members; and documents.
 
     ``kind`` says which: for a ``MEMBER``, ``a`` is the signature and ``b`` the
-    set.  A part's signatures are sorted together; a part is of bounded size,
+    set; a ``DOCUMENT`` is passed on.  A part's signatures are sorted together; a part is of bounded size,
     but for a signature that very many sets share (20 bytes for each of them).
     """
     def run(batches):
         at, held = None, []
         for batch in batches:
-            for row in range(batch.num_rows):
-                part, *packed = (c[row].as_py() for c in batch.columns)
+            documents = batch.filter(pa.array(batch.column(0).to_numpy() < 0))
+            if documents.num_rows:
+                yield _batch(GROUPS, {"kind": pa.array(np.full(documents.num_rows, DOCUMENT, np.int32)),
+                                      **{c: documents.column(c) for c in PROFILE}})
+            for row in range(documents.num_rows, batch.num_rows):
+                part, *packed = (c[row].as_py() for c in batch.columns[:4])
                 if part != at and held:
                     yield from _groups(at, held, small_group)
                     held = []
@@ -376,6 +400,7 @@ def group_pairs(sigs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
         if held:
             yield from _groups(at, held, small_group)
 
+    # Documents come first: their parts are below zero.
     return map_batches(sigs.repartition("part").sortWithinPartitions("part"), run, GROUPS)
 
 
@@ -389,7 +414,7 @@ def _groups(part: int, held: list, small_group: int):
     starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     sizes = np.diff(np.r_[starts, len(sig)])
     # A part's signatures with the part's number: unique over all parts but for chance.
-    name = mix(sig.view(np.uint64) + (np.uint64(part) << np.uint64(48))).view(np.int64)
+    name = mix(sig.view(np.uint64) + (np.uint64(part) << np.uint64(8 * SIG_BYTES))).view(np.int64)
     if (out := _group_batch(_emit(name, own, starts, sizes, small_group))) is not None:
         for at in range(0, out.num_rows, 100_000):
             yield out.slice(at, 100_000)
@@ -569,7 +594,7 @@ def frequent_grams(docs: DataFrame, wanted: DataFrame, sample: int = ORDER_SAMPL
 
 
 def prefixes(docs: DataFrame, wanted: DataFrame, last: list[int]) -> DataFrame:
-    """``sig, set_id``: the first ``size - need + 1`` 5-grams of the set of every wanted document.
+    """``sig, set_id, place``: the first ``size - need + 1`` 5-grams of the set of every wanted document.
 
     ``need`` is the least intersection with a similar set.  The order is by a
     hash, with the 5-grams of ``last`` after all others.  Two similar sets
@@ -580,7 +605,7 @@ def prefixes(docs: DataFrame, wanted: DataFrame, last: list[int]) -> DataFrame:
     def run(batches):
         shingler = Shingler()
         for _, texts in _texts(batches):
-            heads, owners = [], []
+            heads, owners, places = [], [], []
             for grams in shingler.grams(texts):
                 size = len(grams)
                 if not size:
@@ -590,67 +615,80 @@ def prefixes(docs: DataFrame, wanted: DataFrame, last: list[int]) -> DataFrame:
                     at = np.minimum(np.searchsorted(late, grams), len(late) - 1)
                     rank[late[at] == grams] |= np.uint64(1 << 63)
                 first = size - -(-size * SIMILAR // SIMILAR_OF) + 1
-                heads.append(grams[np.argpartition(rank, first - 1)[:first]])
+                at = np.argpartition(rank, first - 1)[:first]
+                # Ties of the order are broken by the 5-gram, the same way for all sets.
+                heads.append(grams[at[np.lexsort((grams[at], rank[at]))]])
                 owners.append(np.full(first, set_id(grams), np.int64))
+                places.append(np.arange(first, dtype=np.int32))
             if heads:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)),
-                                                  pa.array(np.concatenate(owners))], schema=SIGNATURES)
-    return map_batches(_chosen(docs, wanted), run, SIGNATURES)
+                                                  pa.array(np.concatenate(owners)),
+                                                  pa.array(np.concatenate(places))], schema=HEADS)
+    return map_batches(_chosen(docs, wanted), run, HEADS)
 
 
-def shared_only(sigs: DataFrame) -> DataFrame:
-    """Rows of ``sig, set_id`` whose signature another set has, too; a stream of sorted rows."""
+def shared_only(heads: DataFrame) -> DataFrame:
+    """Rows of ``sig, set_id, place`` whose signature another set has, too; a stream of sorted rows."""
     def run(batches):
         held = None  # the last row, while it is alone with its signature
         ended = None  # the signature of the last row
         for batch in batches:
-            sig, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            columns = [c.to_numpy() for c in batch.columns]
             if held is not None:
-                sig, own = np.r_[held[0], sig], np.r_[held[1], own]
+                columns = [np.concatenate(c) for c in zip(held, columns)]
+            sig = columns[0]
             keep = np.zeros(len(sig), bool)
             same = sig[1:] == sig[:-1]
             keep[1:] |= same
             keep[:-1] |= same
             if held is None and ended is not None:
                 keep |= sig == ended
-            held = None if keep[-1] else (sig[-1:], own[-1:])
+            held = None if keep[-1] else [c[-1:] for c in columns]
             ended = sig[-1]
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(own[keep])], schema=SIGNATURES)
-    return map_batches(sigs.repartition("sig").sortWithinPartitions("sig"), run, SIGNATURES)
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], schema=HEADS)
+    return map_batches(heads.repartition("sig").sortWithinPartitions("sig"), run, HEADS)
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of sets of different components that share a signature and have near counts.
 
-    ``rows``: ``sig, set_id, component, size, counts``.  Sorted rows are a
-    stream; new rows of a signature are compared with those held of it.
+    ``rows``: ``sig, set_id, component, size, place, counts``.  Sorted rows
+    are a stream; new rows of a signature are compared with those held of it.
+    What stands before the first 5-gram that two sets share is in one of them
+    only; so a pair whose places here already make too many differences
+    either is none or has shared an earlier 5-gram, and is found there.
     """
     schema = arrow_schema({"a": pa.int64(), "b": pa.int64()})
 
     def near(x, y):
         """Row numbers of x and y that may be similar."""
         found = []
-        step = max(1, 200_000 // max(len(y[0]), 1))
+        step = max(1, 50_000 // max(len(y[0]), 1))
         for at in range(0, len(x[0]), step):
-            own, comp, size, cnt = (c[at:at + step] for c in x)
-            ok = (comp[:, None] != y[1][None]) & (SIMILAR_OF * np.minimum(size[:, None], y[2][None])
-                                                  >= SIMILAR * np.maximum(size[:, None], y[2][None]))
+            own, comp, size, place, cnt = (c[at:at + step] for c in x)
+            most = (size[:, None] + y[2][None]) * (SIMILAR_OF - SIMILAR) // (SIMILAR_OF + SIMILAR)
+            ok = ((comp[:, None] != y[1][None]) & (place[:, None] + y[3][None] <= most)
+                  & (SIMILAR_OF * np.minimum(size[:, None], y[2][None])
+                     >= SIMILAR * np.maximum(size[:, None], y[2][None])))
             i, j = np.nonzero(ok)
-            apart = np.abs(cnt[i] - y[3][j]).sum(1)
-            ok = apart <= (size[i] + y[2][j]) * (SIMILAR_OF - SIMILAR) // (SIMILAR_OF + SIMILAR)
+            ok = np.abs(cnt[i] - y[4][j]).sum(1) <= most[i, j]
             p, q = own[i[ok]], y[0][j[ok]]
-            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+            if len(p):
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
         return found
 
+    def flushed(found):
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
+
     def run(batches):
-        at, held = None, None
+        at, held, found = None, None, []
         for batch in batches:
-            found = []
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
                 sig = part.column(0).to_numpy()
-                cols = [part.column(i).to_numpy() for i in (1, 2, 3)]
-                cols.append(np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
+                cols = [part.column(i).to_numpy() for i in (1, 2, 3, 4)]
+                cols.append(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8)
                             .reshape(-1, BUCKETS).astype(np.int16))
                 starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
                 for start, stop in zip(starts, np.r_[starts[1:], len(sig)]):
@@ -663,11 +701,13 @@ def near_pairs(rows: DataFrame) -> DataFrame:
                         at, held = sig[start], new
                         if stop - start > 1:
                             found.extend(near(new, new))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
-                                                 schema=schema)
-    dealt = rows.select("sig", "set_id", "component", "size", "counts").repartition("sig").sortWithinPartitions("sig")
+                if sum(map(len, found)) >= PAIR_ROWS:
+                    yield flushed(found)
+                    found = []
+        if found:
+            yield flushed(found)
+    dealt = (rows.select("sig", "set_id", "component", "size", "place", "counts")
+             .repartition("sig").sortWithinPartitions("sig"))
     return map_batches(dealt, run, schema).distinct()
 
 
@@ -676,7 +716,7 @@ def prefix_pairs(docs: DataFrame, wanted: DataFrame, labels: DataFrame, nodes: D
 
     Only 5-grams that several components share are joined to the counts.
     """
-    heads = materialize(shared_only(prefixes(docs, wanted, frequent_grams(docs, wanted))).join(labels, "set_id"))
+    heads = stored(shared_only(prefixes(docs, wanted, frequent_grams(docs, wanted))).join(labels, "set_id"))
     mixed = (heads.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"))
              .where("least < most").select("sig"))
     known = nodes.select("set_id", "size", "counts")
@@ -687,11 +727,12 @@ def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` with a ``doc_id``."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"),
                                                     F.col("text").cast("string").alias("text"))
-    profile = materialize(profiles(texts))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, size // (GRAM_BYTES * PART_GRAMS))
+    groups = stored(group_pairs(signatures(texts, parts), small_group))
+    profile = groups.where(F.col("kind") == DOCUMENT).select(*PROFILE)
     nodes = profile.where("size > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("doc"), F.max("size").alias("size"), F.first("counts").alias("counts"))
-    grams = profile.agg(F.sum("size")).first()[0] or 0
-    groups = materialize(group_pairs(signatures(texts, max(1, int(grams // PART_GRAMS))), small_group))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         near = materialize(near_fine(materialize(near_counts(pairs, nodes)), profile))
