@@ -15,6 +15,12 @@ signature, and similar sets share one.  Choices without any 5-gram are left
 out, and ``n1`` is large enough to make up for that; a set with too many of
 them has signatures for these, too, so no pair is lost.
 
+*Fewer signatures.*  There are more partitions with 5-grams than differences
+can spoil, so similar sets share several signatures.  In one order of all
+signatures the first shared one stands near the front, and a set keeps only as
+many as may stand up to there.  Those that are frequent in a sample come last, so a
+passage that many texts share makes a large group only of sets that hold little else.
+
 *Candidates.*  Signatures are packed, dealt to parts of bounded size and
 sorted there.  Every group gives a star: its first set with each other one.
 Groups of up to ``SMALL_GROUP`` sets also give their other pairs, which are only
@@ -26,7 +32,8 @@ and the others compared exactly.
 
 *The rest of large groups* (copies, or a passage that many texts share).  Sets of a large group that the stars have put
 into one component need no more pairs.  All sets of groups that still hold
-several components are joined exactly by prefix filtering: in one order for all sets,
+several components are signed again, now with the signatures of all large groups
+last; and those of groups that even then hold several are joined exactly by prefix filtering: in one order for all sets,
 here with frequent 5-grams last, two similar sets share one of their first
 5-grams.  Only pairs from different components are compared.
 
@@ -60,12 +67,18 @@ BUCKETS = 96
 BROADCAST_SETS = 500_000
 # The prefix filter's order is taken from this many sets, and puts at most so many 5-grams last.
 ORDER_SAMPLE, ORDER_GRAMS = 20_000, 100_000
+# The signatures' order is taken from about this many documents, and puts at most so many signatures last.
+SIG_SAMPLE, SIG_FREQUENT = 5_000, 100_000
+# First shared 5-grams of a set by which a pair found before is known.
+EARLY = 8
 # Signatures go to Spark in batches of about this many rows.
-BATCH_ROWS = 1_000_000
+BATCH_ROWS = 500_000
 
 PROFILE = {"doc_id": pa.int64(), "set_id": pa.int64(), "size": pa.int64(), "counts": pa.binary(), "fine": pa.binary()}
 # 5-grams for each part that signatures are dealt to (some two million signatures), and bytes of text for each 5-gram.
 PART_GRAMS, GRAM_BYTES = 4_000_000, 6
+# A part's signatures are sorted in so many slices (a power of two), one after the other.
+SLICES = 8
 # Bytes of a signature that tell it from others of its part.
 SIG_BYTES = 5
 HEADS = arrow_schema({"sig": pa.int64(), "set_id": pa.int64(), "place": pa.int32()})
@@ -90,7 +103,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted hashes of the distinct 5-grams of texts; remembers hashes of words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -201,10 +214,57 @@ class Instance:
             return np.concatenate(found)
         return np.concatenate([f[k] for f, k in zip(found, kept)])
 
+    def spoiled(self, size: int) -> int:
+        """Most partitions on which a set of this size and a similar one disagree."""
+        return most_differences(size, min(self.largest, size * SIMILAR_OF // SIMILAR)) // (self.k2 + 1)
+
     def deficient(self, size: int, full: int) -> bool:
         """Whether ``full`` partitions without an empty choice are too few to be sure of a shared one."""
-        partner = min(self.largest, size * SIMILAR_OF // SIMILAR)
-        return full <= most_differences(size, partner) // (self.k2 + 1)
+        return full <= self.spoiled(size)
+
+    def first_signatures(self, grams: np.ndarray, order: Order) -> np.ndarray:
+        """The signatures of one set that may be the first which it shares with a similar one.
+
+        Similar sets share a signature of each partition that has no empty
+        choice and is not spoiled; so the first shared one has at least as
+        many less one behind it.  A deficient set keeps all: its signatures of
+        empty choices need not be shared.
+        """
+        found = self.signatures(grams)
+        place = mix(grams + np.uint64(self.number + 1)) % np.uint64(self.n1 * self.n2)
+        used = np.bincount(place.astype(np.int64), minlength=self.n1 * self.n2).reshape(self.n1, self.n2)
+        full = int(np.logical_and.reduce([used[:, c].sum(1) > 0 for c in self.choices]).sum())
+        if self.deficient(len(grams), full):
+            return found
+        keep = len(found) - (full - self.spoiled(len(grams))) + 1
+        return found[np.argsort(order.keys(found))[:keep]]
+
+
+def named(sigs: np.ndarray, parts: int) -> np.ndarray:
+    """Names of signatures as their groups have them: unique over all parts but for chance."""
+    # The low bits deal the parts; some of the others tell signatures of a part apart.
+    own = sigs // np.uint64(parts) & np.uint64((1 << 8 * SIG_BYTES) - 1)
+    return mix(own + (sigs % np.uint64(parts) << np.uint64(8 * SIG_BYTES)))
+
+
+class Order:
+    """One order of all signatures: by their hash, with ``frequent`` ones last, the most frequent at the end."""
+
+    def __init__(self, frequent: dict[int, int], parts: int):
+        """``frequent``: names of signatures, as signed numbers, and about how many sets have them."""
+        rows = sorted((name % 2**64, n) for name, n in frequent.items())
+        self.late = np.array([name for name, _ in rows], np.uint64)
+        self.rank = np.array([min(n.bit_length(), 15) for _, n in rows], np.uint64)
+        self.parts = parts
+
+    def keys(self, sigs: np.ndarray) -> np.ndarray:
+        """Numbers by which signatures are sorted; equal only for equal signatures, but for chance."""
+        keys = sigs >> np.uint64(4)
+        if len(self.late):
+            names = named(sigs, self.parts)
+            at = np.minimum(np.searchsorted(self.late, names), len(self.late) - 1)
+            keys |= np.where(self.late[at] == names, self.rank[at], np.uint64(0)) << np.uint64(60)
+        return keys
 
 
 def instances_of(size: int, made: dict[int, Instance]) -> list[Instance]:
@@ -273,8 +333,56 @@ def whole_signatures(grams: list[np.ndarray], own: list[Instance]) -> tuple[np.n
     return found, whose
 
 
-def signatures(docs: DataFrame, parts: int) -> DataFrame:
-    """Signatures of the sets of ``docs`` (``doc_id, text``), packed by part; and the documents' profiles.
+def first_of_each(found: np.ndarray, whose: np.ndarray, keep: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """Of the signatures ``found`` of every set the first ``keep[whose]`` in this order; and whose they are."""
+    at = np.argsort(order.keys(found))
+    # A stable sort of 16-bit numbers takes linear time.
+    at = at[np.argsort(whose[at].astype(np.uint16 if len(keep) <= 1 << 16 else np.int64), kind="stable")]
+    found, whose = found[at], whose[at]
+    starts = np.searchsorted(whose, np.arange(len(keep)))
+    kept = np.arange(len(whose)) - starts[whose] < keep[whose]
+    return found[kept], whose[kept]
+
+
+def frequent_signatures(docs: DataFrame, rows: int, parts: int, sample: int = SIG_SAMPLE,
+                        most: int = SIG_FREQUENT) -> dict[int, int]:
+    """Names of signatures that are frequent in a sample of ``docs`` (with so many rows), at most ``most``.
+
+    They only come last in the order of the signatures, and no pair is lost
+    in any order; so a bounded sample will do.  With each about how many
+    documents of all have it.
+    """
+    schema = arrow_schema({"sig": pa.int64()})
+
+    def run(batches):
+        shingler, made, seen = Shingler(), {}, set()
+        for _, texts in _texts(batches):
+            found = [np.empty(0, np.uint64)]
+            for grams in shingler.grams(texts):
+                # Copies count once in a task.
+                if len(grams) and (own := set_id(grams)) not in seen:
+                    seen.add(own)
+                    found.extend(i.signatures(grams) for i in instances_of(len(grams), made))
+            yield pa.RecordBatch.from_arrays([pa.array(named(np.concatenate(found), parts).view(np.int64))], schema=schema)
+
+    each = max(1, rows // sample)
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(each)) == 0)
+    found = (map_batches(part, run, schema).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+             .orderBy(F.desc("n"), "sig").limit(most).collect())
+    return {r["sig"]: r["n"] * each for r in found}
+
+
+def large_groups(members: DataFrame, most: int = SIG_FREQUENT) -> dict[int, int]:
+    """Names of the signatures of the largest groups, at most ``most``, and how many sets have them."""
+    found = members.groupBy("a").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a").limit(most).collect()
+    return {r["a"]: r["n"] for r in found}
+
+
+def signatures(docs: DataFrame, parts: int, frequent: dict[int, int], profiles: bool = True) -> DataFrame:
+    """Signatures of the sets of ``docs`` (``doc_id, text``), packed by part; and, if wanted, the documents' profiles.
+
+    Of a set's signatures only those that may be the first which it shares with
+    a similar set, in one order that has the ``frequent`` ones last.
 
     A row holds a task's signatures of one part (of ``parts``, dealt by the
     signature): ``sigs`` by set, and a bit for each that tells whether it is
@@ -282,6 +390,8 @@ def signatures(docs: DataFrame, parts: int) -> DataFrame:
     a bit.  Equal sets of a batch count once.  A document's row has a part
     below zero.
     """
+    order = Order(frequent, parts)
+
     def run(batches):
         shingler, made = Shingler(), {}
         sigs, owners, names, rows = [], [], [], 0
@@ -294,7 +404,8 @@ def signatures(docs: DataFrame, parts: int) -> DataFrame:
             seen = set()
             sets = shingler.grams(texts)
             set_ids = [set_id(g) for g in sets]
-            yield _profile_batch(ids, set_ids, sets)
+            if profiles:
+                yield _profile_batch(ids, set_ids, sets)
             for grams, own in zip(sets, set_ids):
                 if not len(grams) or own in seen:
                     continue
@@ -306,19 +417,21 @@ def signatures(docs: DataFrame, parts: int) -> DataFrame:
                         instances.append(instance)
                         whose.append(len(names) - 1)
                     else:
-                        sigs.append(instance.signatures(grams))
+                        sigs.append(instance.first_signatures(grams, order))
                         owners.append(np.full(len(sigs[-1]), len(names) - 1, np.uint32))
                         rows += len(sigs[-1])
             if many:
                 found, who = whole_signatures(many, instances)
                 used = np.bincount(who, minlength=len(many))
-                for i in np.flatnonzero([inst.deficient(len(g), n)
-                                         for inst, g, n in zip(instances, many, used.tolist())]):
-                    # Too many empty partitions: signatures for these, too.
+                keep = np.array([i.spoiled(len(g)) + 1 for i, g in zip(instances, many)])
+                for i in np.flatnonzero(used < keep):
+                    # Too many empty partitions: signatures for these, too, and all of them.
                     extra = instances[i].signatures(many[i])
                     sigs.append(extra)
                     owners.append(np.full(len(extra), whose[i], np.uint32))
                     rows += len(extra)
+                    keep[i] = 0
+                found, who = first_of_each(found, who, keep, order)
                 sigs.append(found)
                 owners.append(np.array(whose, np.uint32)[who])
                 rows += len(found)
@@ -340,7 +453,6 @@ def _packed(sigs: np.ndarray, owners: np.ndarray, names: np.ndarray, parts: int)
     for start, stop in zip(starts, np.r_[starts[1:], len(part)]):
         whose = owners[start:stop]
         new = np.r_[False, whose[1:] != whose[:-1]]
-        # The low bits deal the parts; some of the others tell signatures of a part apart.
         own = sigs[start:stop] // np.uint64(parts)
         rows.append((int(part[start]), own.view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes(),
                      np.packbits(new).tobytes(), names[whose[np.r_[True, new[1:]]]].tobytes()))
@@ -405,15 +517,22 @@ def group_pairs(sigs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
 
 
 def _groups(part: int, held: list, small_group: int):
-    """Pairs and members of one part's groups."""
-    sig, own = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    """Pairs and members of one part's groups, sorted a slice at a time."""
+    for n in range(SLICES):
+        chosen = [(sig[at], own[at]) for sig, own in held for at in [sig & (SLICES - 1) == n]]
+        yield from _slice_groups(part, *(np.concatenate([c[i] for c in chosen]) for i in (0, 1)), small_group)
+
+
+def _slice_groups(part: int, sig: np.ndarray, own: np.ndarray, small_group: int):
+    if not len(sig):
+        return
     order = np.lexsort((own, sig))
     sig, own = sig[order], own[order]
     new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]
     sig, own = sig[new], own[new]
     starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     sizes = np.diff(np.r_[starts, len(sig)])
-    # A part's signatures with the part's number: unique over all parts but for chance.
+    # As in named().
     name = mix(sig.view(np.uint64) + (np.uint64(part) << np.uint64(8 * SIG_BYTES))).view(np.int64)
     if (out := _group_batch(_emit(name, own, starts, sizes, small_group))) is not None:
         for at in range(0, out.num_rows, 100_000):
@@ -653,11 +772,12 @@ def shared_only(heads: DataFrame) -> DataFrame:
 def near_pairs(rows: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of sets of different components that share a signature and have near counts.
 
-    ``rows``: ``sig, set_id, component, size, place, counts``.  Sorted rows
+    ``rows``: ``sig, set_id, component, size, place, counts, early``.  Sorted rows
     are a stream; new rows of a signature are compared with those held of it.
     What stands before the first 5-gram that two sets share is in one of them
     only; so a pair whose places here already make too many differences
-    either is none or has shared an earlier 5-gram, and is found there.
+    either is none or has shared an earlier 5-gram, and is found there.  A pair
+    that has one of the 5-grams ``early`` in both sets in common before this one is found there, too.
     """
     schema = arrow_schema({"a": pa.int64(), "b": pa.int64()})
 
@@ -666,18 +786,29 @@ def near_pairs(rows: DataFrame) -> DataFrame:
         found = []
         step = max(1, 50_000 // max(len(y[0]), 1))
         for at in range(0, len(x[0]), step):
-            own, comp, size, place, cnt = (c[at:at + step] for c in x)
+            own, comp, size, place, cnt, early = (c[at:at + step] for c in x)
             most = (size[:, None] + y[2][None]) * (SIMILAR_OF - SIMILAR) // (SIMILAR_OF + SIMILAR)
             ok = ((comp[:, None] != y[1][None]) & (place[:, None] + y[3][None] <= most)
                   & (SIMILAR_OF * np.minimum(size[:, None], y[2][None])
                      >= SIMILAR * np.maximum(size[:, None], y[2][None])))
             i, j = np.nonzero(ok)
             ok = np.abs(cnt[i] - y[4][j]).sum(1) <= most[i, j]
+            i, j = i[ok], j[ok]
+            e = early[i][:, :, None]
+            ok = ~((e == y[5][j][:, None]) & (e != 0)).any((1, 2))
             p, q = own[i[ok]], y[0][j[ok]]
             if len(p):
                 found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
         return found
 
+    def before(sig, early):
+        """Those of the early 5-grams that stand before a row's own one; else zeros."""
+        out = np.zeros((len(sig), EARLY), np.int64)
+        for row, (own, grams) in enumerate(zip(sig.tolist(), early)):
+            grams = grams[:grams.index(own)] if own in grams else grams
+            out[row, :len(grams)] = grams
+        return out
+
     def flushed(found):
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
@@ -690,6 +821,7 @@ def near_pairs(rows: DataFrame) -> DataFrame:
                 cols = [part.column(i).to_numpy() for i in (1, 2, 3, 4)]
                 cols.append(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8)
                             .reshape(-1, BUCKETS).astype(np.int16))
+                cols.append(before(sig, part.column(6).to_pylist()))
                 starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
                 for start, stop in zip(starts, np.r_[starts[1:], len(sig)]):
                     new = [c[start:stop] for c in cols]
@@ -706,7 +838,7 @@ def near_pairs(rows: DataFrame) -> DataFrame:
                     found = []
         if found:
             yield flushed(found)
-    dealt = (rows.select("sig", "set_id", "component", "size", "place", "counts")
+    dealt = (rows.select("sig", "set_id", "component", "size", "place", "counts", "early")
              .repartition("sig").sortWithinPartitions("sig"))
     return map_batches(dealt, run, schema).distinct()
 
@@ -719,17 +851,21 @@ def prefix_pairs(docs: DataFrame, wanted: DataFrame, labels: DataFrame, nodes: D
     heads = stored(shared_only(prefixes(docs, wanted, frequent_grams(docs, wanted))).join(labels, "set_id"))
     mixed = (heads.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"))
              .where("least < most").select("sig"))
-    known = nodes.select("set_id", "size", "counts")
-    return near_pairs(heads.join(mixed, "sig", "left_semi").join(known, "set_id"))
+    shared = heads.join(mixed, "sig", "left_semi")
+    early = shared.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("place", "sig"))), 1, EARLY)["sig"].alias("early"))
+    known = nodes.select("set_id", "size", "counts").join(early, "set_id")
+    return near_pairs(shared.join(known, "set_id"))
 
 
 def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` with a ``doc_id``."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"),
                                                     F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, rows = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    size = size or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, size // (GRAM_BYTES * PART_GRAMS))
-    groups = stored(group_pairs(signatures(texts, parts), small_group))
+    frequent = frequent_signatures(texts, rows, parts)
+    groups = stored(group_pairs(signatures(texts, parts, frequent), small_group))
     profile = groups.where(F.col("kind") == DOCUMENT).select(*PROFILE)
     nodes = profile.where("size > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("doc"), F.max("size").alias("size"), F.first("counts").alias("counts"))
@@ -739,21 +875,36 @@ def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
         wanted = near.select(F.col("doc_a").alias("doc")).union(near.select("doc_b")).distinct()
         return materialize(verified(near, short_sets(texts, wanted)))
 
-    def of_kind(kind: int) -> DataFrame:
-        return groups.where(F.col("kind") == kind).select("a", "b")
+    def of_kind(groups: DataFrame, *kinds: int) -> DataFrame:
+        return groups.where(F.col("kind").isin(*kinds)).select("a", "b")
 
-    links = links_of(of_kind(STAR).distinct())
-    found = components(links)
-    more = links_of(apart(of_kind(PAIR).distinct(), found))
-    if not more.isEmpty():
+    def with_links(links: DataFrame, found: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links and components with those of more candidates."""
+        more = links_of(pairs)
+        if more.isEmpty():
+            return links, found
         links = links.union(more)
-        found = components(links)
-    rest = materialize(crowded(of_kind(MEMBER), found))
-    if not rest.isEmpty():
-        wanted = materialize(nodes.join(rest, "set_id", "left_semi").select("doc"))
-        more = links_of(prefix_pairs(texts, wanted, rest, nodes))
-        if not more.isEmpty():
-            found = components(links.union(more))
+        return links, components(links)
+
+    def chosen(rest: DataFrame) -> DataFrame:
+        return materialize(nodes.join(rest, "set_id", "left_semi").select("doc"))
+
+    links = links_of(of_kind(groups, STAR).distinct())
+    found = components(links)
+    pairs = of_kind(groups, PAIR)
+    rest = materialize(crowded(of_kind(groups, MEMBER), found))
+    signed_again = not rest.isEmpty()
+    if signed_again:
+        # A pair not compared yet is one of these; they are signed again, with the signatures of all large groups last.
+        for name, n in large_groups(of_kind(groups, MEMBER)).items():
+            frequent[name] = max(n, frequent.get(name, 0))
+        again = stored(group_pairs(signatures(_chosen(texts, chosen(rest)), parts, frequent, profiles=False), small_group))
+        pairs = pairs.union(of_kind(again, STAR, PAIR))
+    links, found = with_links(links, found, apart(pairs.distinct(), found))
+    if signed_again:
+        rest = materialize(crowded(of_kind(again, MEMBER), found))
+        if not rest.isEmpty():
+            links, found = with_links(links, found, prefix_pairs(texts, chosen(rest), rest, nodes))
     # Components of sets by their smallest document; unlinked sets are their own.
     labelled = nodes.select("set_id", "doc").join(found, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "doc", F.coalesce("component", "set_id").alias("component"))

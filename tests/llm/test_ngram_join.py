@@ -135,3 +135,61 @@ def test_fine_counts_never_exceed_the_difference(seed, common, only_a, only_b):
     real = len(np.setxor1d(a, b))
     assert N.fine_difference(N.fine_counts(a), N.fine_counts(b)) <= real
     assert N.fine_difference(N.fine_counts(a), N.fine_counts(a)) == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 9, 20, 33, 64, 65, 100, 127, 200, 500, 1000])
+def test_similar_sets_share_a_first_signature(size):
+    """In any order of the signatures; here some of those that both sets have come last."""
+    rng = np.random.default_rng(size + 7)
+    fewer = 0
+    for _ in range(40):
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        keep = x[int(rng.integers(0, size // 4 + 1)):]
+        room = max(0, (4 * len(keep)) // 3 - len(x))
+        y = np.unique(np.r_[keep, rng.integers(0, 2**63, int(rng.integers(0, room + 1))).astype(np.uint64)])
+        common = len(np.intersect1d(x, y))
+        if 100 * common < 75 * (len(x) + len(y) - common) or not len(y):
+            continue
+        every = [np.concatenate([i.signatures(g) for i in N.instances_of(len(g), {})]) for g in (x, y)]
+        names = N.named(np.intersect1d(*every), 5).view(np.int64).tolist()
+        order = N.Order({n: 3 + k for k, n in enumerate(names) if rng.random() < 0.8}, 5)
+        first = [np.concatenate([i.first_signatures(g, order) for i in N.instances_of(len(g), {})]) for g in (x, y)]
+        assert len(np.intersect1d(*first))
+        fewer += sum(map(len, every)) - sum(map(len, first))
+    assert fewer > 0 or size < 65
+
+
+def test_first_of_each_equals_one_set_at_a_time():
+    rng = np.random.default_rng(5)
+    grams = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (70, 100, 300, 301, 900)]
+    made = {}
+    pairs = [(g, i) for g in grams for i in N.instances_of(len(g), made) if i.n2 == 1]
+    found, whose = N.whole_signatures([g for g, _ in pairs], [i for _, i in pairs])
+    order = N.Order({int(n): 9 for n in N.named(found[::3], 4).view(np.int64)}, 4)
+    keep = np.array([i.spoiled(len(g)) + 1 for g, i in pairs])
+    got, who = N.first_of_each(found, whose, keep, order)
+    for k, (g, i) in enumerate(pairs):
+        assert keep[k] <= (whose == k).sum()
+        assert sorted(got[who == k].tolist()) == sorted(i.first_signatures(g, order).tolist())
+
+
+def rows_with_a_passage():
+    rng = random.Random(11)
+    passage = words(rng, 12)
+    docs = [words(rng, 40, 10**6) + passage + words(rng, 40, 10**6) for _ in range(120)]
+    docs += [edited(rng, d, 0.01) for d in docs[:20]]
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+@pytest.mark.parametrize("sampled", [True, False])
+def test_shared_passage_makes_no_large_groups_to_join(spark, monkeypatch, sampled):
+    """Texts with a passage in common were all joined by their prefixes; without a sample they are signed again."""
+    rows, joined = rows_with_a_passage(), []
+    whole = N.prefix_pairs
+    monkeypatch.setattr(N, "prefix_pairs", lambda docs, wanted, *more: joined.append(wanted.count()) or whole(docs, wanted, *more))
+    if not sampled:
+        monkeypatch.setattr(N, "frequent_signatures", lambda *args: {})
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.linked(df).collect()}
+    assert got == brute(rows)
+    assert sum(joined) < 10
