@@ -492,7 +492,7 @@ def group_pairs(sigs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """Candidate pairs ``(a, b)``, a < b, of sets that share a signature; large groups' members; and documents.
 
     ``kind`` says which: for a ``MEMBER``, ``a`` is the signature and ``b`` the
-    set; a ``DOCUMENT`` is passed on.  A part's signatures are sorted together; a part is of bounded size,
+    set; a ``DOCUMENT`` is passed on.  A slice of a part is sorted at a time; a part is of bounded size,
     but for a signature that very many sets share (20 bytes for each of them).
     """
     def run(batches):
@@ -895,7 +895,7 @@ def linked(docs: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     rest = materialize(crowded(of_kind(groups, MEMBER), found))
     signed_again = not rest.isEmpty()
     if signed_again:
-        # A pair not compared yet is one of these; they are signed again, with the signatures of all large groups last.
+        # Pairs that no group compares are of these; they are signed again, with the signatures of all large groups last.
         for name, n in large_groups(of_kind(groups, MEMBER)).items():
             frequent[name] = max(n, frequent.get(name, 0))
         again = stored(group_pairs(signatures(_chosen(texts, chosen(rest)), parts, frequent, profiles=False), small_group))
