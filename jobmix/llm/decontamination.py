@@ -16,10 +16,14 @@ of q blocks had three, at most 2q + min(r, 2) would agree, fewer than the
 three of five tokens; items of two or three words need two, those of one word
 one.  Eleven tokens of thirteen hold three of five all the more.
 
+Texts are searched in pieces, and a hit takes along the tokens beside its item
+only, so memory follows an item's length times a piece's hits, not a text's
+length times its hits.
+
 Everything is built-in column expressions.  The test items' hashes are
 broadcast while the items have at most ``BROADCAST_WORDS`` words in all;
-beyond that the hashes are joined by shuffle and the texts met again by
-``doc_id``, with the same result.
+beyond that the hashes are joined by shuffle and the pieces met again by
+``doc_id`` and place, with the same result.
 
 Results for odd input: a null or empty text holds no item; an item without
 words is in no text; rows without ``doc_id`` or ``item_id`` are skipped; repeated rows give one result per
@@ -42,12 +46,18 @@ MIN_SHARE, STRETCH, MIN_IN_STRETCH = 0.6, 13, 11
 # Shorter items need all of their tokens.
 WHOLE_BELOW = 8
 BROADCAST_WORDS = 200_000
+# Texts are searched in pieces of so many words, or of the longest item's.
+PIECE = 1024
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def token_hashes(text: Column) -> Column:
-    """64-bit hashes of the words of the lower-cased text."""
-    words = F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    """The words of the lower-cased text."""
+    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), lambda w: w != "")
+
+
+def hashed(words: Column) -> Column:
+    """64-bit hashes of words."""
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -56,25 +66,49 @@ def weight(tokens: Column) -> Column:
     return F.when(F.size(tokens) == 1, 1).when(F.size(tokens) < 4, 2).otherwise(3)
 
 
+def pieces(docs: DataFrame, reach: int) -> DataFrame:
+    """``doc_id``, ``start`` and ``t``: the texts cut into pieces, each with the ``reach`` tokens before and behind it.
+
+    ``first`` and ``last`` are the places in ``t`` of the piece's own tokens.
+    """
+    step = max(PIECE, reach)
+
+    def cut(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)), lambda i: F.struct(
+            i.alias("at"), F.slice(words, F.greatest(i - reach, F.lit(0)) + 1,
+                                   F.least(i, F.lit(reach)) + step + reach).alias("words")))
+    cut_up = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.explode(let(words_of(F.col("text")), lambda w: F.when(F.size(w) > 0, cut(w)))).alias("p"))
+    first = F.least(F.col("p.at"), F.lit(reach))
+    # Words are hashed here, not before the cut: Spark compiles no function of elements, and where one stands, rows
+    # go on singly.  Compiled code keeps all that it makes of one row, here of a piece, before it hands it on.
+    return cut_up.select("doc_id", (F.col("p.at") - first).alias("start"), first.alias("first"),
+                         (F.least(first + step, F.size("p.words")) - 1).alias("last"),
+                         hashed(F.col("p.words")).alias("t"))
+
+
 def windows(tokens: DataFrame, masks: list[str]) -> DataFrame:
-    """``tokens`` (a column ``t`` and others) with a row for each place ``at`` and mask: ``mask``, ``seed``.
+    """``tokens`` (``t``, ``first``, ``last`` and others) with a row for each place ``at`` and mask: ``mask``, ``seed``.
 
     A seed is the hash of the tokens that a mask selects in the window at a
     place.  Little code per row: a method over 8,000 bytes is not compiled.
     """
-    width = max(map(len, masks))
-    near = tokens.where(F.size("t") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("t") - 1)).alias("at"))
-    near = near.withColumn("w", F.slice("t", F.col("at") + 1, F.lit(width)))
-    seeds = F.array(*[F.when(F.size("w") >= len(m), F.xxhash64(F.lit(i), *[
-        F.get("w", F.lit(k)) for k, c in enumerate(m) if c == "1"])) for i, m in enumerate(masks)])
+    near = tokens.select("*", F.explode(F.sequence("first", "last")).alias("at"))
+    seeds = F.array(*[F.when(F.col("at") + len(m) <= F.size("t"), F.xxhash64(F.lit(i), *[
+        F.get("t", F.col("at") + k) for k, c in enumerate(m) if c == "1"])) for i, m in enumerate(masks)])
     return near.select(*tokens.columns, "at", F.posexplode(seeds).alias("mask", "seed")).where("seed is not null")
 
 
-def goes_on(t: Column, at: Column, item: Column, item_at: Column, mask: Column, masks: list[str]) -> Column:
-    """Whether a hit of a mask is one of a row: there is one at the place before, too."""
-    places = F.array(*[F.array(*[F.lit(k - 1) for k, c in enumerate(m) if c == "1"]) for m in masks])
-    same = F.forall(F.get(places, mask), lambda k: F.get(t, at + k).eqNullSafe(F.get(item, item_at + k)))
-    return (at > 0) & (item_at > 0) & same
+def before(t: Column, at: Column) -> Column:
+    """The token before a place; null at the first."""
+    return F.get(t, at - 1)
+
+
+def beside(t: Column, shift: Column, n_item: Column) -> list[Column]:
+    """``part``, the tokens beside an item whose first token is at ``shift``, and how many of the item come before them."""
+    cut_off = F.greatest(-shift, F.lit(0))
+    return [F.slice(t, F.greatest(shift, F.lit(0)) + 1, n_item - cut_off).alias("part"), cut_off.alias("cut_off")]
 
 
 def agreement(t: Column, item: Column, shift: Column) -> Column:
@@ -98,28 +132,38 @@ def contaminated(docs: DataFrame, items: DataFrame, broadcast_words: int = BROAD
     of the item), ``share`` and ``first_word`` (where the item begins in the
     document, counted in words; negative if its beginning is cut off).
     """
-    t = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                                                token_hashes(F.col("text")).alias("t"))
     tests = (items.where("item_id is not null")
-             .select(F.col("item_id").cast("bigint").alias("item_id"), token_hashes(F.col("text")).alias("t"))
+             .select(F.col("item_id").cast("bigint").alias("item_id"), hashed(words_of(F.col("text"))).alias("t"))
              .where(F.size("t") > 0).distinct())
-    n_words, weights = tests.agg(F.sum(F.size("t")), F.collect_set(weight(F.col("t")))).first()
+    n_words, longest, weights = tests.agg(F.sum(F.size("t")), F.max(F.size("t")),
+                                          F.collect_set(weight(F.col("t")))).first()
     # Only the masks that some item needs are laid over the documents.
     masks = [m for m in MASKS if m.count("1") in (weights or [3])]
     chosen = F.get(F.array(*[F.lit(m.count("1")) for m in masks]), F.col("mask")) == weight(F.col("t"))
-    seeds = windows(tests, masks).where(chosen).select("item_id", "seed", F.col("at").alias("item_at"))
+    places = tests.withColumns({"first": F.lit(0), "last": F.size("t") - 1})
+    seeds = windows(places, masks).where(chosen).select(
+        "item_id", "seed", F.col("at").alias("item_at"), F.size("t").alias("n_item"),
+        before(F.col("t"), F.col("at")).alias("item_before"))
     whole = tests.select("item_id", F.col("t").alias("item"))
+    t = pieces(docs, max(longest or 0, *map(len, MASKS)))
+    shift, n_item = F.col("at") - F.col("item_at"), F.col("n_item")
+    # What goes on from here has an item's length, not a text's.
     if (n_words or 0) <= broadcast_words:
-        # Only the first hit of a row of hits is laid side by side.
-        hits = (windows(t, masks).join(F.broadcast(seeds), "seed").join(F.broadcast(whole), "item_id")
-                .where(~goes_on(F.col("t"), F.col("at"), F.col("item"), F.col("item_at"), F.col("mask"), masks))
-                .select("doc_id", "item_id", "t", "item", (F.col("at") - F.col("item_at")).alias("shift")))
+        # Only the first hits of a row of hits are laid side by side.  Where the tokens before agree too, there is a
+        # hit one place before: that token, the hit's first and, of three, its second are what some mask selects.
+        hits = (windows(t, masks).join(F.broadcast(seeds), "seed")
+                .where(F.coalesce(before(F.col("t"), F.col("at")) != F.col("item_before"), F.lit(True)))
+                .select("doc_id", "item_id", (F.col("start") + shift).alias("shift"), *beside(F.col("t"), shift, n_item))
+                .join(F.broadcast(whole), "item_id"))
     else:
-        places = (windows(t, masks).select("doc_id", "at", "seed").join(seeds, "seed")
-                  .select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
-        hits = places.join(t, "doc_id").join(whole, "item_id")
+        hits = (windows(t, masks).select("doc_id", "start", "at", "seed").join(seeds, "seed")
+                .select("doc_id", "start", "item_id", n_item, shift.alias("near")).distinct()
+                .join(t, ["doc_id", "start"])
+                .select("doc_id", "item_id", (F.col("start") + F.col("near")).alias("shift"),
+                        *beside(F.col("t"), F.col("near"), n_item))
+                .join(whole, "item_id"))
     laid = hits.select("doc_id", "item_id", "shift", F.size("item").alias("n_item"),
-                       agreement(F.col("t"), F.col("item"), F.col("shift")).alias("a"))
+                       agreement(F.col("part"), F.col("item"), -F.col("cut_off")).alias("a"))
     needed = F.when(F.col("n_item") < WHOLE_BELOW, F.col("n_item")).otherwise(MIN_SHARE * F.col("n_item"))
     leaked = laid.where((F.col("a.agree") >= needed)
                         | (F.col("a.in_stretch") >= MIN_IN_STRETCH))

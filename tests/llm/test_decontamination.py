@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from jobmix.llm import decontamination
 from jobmix.llm.decontamination import MASKS, MIN_IN_STRETCH, MIN_SHARE, STRETCH, WHOLE_BELOW, contaminated
 
 RNG = random.Random(11)
@@ -102,6 +103,31 @@ def test_short_items_must_stand_whole(spark, broadcast_words):
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, items, broadcast_words).collect()} == {(2, 1), (5, 2)}
 
 
+@pytest.mark.parametrize("broadcast_words", [200_000, 0])
+def test_across_the_borders_of_pieces(spark, monkeypatch, broadcast_words):
+    monkeypatch.setattr(decontamination, "PIECE", 5)
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in (1, 3, 9, 20)]
+    docs = []
+    for n, words in items:
+        for at in range(45):
+            docs.append((len(docs), prose(at) + changed(words, (0, 9)[at % 2]) + prose(23)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    out = contaminated(df, tests, broadcast_words).collect()
+    assert {(r.doc_id, r.item_id): r.n_agree for r in out} == brute(docs, items)
+    assert {(r.doc_id, r.first_word) for r in out} == {(d, d % 45) for d, _ in docs}
+
+
+@pytest.mark.parametrize("broadcast_words", [200_000, 0])
+def test_long_text_of_chance_hits(spark, broadcast_words):
+    """20,000 hits in a text of 100,000 words: each with the whole text's hashes would be 16 GB."""
+    item = [f"i{k}" for k in range(20)]
+    words = [w for k in range(20_000) for w in (*item[k % 17:k % 17 + 3], f"x{k}", f"y{k}")] + item
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    out = contaminated(df, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), broadcast_words).collect()
+    assert [(r.doc_id, r.item_id, r.n_agree, r.first_word) for r in out] == [(1, 7, 20, 100_000)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
