@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from corpus_pipeline import drop_contaminated
 from jobmix.llm import decontamination
 from jobmix.llm.decontamination import MASKS, MIN_IN_STRETCH, MIN_SHARE, STRETCH, WHOLE_BELOW, contaminated
 
@@ -128,6 +129,15 @@ def test_long_text_of_chance_hits(spark, broadcast_words):
     assert [(r.doc_id, r.item_id, r.n_agree, r.first_word) for r in out] == [(1, 7, 20, 100_000)]
 
 
+def test_pipeline_stage_with_long_texts(spark, tmp_path):
+    """The stage drops the leak at the end of a text of chance hits and keeps the text without it."""
+    item = [f"i{k}" for k in range(20)]
+    words = [w for k in range(20_000) for w in (*item[k % 17:k % 17 + 3], f"x{k}", f"y{k}")]
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(1, " ".join(words + item)), (2, " ".join(words)), (None, "a b")], "doc_id long, text string")
+    assert {r.doc_id for r in drop_contaminated(spark, df, str(tmp_path)).collect()} == {2, None}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
